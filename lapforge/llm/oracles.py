@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import quality
+
 _WORDS = "len(list_filter(string_split_regex(coalesce({t}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))"
 _LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -57,4 +59,71 @@ from sized s join rests r on s.source is not distinct from r.source
 join cuts c on s.source is not distinct from c.source
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": OP2, "op8_line_dedup": OP8}
+_GRID = ", ".join(f"('{r}', {i}, {c!r}::double)" for r, cuts in quality.GRID.items() for i, c in enumerate(cuts))
+
+OP1 = f"""
+with docs as (
+  select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws,
+    string_split(coalesce(text, ''), chr(10)) as ls
+  from documents
+), wins as (
+  select rid, unnest(range(1, len(ws) - 6)) as i, unnest(list_transform(range(1, len(ws) - 6), lambda i: ws[i:i+7])) as win
+  from docs where len(ws) >= 8
+), twice as (
+  select rid, i from (select rid, i, count(*) over (partition by rid, win) as n from wins) where n > 1
+), covered as (
+  select rid, count(distinct p) as n from (select rid, unnest(range(i, i + 8)) as p from twice) group by rid
+), base as (
+  select d.rid, doc_id, lang, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::bigint as word_chars,
+    (length(t) - length(translate(t, '{quality.SYMBOLS}', '')))::bigint as n_symbols,
+    (len(list_filter(ls, lambda x: length(trim(x, {_WS})) > 0)) -
+      len(list_distinct(list_filter(ls, lambda x: length(trim(x, {_WS})) > 0))))::bigint as n_dup_lines,
+    coalesce(c.n, 0)::bigint as n_repeat_words, len(ls) as n_lines
+  from docs d left join covered c on d.rid = c.rid
+), judged as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+    case when word_chars > 0 then n_symbols / word_chars else 0 end as symbol_ratio,
+    case when n_lines > 0 then n_dup_lines / n_lines else 0 end as dup_line_ratio,
+    case when n_words > 0 then n_repeat_words / n_words else 0 end as repeat_ratio,
+    case when n_words > 0 then word_chars / n_words else 0 end as mean_word_chars
+  from base
+), long as (
+  unpivot (select rid, symbol_ratio, dup_line_ratio, repeat_ratio, mean_word_chars from judged)
+  on symbol_ratio, dup_line_ratio, repeat_ratio, mean_word_chars into name rule value v
+), held as (
+  select j.rid, lang, quality = 1 as good
+  from judged j join (select doc_id, min(quality) as quality from labels where doc_id is not null group by doc_id) t using (doc_id)
+  where not base_failed and quality is not null
+), totals as (
+  select lang, count(*) filter (good) as n_good, count(*) filter (not good) as n_bad from held group by lang
+), grid(rule, step, cut) as (values {_GRID}
+), counts as (
+  select h.lang, g.rule, g.step, g.cut, count(*) filter (good and v > cut) as good, count(*) filter (not good and v > cut) as bad
+  from held h join long l on h.rid = l.rid join grid g on g.rule = l.rule group by all
+), tests as (
+  select c.*, n_good, n_bad, bad / nullif(n_bad, 0) - {quality.WEIGHT} * (good / nullif(n_good, 0)) as gain,
+    n_good > 0 and list_sum(list_transform(range(0, good + 1), lambda i: exp(lgamma(n_good + 1.0) - lgamma(i + 1.0)
+      - lgamma(n_good - i + 1.0) + i * ln({quality.RISK / len(quality.GRID)}) + (n_good - i) * ln(1 - {quality.RISK / len(quality.GRID)}))))
+      <= {quality.DELTA} / ((select count(*) from totals) * {len(quality.GRID)}) as ok
+  from counts c join totals t on c.lang is not distinct from t.lang
+), stops as (
+  select lang, rule, coalesce(min(step) filter (not ok), 1000000) as stop from tests group by lang, rule
+), best as (
+  select t.lang, t.rule, arg_max(cut, (gain, -step)) as cut
+  from tests t join stops s on t.lang is not distinct from s.lang and t.rule = s.rule
+  where step < stop and gain > 0 group by t.lang, t.rule
+), rejected as (
+  select distinct j.rid from judged j join long l on j.rid = l.rid
+  join best b on b.rule = l.rule and b.lang is not distinct from j.lang where v > cut
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and r.rid is null as kept
+from judged j left join rejected r on j.rid = r.rid
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": OP1,
+    "op2_mixing": OP2,
+    "op8_line_dedup": OP8,
+}

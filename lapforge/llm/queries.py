@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,17 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(*mixing.mix_plan(docs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality.measured_table(_table(spark, sf_dir, "documents"))
+    cutoffs = quality.calibrate(measured, _table(spark, sf_dir, "labels"))
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return quality.judge(measured, cutoffs, F.col("stratum")).select(
+        F.col("id").alias("doc_id"), *[F.col(f"__q.{c}").alias(c) for c in columns], F.col("__kept").alias("kept")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
     "op8_line_dedup": op8_line_dedup,
 }
