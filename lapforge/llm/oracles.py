@@ -122,7 +122,43 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged j left join rejected r on j.rid = r.rid
 """
 
+OP10 = f"""
+with recursive docs as (
+  select doc_id, list_filter(string_split_regex(coalesce({_LOWER.format(t="text")}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws
+  from documents
+), sets as (
+  select doc_id, list_sort(list_distinct(case when len(ws) >= 5
+    then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end)) as s
+  from docs
+), classes as (
+  select md5(array_to_string(s, chr(10))) as k, min(doc_id) as rep, any_value(s) as s, any_value(len(s)) as n
+  from sets where len(s) > 0 group by 1
+), posts as (
+  select rep, n, unnest(s) as t from classes
+), prefix as (
+  select rep, n, t from (
+    select p.rep, p.n, p.t, row_number() over (partition by p.rep order by f.c, p.t) as k
+    from posts p join (select t, count(*) as c from posts group by t) f using (t)
+  ) where k <= n - ceil(0.75 * n) + 1
+), links as (
+  select a.rep as a, b.rep as b from (
+    select distinct x.rep as x, y.rep as y from prefix x join prefix y on x.t = y.t and x.rep < y.rep
+      and 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)
+  ) c join classes a on a.rep = c.x join classes b on b.rep = c.y
+  where 100 * len(list_intersect(a.s, b.s)) >= 75 * (a.n + b.n - len(list_intersect(a.s, b.s)))
+), reach(node, r) as (
+  select rep, rep from classes
+  union
+  select l.b, reach.r from reach join (select a, b from links union select b, a from links) l on l.a = reach.node
+), roots as (
+  select node, min(r) as root from reach group by node
+)
+select doc_id, len(sets.s)::bigint as n_shingles, coalesce(r.root, doc_id) as component_id, doc_id = coalesce(r.root, doc_id) as kept
+from sets left join classes c on len(sets.s) > 0 and md5(array_to_string(sets.s, chr(10))) = c.k left join roots r on r.node = c.rep
+"""
+
 ORACLES: dict[str, str] = {
+    "op10_near_dedup": OP10,
     "op1_quality_rules": OP1,
     "op2_mixing": OP2,
     "op8_line_dedup": OP8,
