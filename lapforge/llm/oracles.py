@@ -157,9 +157,49 @@ select doc_id, len(sets.s)::bigint as n_shingles, coalesce(r.root, doc_id) as co
 from sets left join classes c on len(sets.s) > 0 and md5(array_to_string(sets.s, chr(10))) = c.k left join roots r on r.node = c.rep
 """
 
+_SHINGLES = f"""select {{id}}, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) as s from (
+  select {{id}}, list_filter(string_split_regex({_LOWER.format(t="text")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws
+  from {{table}} where text is not null) where len(ws) >= 5"""
+
+OP7 = f"""
+with items as (
+  select item_id, s, count(*) over (partition by item_id) as n
+  from (select distinct item_id, s from ({_SHINGLES.format(id="item_id", table="benchmark")}) where item_id is not null)
+), docs as (
+  select distinct doc_id, s from ({_SHINGLES.format(id="doc_id", table="documents")}) where doc_id is not null
+)
+select doc_id, item_id, n::bigint as n_shingles, count(*)::bigint as n_found, count(*) / n as containment
+from docs join items using (s) group by doc_id, item_id, n having 100 * count(*) >= 75 * n
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_decontamination": OP7,
     "op10_near_dedup": OP10,
     "op1_quality_rules": OP1,
     "op2_mixing": OP2,
     "op8_line_dedup": OP8,
 }
+
+
+def _on(sql: str, table: str) -> str:
+    """The query over another table of documents."""
+    return sql.replace("from documents", f"from {table}")
+
+
+_LINES = _on(OP8, "s1").replace("sha256(", "(").replace("as kept_sha256", "as kept_text")
+PIPELINE = f"""
+with s1 as materialized (
+  select d.* from documents d join ({OP1}) q on d.doc_id = q.doc_id where q.kept
+), s2 as materialized (
+  select d.doc_id, case when n_dropped > 0 then kept_text else text end as text, lang, source,
+    case when n_dropped > 0 then length(kept_text) else n_chars end as n_chars
+  from s1 d join ({_LINES}) q on d.doc_id = q.doc_id
+), s3 as materialized (
+  select d.* from s2 d join ({_on(OP10, "s2")}) q on d.doc_id = q.doc_id where q.kept
+), s4 as materialized (
+  select * from s3 where doc_id not in (select doc_id from ({_on(OP7, "s3")}))
+)
+select d.*, unnest(range(1, 1 + (q.whole + q.extra)::bigint)) as copy
+from s4 d join ({_on(OP2, "s4").replace("select doc_id, size, source_size, target,", "select doc_id, whole, case when miss < rest and bin < cut then 1 else 0 end as extra,")}) q
+  on d.doc_id = q.doc_id
+"""
