@@ -3,12 +3,16 @@ production parameters, to its whole table and derives the contract's columns."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, mixing, near_dedup, quality
+from . import decontaminate, langid, line_dedup, mixing, near_dedup, quality, token_counts
+
+#: Vocabulary files of public tokenizers.
+TOKENIZERS = os.environ.get("LAPFORGE_TOKENIZERS", "/opt/tokenizers")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +63,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_counts.sentencepiece_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").cast("long").alias("n_chars"))
+    return token_counts.count_tokens(docs, pieces, F.col("text")).select(
+        "doc_id", "n_chars", F.col("__tokens.n_words").alias("n_words"), F.col("__tokens.n_tokens").alias("n_tokens")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_token_counts": op5_token_counts,
     "op4_language_id": op4_language_id,
     "op7_decontamination": op7_decontamination,
     "op10_near_dedup": op10_near_dedup,
