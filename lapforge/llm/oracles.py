@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import chat, quality
 
 _WORDS = "len(list_filter(string_split_regex(coalesce({t}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))"
 _LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -172,7 +172,41 @@ select doc_id, item_id, n::bigint as n_shingles, count(*)::bigint as n_found, co
 from docs join items using (s) group by doc_id, item_id, n having 100 * count(*) >= 75 * n
 """
 
+_ESC = "(length({t}) + length({t}) - length(translate({t}, '\\<#{more}', '')))"
+_STEP = f"greatest(1, floor(({chat.BUDGET - chat.HISTORY_TOKENS} - system_tok) / 2))"
+_AHEAD = " + ".join(
+    f"(coalesce(lead(opens, {k}) over w and lead(before, {k}) over w - before <= {chat.HISTORY_TOKENS} and not retained, false))::int"
+    for k in range(1, chat.HISTORY_TURNS + 1)
+)
+
+OP3 = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), placed as (
+  select *, (length(text) + 3) // 4 + 4 as tok, row_number() over w as pos,
+    first_value(case when role = 'system' then (length(text) + 3) // 4 + 4 else 0 end) over w as system_tok,
+    sum((length(text) + 3) // 4 + 4) over w - ((length(text) + 3) // 4 + 4) as before
+  from turns window w as (partition by conv_id order by turn nulls first, role, text rows unbounded preceding)
+), buckets as (
+  select *, floor(before / {_STEP}) as bucket, pos = 1 and role = 'system' as retained from placed
+), opened as (
+  select *, pos = 1 or bucket <> lag(bucket) over (partition by conv_id order by pos) as opens from buckets
+), windows as (
+  select *, {_AHEAD} as ahead, sum(opens::int) over (partition by conv_id) - 1 as last
+  from opened window w as (partition by conv_id order by pos)
+)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by pos) filter (role = 'assistant'), '')) as loss_sha256,
+  sum((1 + ahead + case when retained then last else 0 end) *
+    (6 + {_ESC.format(t="role", more=":")} + {_ESC.format(t="text", more="")} + 8))::bigint as formatted_chars
+from windows group by conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_chat_windows": OP3,
     "op7_decontamination": OP7,
     "op10_near_dedup": OP10,
     "op1_quality_rules": OP1,

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, mixing, near_dedup, quality, token_counts
+from . import chat, decontaminate, langid, line_dedup, mixing, near_dedup, quality, token_counts
 
 #: Vocabulary files of public tokenizers.
 TOKENIZERS = os.environ.get("LAPFORGE_TOKENIZERS", "/opt/tokenizers")
@@ -71,7 +71,41 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(tricky).alias("text"),
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    read = chat.chat_windows(rows).select(
+        "conv_id",
+        "window",
+        chat.read_turns(F.col("text"), F.col("n_context")).alias("turns"),
+        F.array_join(chat.loss_texts(F.col("text"), F.col("loss")), "").alias("loss"),
+        F.length("text").alias("chars"),
+    )
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    whole = read.groupBy("conv_id").agg(
+        F.sum(F.size("turns")).alias("n_turns"),
+        F.sort_array(F.collect_list(F.struct("window", F.array_join(line, "").alias("said"), "loss"))).alias("w"),
+        F.sum("chars").cast("long").alias("formatted_chars"),
+    )
+    loss = F.array_join("w.loss", "")
+    return whole.select(
+        "conv_id",
+        F.col("n_turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("w.said", ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_windows": op3_chat_windows,
     "op5_token_counts": op5_token_counts,
     "op4_language_id": op4_language_id,
     "op7_decontamination": op7_decontamination,
