@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, line_dedup, mixing, near_dedup, quality, token_counts
+from . import chat, decontaminate, langid, line_dedup, mixing, near_dedup, quality, token_counts, toxicity
 
 #: Vocabulary files of public tokenizers.
 TOKENIZERS = os.environ.get("LAPFORGE_TOKENIZERS", "/opt/tokenizers")
@@ -104,7 +104,20 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = [("low_quality", F.col("quality") == 0), ("toxic", F.col("toxic") == 1)]
+    model = toxicity.train_chain(docs, _table(spark, sf_dir, "labels"), chain)
+    return toxicity.score_chain(docs, model, F.col("text")).select(
+        "doc_id",
+        F.col("__tox.p_low_quality").alias("p_low_quality"),
+        F.col("__tox.p_toxic").alias("p_toxic"),
+        F.col("__tox.is_toxic").alias("toxic"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_toxicity": op6_toxicity,
     "op3_chat_windows": op3_chat_windows,
     "op5_token_counts": op5_token_counts,
     "op4_language_id": op4_language_id,

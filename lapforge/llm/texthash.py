@@ -18,6 +18,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _BLOCK = 1 << 20
 _IS_WS = np.zeros(256, bool)
 _IS_WS[[9, 10, 11, 12, 13, 32]] = True
+_NO_PUNCTUATION = np.arange(256, dtype=np.uint8)
+_NO_PUNCTUATION[[i for i in range(33, 127) if not chr(i).isalnum()]] = 32
 
 
 def _byte_values(fold: bool) -> np.ndarray:
@@ -78,9 +80,12 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return begin, np.flatnonzero(ends) + 1, np.searchsorted(offsets, begin, "right") - 1
 
 
-def word_hashes(texts: pa.Array, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of words of every text). fold: A-Z count as a-z."""
+def word_hashes(texts: pa.Array, fold: bool, split_punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, number of words of every text). fold: A-Z count as a-z.
+    split_punctuation: ASCII punctuation parts words like white space."""
     raw, offsets = buffers(texts)
+    if split_punctuation:
+        raw = _NO_PUNCTUATION[raw]
     begin, end, owner = word_spans(raw, offsets)
     out = np.empty(len(begin), np.uint64)
     k = 0
