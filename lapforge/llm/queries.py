@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, line_dedup, mixing, near_dedup, quality, token_counts, toxicity
+from . import chat, decontaminate, langid, line_dedup, mixing, near_dedup, quality, token_counts, toxicity, urls
 
 #: Vocabulary files of public tokenizers.
 TOKENIZERS = os.environ.get("LAPFORGE_TOKENIZERS", "/opt/tokenizers")
@@ -116,7 +116,30 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: (verdict, host, path start).
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's URL ends in the id of its document; that document's labels label the URL
+    (bad: of low quality or toxic)."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = _table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(
+        F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad")
+    )
+    number = F.try_to_number(F.regexp_extract("url", r"://[^/?#]*/[^/?#]*/([0-9]{1,18})", 1), F.lit("9" * 18)).cast("long")
+    labelled = pages.select("url", number.alias("doc_id")).join(bad, "doc_id").select("url", "bad")
+    return urls.judge(pages, urls.train(labelled), URL_RULES, F.col("url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_url_filters": op9_url_filters,
     "op6_toxicity": op6_toxicity,
     "op3_chat_windows": op3_chat_windows,
     "op5_token_counts": op5_token_counts,
