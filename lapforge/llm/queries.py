@@ -126,15 +126,24 @@ URL_RULES = [
 ]
 
 
+#: Words of a host name that label its URLs as bad.
+BAD_HOST_WORDS = [
+    "ads", "adult", "bet", "bets", "bingo", "casino", "cracked", "dating", "escort", "gambling", "loans", "lottery", "malware",
+    "payday", "phishing", "pills", "poker", "porn", "replica", "slots", "spam", "torrent", "viagra", "warez", "xxx",
+]
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's URL ends in the id of its document; that document's labels label the URL
-    (bad: of low quality or toxic)."""
+    """Labelled URLs: a page's URL ends in the id of its document, and that document's labels
+    label the URL (bad: of low quality or toxic); a host with one of BAD_HOST_WORDS is bad."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     bad = _table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(
         F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad")
     )
     number = F.try_to_number(F.regexp_extract("url", r"://[^/?#]*/[^/?#]*/([0-9]{1,18})", 1), F.lit("9" * 18)).cast("long")
-    labelled = pages.select("url", number.alias("doc_id")).join(bad, "doc_id").select("url", "bad")
+    seed = F.arrays_overlap(F.split(urls.host_of(F.col("url")), "[.-]"), F.array(*[F.lit(w) for w in BAD_HOST_WORDS]))
+    labelled = pages.select("url", number.alias("doc_id"), seed.alias("seed")).join(bad, "doc_id", "left")
+    labelled = labelled.select("url", F.when(F.col("seed"), 1).otherwise(F.col("bad")).alias("bad"))
     return urls.judge(pages, urls.train(labelled), URL_RULES, F.col("url")).select("page_id", "host", "path", "rule", "verdict")
 
 
