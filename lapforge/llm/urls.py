@@ -4,7 +4,7 @@ A rule (host, path start) fits its host, all its subdomains, and every path that
 its own; the longest rule wins. URLs without a rule get the verdict of gradient-boosted trees
 trained from labelled URLs: length, depth, digit ratio, character entropy, parameter counts
 and suffix statistics (how often labelled URLs of the same host suffix are bad, smoothed
-towards the overall rate; a training URL's own label is left out of its own statistic).
+towards the overall rate; a training URL's statistic leaves out the labels of its own fold).
 
 DataFrame functions and Spark's own trees only. Training takes at most SAMPLE labelled rows
 (those with the least seeded hash); suffix statistics count all labelled rows.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, lower_ascii, stage
 
-SAMPLE, SMOOTHING, TREES, DEPTH = 20_000, 20.0, 10, 4
+SAMPLE, FOLDS, SMOOTHING, TREES, DEPTH = 20_000, 5, 10.0, 10, 4
 #: Host suffixes have one row each; broadcast up to this many.
 MAX_BROADCAST = 100_000
 MAX_RULES = 1000
@@ -70,7 +70,7 @@ def _entropy(text: Column) -> Column:
 
 
 def lexical_features(urls: DataFrame, url: Column) -> DataFrame:
-    """urls with host, path, site (last two labels of the host), top (last label) and the
+    """urls with host, path, site (last three labels of the host), top (last two) and the
     lexical features."""
     text = F.coalesce(url, F.lit(""))
     out = urls.withColumns({"host": host_of(text), "path": path_of(text)})
@@ -92,15 +92,15 @@ def lexical_features(urls: DataFrame, url: Column) -> DataFrame:
         "fragment": text.contains("#").cast("int"),
     }
     out = out.withColumns({k: F.when(known, v).otherwise(0).cast("double") for k, v in counts.items()})
-    return out.withColumns({"site": F.substring_index(host, ".", -2), "top": F.substring_index(host, ".", -1)})
+    return out.withColumns({"site": F.substring_index(host, ".", -3), "top": F.substring_index(host, ".", -2)})
 
 
-def _with_rates(df: DataFrame, stats: dict[str, DataFrame], rate: float, own: Column | None = None) -> DataFrame:
+def _with_rates(df: DataFrame, stats: dict[str, DataFrame], rate: float) -> DataFrame:
+    """The smoothed share of bad URLs by key, from tables (key, [fold,] __bad, __n)."""
     for key, table in stats.items():
-        df = df.join(broadcast_if_small(table, MAX_BROADCAST), key, "left")
+        on = [key, "fold"] if "fold" in table.columns else key
+        df = df.join(broadcast_if_small(table, MAX_BROADCAST), on, "left")
         bad, n = F.coalesce("__bad", F.lit(0)), F.coalesce("__n", F.lit(0))
-        if own is not None:
-            bad, n = bad - own, n - 1
         df = df.withColumn(f"{key}_rate", (bad + SMOOTHING * rate) / (n + SMOOTHING)).drop("__bad", "__n")
     return df
 
@@ -108,16 +108,26 @@ def _with_rates(df: DataFrame, stats: dict[str, DataFrame], rate: float, own: Co
 def train(labelled: DataFrame, sample: int = SAMPLE):
     """(trees or None, suffix statistics, overall rate) from (url, bad: 0 or 1)."""
     rows = lexical_features(labelled.where("url is not null and bad is not null").select("url", "bad"), F.col("url"))
-    rows = stage(rows.withColumn("rank", F.xxhash64("url", F.lit(9))), "labelled")
+    rows = rows.withColumn("rank", F.xxhash64("url", F.lit(9))).withColumn("fold", F.pmod("rank", F.lit(FOLDS)))
+    rows = stage(rows, "labelled")
     total, bad = rows.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
     rate = bad / total if total else 0.0
     count = [F.sum("bad").alias("__bad"), F.count("*").alias("__n")]
-    stats = {key: stage(rows.groupBy(key).agg(*count), key) for key in ("site", "top")}
+    by_fold = {key: stage(rows.groupBy(key, "fold").agg(*count), key) for key in ("site", "top")}
+    whole = [F.sum("__bad").alias("__bad"), F.sum("__n").alias("__n")]
+    stats = {key: stage(table.groupBy(key).agg(*whole), key) for key, table in by_fold.items()}
+    others = {
+        key: stage(
+            by_fold[key].toDF(key, "fold", "b", "m").join(stats[key], key).select(key, "fold", (F.col("__bad") - F.col("b")).alias("__bad"), (F.col("__n") - F.col("m")).alias("__n")),
+            key,
+        )
+        for key in stats
+    }
     if not 0 < bad < total:
         return None, stats, rate
     if total > sample:
         rows = rows.where(F.col("rank") <= rows.approxQuantile("rank", [sample / total], 0.001)[0]).limit(sample)
-    rows = _with_rates(rows, stats, rate, own=F.col("bad"))
+    rows = _with_rates(rows, others, rate)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", F.col("bad").cast("double").alias("label"))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=32)
     return trees.fit(stage(vectors, "vectors")), stats, rate
