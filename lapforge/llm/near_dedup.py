@@ -11,9 +11,10 @@
 3. Of a merged list, each member is compared with two pivots; collisions are counted on the
    whole signatures, T or more go on, and the link is confirmed on the full shingle sets.
    Links join classes into components. A list whose members are then of one component is
-   done: its other pairs can't change a result. In the lists that are left, all pairs across
-   components are compared. So no link that joins different components is lost, and a group
-   of n near copies costs about n comparisons, not n * n.
+   done: its other pairs can't change a result. The classes of lists that are left (they may
+   hold a passage that many texts share) meet once more, across components only, in an exact
+   prefix join of their rarest shingles. So no link that joins different components is lost,
+   and a group of n near copies costs about n comparisons, not n * n.
 
 Recall: a pair at similarity 0.75 collides Binomial(64, 0.75) times; fewer than 32 has a
 chance of about 1e-5, and less for more similar pairs.
@@ -103,7 +104,7 @@ def _ordered(a, b):
 
 
 def _near_size(a, b):
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & F.lit(True)
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
 def _confirm(pairs: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -120,6 +121,34 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
     return stage(both.where(alike & (shared > 0)).select("a", "b").distinct(), "links")
 
 
+def _across(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels that may reach the similarity, from (rep, n, label).
+
+    A prefix join on the shingles themselves: a pair shares at least need = PERCENT % of the
+    shingles of either, so one of the m - need + 1 rarest of the m shingles that several
+    labels have. Passages that many documents share are the last to be merged, and the
+    documents around them have rarer shingles of their own, which nobody shares.
+    """
+    ids = broadcast_if_small(left.select(F.col("rep").alias("id")).distinct(), MAX_BROADCAST)
+    sets = docs.join(ids, "id", "left_semi").select(
+        F.col("id").alias("rep"), F.explode(F.arrow_udf(_sets, "array<long>")("text")).alias("s")
+    )
+    sets = stage(sets.join(left, "rep").select("rep", "n", "label", "s").distinct(), "shingles")
+    shared = sets.groupBy("s").agg(F.count("*").alias("count"), (F.min("label") < F.max("label")).alias("open")).where("open")
+    by_class = sets.join(shared.select("s", "count"), "s").groupBy("rep", "n", "label")
+    by_class = by_class.agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("ss"))
+    need = F.ceil(F.col("n") * PERCENT / 100).cast("int")
+    prefix = by_class.where(F.size("ss") >= need).select(
+        "rep", "n", "label", F.explode(F.slice("ss", F.lit(1), F.size("ss") - need + 1)).alias("x")
+    )
+    prefix = stage(prefix.select(F.col("x.s").alias("s"), "rep", "n", "label"), "rare")
+    blocks = prefix.select("s", "label").distinct()
+    la, lb = (blocks.select("s", F.col("label").alias(x)) for x in ("la", "lb"))
+    side = lambda x: prefix.select("s", F.col("label").alias(f"l{x}"), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
+    pairs = la.join(lb, "s").where("la < lb").join(side("a"), ["s", "la"]).join(side("b"), ["s", "lb"])
+    return pairs.where(_near_size(F.col("na"), F.col("nb"))).select(*_ordered(F.col("ra"), F.col("rb"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, n_shingles, component, kept."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -152,15 +181,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     labels = connected_components(links)
     labelled = prefix.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = stage(labelled.select("tok", "rep", "n", F.coalesce("component", "rep").alias("label")), "labelled")
-    open_lists = labelled.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    blocks = labelled.join(open_lists.select("tok"), "tok", "left_semi").select("tok", "label").distinct()
-    a, b = (blocks.select("tok", F.col("label").alias(x)) for x in ("la", "lb"))
-    across = a.join(b, "tok").where("la < lb")
-    side = lambda x: labelled.select("tok", F.col("label").alias(f"l{x}"), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
-    rest = across.join(side("a"), ["tok", "la"]).join(side("b"), ["tok", "lb"]).where(_near_size(F.col("na"), F.col("nb")))
-    rest = rest.select(*_ordered(F.col("ra"), F.col("rb"))).distinct().join(tested, ["a", "b"], "left_anti")
-    more = _confirm(stage(rest, "pairs"), sigs, docs)
+    labelled = labelled.select("tok", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    labelled = stage(labelled, "labelled")
+    several = F.min("label") < F.max("label")
+    left = labelled.join(labelled.groupBy("tok").agg(several.alias("open")).where("open").select("tok"), "tok", "left_semi")
+    left = stage(left.select("rep", "n", "label").distinct(), "left")
+    more = _confirm(stage(_across(left, docs).join(tested, ["a", "b"], "left_anti"), "pairs"), sigs, docs)
     components = connected_components(links.union(more)) if not more.isEmpty() else labels
 
     c = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
