@@ -15,7 +15,7 @@ import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _IS_WS = np.zeros(256, bool)
 _IS_WS[[9, 10, 11, 12, 13, 32]] = True
 _NO_PUNCTUATION = np.arange(256, dtype=np.uint8)
@@ -30,13 +30,13 @@ def _byte_values(fold: bool) -> np.ndarray:
 
 
 def _powers(base: np.uint64) -> np.ndarray:
+    """base ** 0 ... base ** _BLOCK; made when first needed, not sent along."""
     p = np.full(_BLOCK + 1, base, np.uint64)
     p[0] = 1
     return np.multiply.accumulate(p, dtype=np.uint64)
 
 
 _VALUES = {fold: _byte_values(fold) for fold in (False, True)}
-_POW, _INV = _powers(_BASE), _powers(_INVERSE)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -87,20 +87,21 @@ def word_hashes(texts: pa.Array, fold: bool, split_punctuation: bool = False) ->
     if split_punctuation:
         raw = _NO_PUNCTUATION[raw]
     begin, end, owner = word_spans(raw, offsets)
+    power, inverse = _powers(_BASE), _powers(_INVERSE)
     out = np.empty(len(begin), np.uint64)
     k = 0
     while k < len(begin):  # blocks of whole words
         to = max(k + 1, int(np.searchsorted(end, begin[k] + _BLOCK, "right")))
         lo, hi = begin[k], end[to - 1]
         if hi - lo <= _BLOCK:
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[fold][raw[lo:hi]] * _POW[: hi - lo], dtype=np.uint64)])
-            out[k:to] = (sums[end[k:to] - lo] - sums[begin[k:to] - lo]) * _INV[begin[k:to] - lo]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[fold][raw[lo:hi]] * power[: hi - lo], dtype=np.uint64)])
+            out[k:to] = (sums[end[k:to] - lo] - sums[begin[k:to] - lo]) * inverse[begin[k:to] - lo]
         else:  # one word of over a MB: block by block
-            h = np.uint64(0)
+            h = np.zeros(1, np.uint64)
             for at in range(lo, hi, _BLOCK):
                 part = _VALUES[fold][raw[at : min(hi, at + _BLOCK)]]
-                h = mix(np.array([h], np.uint64))[0] + (part * _POW[: len(part)]).sum(dtype=np.uint64)
-            out[k] = h
+                h = mix(h) + (part * power[: len(part)]).sum(dtype=np.uint64)
+            out[k] = h[0]
         k = to
     counts = np.bincount(owner, minlength=len(texts))
     return mix(out), counts.astype(np.int64)

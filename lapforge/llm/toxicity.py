@@ -30,6 +30,9 @@ from .texthash import text_blocks, word_hashes
 
 BITS, SAMPLE, FOLDS, EPOCHS, BATCH, RATE, L2 = 18, 12_000, 3, 8, 128, 0.3, 1e-6
 
+#: A word counts if enough documents have it and its rate differs by this many deviations.
+MIN_DOCS, MIN_Z = 3, 4.0
+
 
 def _features(texts: pa.Array) -> list[np.ndarray]:
     """The distinct hashed words of each text."""
@@ -58,6 +61,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(weights of features, weights of extra columns and last the bias): AdaGrad on batches."""
+    # only words whose rate differs between the classes: others would be learnt by heart
+    count = lambda some: np.bincount(np.concatenate([np.zeros(0, np.int32), *some]), minlength=1 << BITS)
+    n, n1, seen = len(y), y.sum(), count(rows)
+    share = np.clip(seen / n, 1e-12, 1 - 1e-12)
+    z = (count([r for r, t in zip(rows, y, strict=True) if t]) - n1 * share) / np.sqrt(n1 * (n - n1) / n * share * (1 - share))
+    keep = (seen >= MIN_DOCS) & (np.abs(z) >= MIN_Z)
+    rows = [r[keep[r]] for r in rows]
     w, v = np.zeros(1 << BITS), np.zeros(extra.shape[1] + 1)
     gw, gv = np.full(1 << BITS, 1e-4), np.full(len(v), 1e-4)
     x = np.column_stack([extra, np.ones(len(y))])
