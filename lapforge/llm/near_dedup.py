@@ -8,7 +8,7 @@
    threshold and is skipped whole. Of the rest only the prefix is merged: with a class's m
    posts ordered by length of list, two classes that collide T times or more share one of
    their m - T + 1 shortest lists.
-3. Of a merged list, each member is compared with two pivots; collisions are counted on the
+3. Of a merged list, each member is compared with two pivots (members with the most posts that others share); collisions are counted on the
    whole signatures, T or more go on, and the link is confirmed on the full shingle sets.
    Links join classes into components. A list whose members are then of one component is
    done: its other pairs can't change a result. The classes of lists that are left (they may
@@ -41,6 +41,10 @@ WORDS, K, T = 5, 64, 32
 PERCENT = 75
 #: Ids of documents whose full sets are needed are broadcast up to this count (8 bytes each).
 MAX_BROADCAST = 500_000
+#: Ratio of the sizes of a band in the exact join.
+BAND = 1.07
+#: Words of parity bits of a set.
+LONGS = 16
 _A = np.random.default_rng(11).integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(12).integers(0, 2**63, K, dtype=np.uint64)
 
@@ -121,32 +125,75 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
     return stage(both.where(alike & (shared > 0)).select("a", "b").distinct(), "links")
 
 
+def _parities(texts: pa.Array) -> pa.Array:
+    """(set, bits): the shingles, and 64 * LONGS parity bits that each shingle flips one of."""
+    sets: list[np.ndarray] = []
+    bits: list[np.ndarray] = []
+    for lo, hi in text_blocks(texts):
+        for u in _distinct(*shingles(texts.slice(lo, hi - lo))):
+            at = (mix(u ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * LONGS)).astype(np.int64)
+            sets.append(u.view(np.int64))
+            bits.append(np.packbits(np.bincount(at, minlength=64 * LONGS).astype(np.uint8) & 1).view(np.int64))
+    longs = pa.list_(pa.int64())
+    return pa.StructArray.from_arrays([pa.array(sets, longs), pa.array(bits, longs)], names=["set", "bits"])
+
+
 def _across(left: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of different labels that may reach the similarity, from (rep, n, label).
 
-    A prefix join on the shingles themselves: a pair shares at least need = PERCENT % of the
-    shingles of either, so one of the m - need + 1 rarest of the m shingles that several
-    labels have. Passages that many documents share are the last to be merged, and the
-    documents around them have rarer shingles of their own, which nobody shares.
+    A prefix join on the shingles themselves. Of sizes n and n', a pair must share
+    need = ceil(3 / 7 * (n + n')) shingles (similarity 3 / 4), so one of the m - need + 1
+    rarest of the m shingles that several labels have. Sizes are cut into bands, and each
+    class is posted once for each band its partner may lie in: need then uses that band's
+    least size, which makes prefixes as short as the sizes allow. Passages that many documents
+    share are the last to be merged, and classes with too many shingles of their own drop out.
+
+    In a list, members outside its most frequent label meet all others; a pair is made only if
+    the parity bits allow it: sets differ in at least as many shingles as their bits do.
     """
     ids = broadcast_if_small(left.select(F.col("rep").alias("id")).distinct(), MAX_BROADCAST)
-    sets = docs.join(ids, "id", "left_semi").select(
-        F.col("id").alias("rep"), F.explode(F.arrow_udf(_sets, "array<long>")("text")).alias("s")
+    kinds = "set array<long>, bits array<long>"
+    sets = docs.join(ids, "id", "left_semi").select(F.col("id").alias("rep"), F.arrow_udf(_parities, kinds)("text").alias("x"))
+    sets = stage(sets.join(left, "rep").select("rep", "n", "label", "x.*").distinct(), "shingles")
+    each = sets.select("rep", "n", "label", F.explode("set").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("count"), (F.min("label") < F.max("label")).alias("open")).where("open")
+    by_class = each.join(shared.select("s", "count"), "s").groupBy("rep", "n", "label")
+    by_class = by_class.agg(F.sort_array(F.collect_set(F.struct("count", "s"))).alias("ss"))
+    band = F.floor(F.log("n") / F.log(F.lit(BAND)) + 1e-9)
+    reach = int(np.ceil(np.log(100 / PERCENT) / np.log(BAND)))
+    posted = by_class.withColumn("band", band).withColumn("other", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach)))
+    # the least size in the other band, taken a little low: rounding must not lengthen need
+    least = F.greatest(F.col("n") * PERCENT / 100, F.pow(F.lit(BAND), F.col("other")) * (1 - 1e-6))
+    need = F.ceil((F.col("n") + least) * PERCENT / (100 + PERCENT) - 1e-6).cast("int")
+    posted = posted.withColumn("m", F.size("ss")).where((F.col("m") >= need) & (F.col("other") >= 0))
+    posted = posted.select("rep", "n", "label", "m", "band", "other", F.explode(F.slice("ss", F.lit(1), F.col("m") - need + 1)).alias("x"))
+    cell = ["s", "lo", "hi"]
+    posted = posted.select(
+        F.col("x.s").alias("s"), F.least("band", "other").alias("lo"), F.greatest("band", "other").alias("hi"), "rep", "n", "label", "m", "band", "other"
     )
-    sets = stage(sets.join(left, "rep").select("rep", "n", "label", "s").distinct(), "shingles")
-    shared = sets.groupBy("s").agg(F.count("*").alias("count"), (F.min("label") < F.max("label")).alias("open")).where("open")
-    by_class = sets.join(shared.select("s", "count"), "s").groupBy("rep", "n", "label")
-    by_class = by_class.agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("ss"))
-    need = F.ceil(F.col("n") * PERCENT / 100).cast("int")
-    prefix = by_class.where(F.size("ss") >= need).select(
-        "rep", "n", "label", F.explode(F.slice("ss", F.lit(1), F.size("ss") - need + 1)).alias("x")
+    posted = stage(posted, "rare")
+    counts = posted.groupBy(*cell, "label").agg(F.count("*").alias("k"))
+    cells = counts.groupBy(*cell).agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
+    live = posted.join(cells.select(*cell, "major"), cell).join(sets.select("rep", "bits"), "rep")
+    live = stage(live.select("s", "rep", "n", "label", "m", "band", "other", "major", "bits"), "live")
+    side = lambda x: live.select(*[F.col(c).alias(f"{x}_{c}") for c in live.columns])
+    a, b = side("a").where("a_label <> a_major"), side("b")
+    size = F.col("a_n") + F.col("b_n")
+    differ = F.lit(0)
+    for i in range(LONGS):
+        differ = differ + F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i]))
+    pairs = a.join(
+        b,
+        (F.col("a_s") == F.col("b_s"))
+        & (F.col("a_band") == F.col("b_other"))
+        & (F.col("a_other") == F.col("b_band"))
+        & (F.col("a_label") != F.col("b_label"))
+        & ((F.col("b_label") == F.col("b_major")) | (F.col("a_rep") < F.col("b_rep")))
+        & _near_size(F.col("a_n"), F.col("b_n"))
+        & ((100 + PERCENT) * F.least("a_m", "b_m") >= PERCENT * size)
+        & ((100 + PERCENT) * (size - differ) >= 2 * PERCENT * size),  # shared <= (n + n' - differ) / 2
     )
-    prefix = stage(prefix.select(F.col("x.s").alias("s"), "rep", "n", "label"), "rare")
-    blocks = prefix.select("s", "label").distinct()
-    la, lb = (blocks.select("s", F.col("label").alias(x)) for x in ("la", "lb"))
-    side = lambda x: prefix.select("s", F.col("label").alias(f"l{x}"), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
-    pairs = la.join(lb, "s").where("la < lb").join(side("a"), ["s", "la"]).join(side("b"), ["s", "lb"])
-    return pairs.where(_near_size(F.col("na"), F.col("nb"))).select(*_ordered(F.col("ra"), F.col("rb"))).distinct()
+    return pairs.select(*_ordered(F.col("a_rep"), F.col("b_rep"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,14 +211,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = posts.groupBy("tok").count().where("count > 1")
     by_class = posts.join(lists, "tok").groupBy("rep", "n").agg(F.sort_array(F.collect_set(F.struct("count", "tok"))).alias("toks"))
     prefix = by_class.where(F.size("toks") >= T).select(
-        "rep", "n", F.explode(F.slice("toks", F.lit(1), F.size("toks") - (T - 1))).alias("t")
+        "rep", "n", F.size("toks").alias("m"), F.explode(F.slice("toks", F.lit(1), F.size("toks") - (T - 1))).alias("t")
     )
-    prefix = stage(prefix.select("rep", "n", F.col("t.tok").alias("tok")), "prefix")
+    prefix = stage(prefix.select("rep", "n", "m", F.col("t.tok").alias("tok")), "prefix")
 
-    member = F.struct("rep", "n")
-    heads = prefix.groupBy("tok").agg(
-        F.min(member).alias("p"), F.max(F.struct(F.xxhash64("rep").alias("h"), member.alias("m")))["m"].alias("q")
-    ).where(F.col("p.rep") != F.col("q.rep"))
+    # pivots: members with the most shared posts have the fewest changes of their own
+    central = lambda seed: F.max(F.struct("m", F.xxhash64("rep", F.lit(seed)).alias("h"), F.struct("rep", "n").alias("v")))["v"]
+    heads = prefix.groupBy("tok").agg(F.count("*").alias("k"), central(1).alias("p"), central(2).alias("q")).where("k > 1")
     pivots = prefix.join(heads, "tok").select("rep", "n", F.explode(F.array("p", "q")).alias("v"))
     pairs = pivots.where((F.col("v.rep") != F.col("rep")) & _near_size(F.col("n"), F.col("v.n")))
     tested = stage(pairs.select(*_ordered(F.col("rep"), F.col("v.rep"))).distinct(), "pairs")
