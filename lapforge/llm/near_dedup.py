@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stage
@@ -196,15 +196,21 @@ def _across(left: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.select(*_ordered(F.col("a_rep"), F.col("b_rep"))).distinct()
 
 
+def _nameless(id_col: str, text_col: str) -> Column:
+    """What tells rows without an id apart: a hash of their text; 0 for rows with one."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: id, n_shingles, component, kept."""
+    """A row for each row of docs: id, n_shingles, component, kept (and th, a hash of the text
+    where there is no id)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sign = F.arrow_udf(_sign, "n long, s1 long, s2 long, sig array<long>")
-    signed = stage(docs.select("id", sign("text").alias("s")).select("id", "s.*"), "signed")
+    signed = stage(docs.select("id", _nameless("id", "text").alias("th"), sign("text").alias("s")).select("id", "th", "s.*"), "signed")
 
     classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     members = signed.join(classes, ["s1", "s2"], "left")
-    members = stage(members.select("id", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
+    members = stage(members.select("id", "th", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
     sigs = members.where("sig is not null").select("rep", "n", "sig")
 
     posts = sigs.select("rep", "n", F.explode("sig").alias("tok"))
@@ -236,12 +242,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components = connected_components(links.union(more)) if not more.isEmpty() else labels
 
     c = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component")
+        "id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component")
     )
     return c.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull()))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near duplicates: of each group the document with the least id stays."""
-    marks = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("id").alias("__id")).distinct()
-    return docs.join(marks, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    marks = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (_nameless(id_col, text_col) == F.col("__th"))
+    return docs.join(marks, same, "left_anti")

@@ -373,6 +373,7 @@ def test_near_dedup_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, long), (3, long), (3, long), (5, long + " x"), (5, "quite another text of words here"), (None, "alone with nobody else around me"), (7, "quite another text of words here")], "doc_id long, text string")
     got = sorted(((x["id"], x["component"], x["kept"]) for x in near_dedup.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 3, False), (3, 3, True), (3, 3, True), (5, 3, False), (5, 3, False), (None, None, True), (7, 3, False)], key=str)
+    assert sorted((tuple(x) for x in near_dedup.near_dedup(df).collect()), key=str) == [(3, long), (3, long), (None, "alone with nobody else around me")]
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
