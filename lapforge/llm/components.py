@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     steps: list[DataFrame] = []
     while not live.isEmpty():
         both = live.union(live.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(steps))).alias("r"), F.col(c).alias("n"))  # noqa: E731, B023
+        # a hash holds for two rounds: what a star's centre joins in the first is its least leaf in the second
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(steps) // 2)).alias("r"), F.col(c).alias("n"))  # noqa: E731, B023
         step = stage(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least("m", rank("a"))["n"].alias("to")), "step")
         to = lambda c: step.select(F.col("a").alias(c), F.col("to").alias(f"{c}2"))  # noqa: E731, B023
         moved = live.join(to("a"), "a").join(to("b"), "b").where("a2 <> b2")
