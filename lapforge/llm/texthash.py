@@ -55,7 +55,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(raw) else raw, offsets - offsets[0]
 
 
-def text_blocks(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def text_blocks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most limit bytes together (one text alone may be longer)."""
     _, offsets = buffers(texts)
     start = 0
