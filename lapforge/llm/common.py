@@ -56,3 +56,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """df (a staged table, so that counting is cheap) with a broadcast hint if it has at
     most max_rows rows; else df, and Spark shuffles the join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def least_hashed(rows: DataFrame, sample: int, total: int, rank: str, *ties: str) -> DataFrame:
+    """The sample of rows (a staged table of total rows) with the least rank, a 64-bit hash;
+    equal ranks go by ties. Exact at every size: the rows under a threshold that holds more
+    than enough evenly spread hashes, raised until it holds enough of these, are sorted."""
+    if total <= sample:
+        return rows
+    share = 1.1 * sample / total
+    while share < 1:
+        low = rows.where(F.col(rank) <= int(share * 2**64) - 2**63)
+        if low.count() >= sample:
+            rows = low
+            break
+        share *= 2
+    return rows.orderBy(rank, *ties).limit(sample)

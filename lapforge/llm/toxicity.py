@@ -7,8 +7,9 @@ them from models that haven't seen it, so a later model learns from predictions
 those it meets in use.
 
 Training takes a bounded sample: the SAMPLE labelled documents with the least seeded hash of
-their id (all of them if there are fewer). Only their feature lists reach the driver. The
-weights (2**BITS for each category) are broadcast; every document is scored.
+their id (all of them if there are fewer), each once, with the text of least hash if rows
+share its id. Only their feature lists reach the driver. The weights (2**BITS for each
+category) are broadcast; every document is scored.
 
 Defined results: a null, empty or wordless text has probability 0 in every category and isn't
 flagged. A null label leaves its row out for that category. A category without both classes
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import least_hashed, stage
 from .texthash import text_blocks, word_hashes
 
 BITS, SAMPLE, FOLDS, EPOCHS, BATCH, RATE, L2 = 18, 12_000, 3, 8, 128, 0.3, 1e-6
@@ -136,12 +137,12 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[s
     truth = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(c.cast("int")).alias(n) for n, c in categories])
     truth = stage(truth.withColumn("rank", F.xxhash64("doc_id", F.lit(5))), "truth")
     total = truth.count()
-    if total > sample:  # the least hashes: a cut by quantile, then by order
-        cut = truth.approxQuantile("rank", [min(1.0, 1.1 * sample / total)], 0.001)[0]
-        truth = truth.where(F.col("rank") <= cut).orderBy("rank").limit(sample)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(truth), "doc_id")  # at most SAMPLE rows
+    truth = least_hashed(truth, sample, total, "rank", "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(truth), "doc_id")  # at most SAMPLE ids
     to_lists = F.arrow_udf(lambda t: pa.array(_features(t), pa.list_(pa.int32())), "array<int>")
-    table = chosen.select("doc_id", "rank", *names, to_lists("text").alias("ids")).orderBy("rank").limit(sample).toArrow()
+    read = chosen.select("doc_id", "rank", *names, F.xxhash64("text").alias("th"), to_lists("text").alias("ids"))
+    once = read.groupBy("doc_id", "rank", *names).agg(F.min_by("ids", "th").alias("ids"))  # copies must not fill the sample
+    table = once.orderBy("rank", "doc_id").limit(sample).toArrow()
     rows = [np.asarray(x, np.int32) for x in table.column("ids").to_pylist()]
     y = np.column_stack([np.array(table.column(n).to_pylist(), float) for n in names]) if rows else np.zeros((0, len(names)))
     folds = np.array(table.column("rank").to_pylist(), np.int64) % FOLDS

@@ -239,6 +239,21 @@ def test_toxicity_chain(spark):
     assert not any(x["__tox"]["is_toxic"] for x in toxicity.score_chain(table, none, F.col("text")).collect())
 
 
+def test_toxicity_sample_is_whole_in_large_tables(spark, monkeypatch):
+    sample, total = 15, 20_000  # less than a thousandth
+    ids = spark.range(total).select(F.col("id").alias("doc_id"))
+    ranks = [r[0] for r in ids.orderBy(F.xxhash64("doc_id", F.lit(5))).limit(sample).collect()]
+    copies = ids.union(spark.range(100).select(F.lit(ranks[0])))  # one sampled document many times
+    table = copies.withColumn("text", F.concat(F.lit("word"), F.col("doc_id").cast("string")))
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, labels, folds: seen.append((rows, labels)) or ())
+    toxicity.train_chain(table, ids.withColumn("toxic", F.col("doc_id") % 2), [("toxic", F.col("toxic") == 1)], sample)
+    [(rows, labels)] = seen
+    want = toxicity._features(pa.array([f"word{i}" for i in ranks]))
+    assert [r.tolist() for r in rows] == [w.tolist() for w in want]
+    assert labels[:, 0].tolist() == [i % 2 for i in ranks]
+
+
 # 7 decontamination
 
 
