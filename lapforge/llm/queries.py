@@ -142,9 +142,9 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     number = F.try_to_number(F.regexp_extract("url", r"://[^/?#]*/[^/?#]*/([0-9]{1,18})", 1), F.lit("9" * 18)).cast("long")
     seed = F.arrays_overlap(F.split(urls.host_of(F.col("url")), "[.-]"), F.array(*[F.lit(w) for w in BAD_HOST_WORDS]))
-    labelled = pages.select("url", number.alias("doc_id"), seed.alias("seed")).join(bad, "doc_id", "left")
-    labelled = labelled.select("url", F.when(F.col("seed"), 1).otherwise(F.col("bad")).alias("bad"))
-    return urls.judge(pages, urls.train(labelled), URL_RULES, F.col("url")).select("page_id", "host", "path", "rule", "verdict")
+    labelled = pages.select("page_id", "url", number.alias("doc_id"), seed.alias("seed")).join(bad, "doc_id", "left")
+    labelled = labelled.select("page_id", "url", F.when(F.col("seed"), 1).otherwise(F.col("bad")).alias("bad"))
+    return urls.judge(pages, urls.train(labelled, key="page_id"), URL_RULES, F.col("url")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

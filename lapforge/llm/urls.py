@@ -6,8 +6,10 @@ trained from labelled URLs: length, depth, digit ratio, character entropy, param
 and suffix statistics (how often labelled URLs of the same host suffix are bad, smoothed
 towards the overall rate; a training URL's statistic leaves out the labels of its own fold).
 
-DataFrame functions and Spark's own trees only. Training takes at most SAMPLE labelled rows
-(those with the least seeded hash); suffix statistics count all labelled rows.
+DataFrame functions and Spark's own trees only. Training takes at most SAMPLE labelled rows,
+those with the least seeded hash of key and URL; suffix statistics count all labelled rows. If
+these rows hold one kind of label only, half of the sample is taken from each kind and weighted
+by its share of the table.
 
 Defined results: a null URL, or one without ://, has an empty host and path, fits no rule and
 has features 0. Null labels don't train. Without labels of both kinds every URL without a
@@ -23,7 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, lower_ascii, stage
+from .common import broadcast_if_small, least_hashed, lower_ascii, stage
 
 SAMPLE, FOLDS, SMOOTHING, TREES, DEPTH = 20_000, 5, 10.0, 10, 4
 #: Host suffixes have one row each; broadcast up to this many.
@@ -105,10 +107,24 @@ def _with_rates(df: DataFrame, stats: dict[str, DataFrame], rate: float) -> Data
     return df
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE):
-    """(trees or None, suffix statistics, overall rate) from (url, bad: 0 or 1)."""
-    rows = lexical_features(labelled.where("url is not null and bad is not null").select("url", "bad"), F.col("url"))
-    rows = rows.withColumn("rank", F.xxhash64("url", F.lit(9))).withColumn("fold", F.pmod("rank", F.lit(FOLDS)))
+def _sampled(rows: DataFrame, sample: int, total: int, bad: int) -> DataFrame:
+    """At most sample of the rows, with a weight; of both kinds of label, as rows has both."""
+    taken = stage(least_hashed(rows, sample, total, "rank", "url", "bad").withColumn("weight", F.lit(1.0)), "taken")
+    if taken.select("bad").distinct().count() > 1:
+        return taken
+    half, kinds = max(1, sample // 2), []
+    for kind, n in ((0, total - bad), (1, bad)):
+        some = least_hashed(rows.where(F.col("bad") == kind), half, n, "rank", "url")
+        kinds.append(some.withColumn("weight", F.lit(n / min(n, half))))
+    return kinds[0].union(kinds[1])
+
+
+def train(labelled: DataFrame, sample: int = SAMPLE, key: str = "url"):
+    """(trees or None, suffix statistics, overall rate) from (url, bad: 0 or 1). key names a
+    column that tells rows with the same URL apart, so that the sample doesn't take them all
+    or none."""
+    rows = labelled.where("url is not null and bad is not null").select("url", "bad", F.xxhash64(key, "url", F.lit(10)).alias("rank"))
+    rows = lexical_features(rows, F.col("url")).withColumn("fold", F.pmod(F.xxhash64("url", F.lit(9)), F.lit(FOLDS)))
     rows = stage(rows, "labelled")
     total, bad = rows.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
     rate = bad / total if total else 0.0
@@ -125,11 +141,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE):
     }
     if not 0 < bad < total:
         return None, stats, rate
-    if total > sample:
-        rows = rows.where(F.col("rank") <= rows.approxQuantile("rank", [sample / total], 0.001)[0]).limit(sample)
-    rows = _with_rates(rows, others, rate)
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", F.col("bad").cast("double").alias("label"))
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=32)
+    rows = _with_rates(_sampled(rows, sample, total, bad), others, rate)
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", F.col("bad").cast("double").alias("label"), "weight")
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=32, weightCol="weight")
     return trees.fit(stage(vectors, "vectors")), stats, rate
 
 

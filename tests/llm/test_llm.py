@@ -336,6 +336,28 @@ def test_url_trees_learn_hosts(spark):
     assert all((x["verdict"] == "block") == bool(x["bad"]) for x in out)
 
 
+@pytest.mark.parametrize("kind", ["common", "rare", "repeated"])
+def test_url_sample_is_whole_in_large_tables(spark, monkeypatch, kind):
+    class Trees:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, rows):
+            return [r["label"] for r in rows.collect()]
+
+    monkeypatch.setattr(urls, "GBTClassifier", Trees)
+    i, sample, total = F.col("id"), 20, 25_000  # less than a thousandth
+    url = F.concat(F.lit("http://a.b.com/"), i.cast("string"))
+    hot = spark.range(1000).orderBy(F.xxhash64(F.concat(F.lit("http://a.b.com/"), i.cast("string")), F.lit(9))).first()[0]
+    if kind == "repeated":  # a bad URL of a third of the rows
+        url = F.when(i % 3 == 0, f"http://a.b.com/{hot}").otherwise(url)
+    bad = {"common": i % 2, "rare": (i == 7).cast("long"), "repeated": (i % 3 == 0).cast("long")}[kind]
+    rows = spark.range(total).select(i, url.alias("url"), bad.cast("int").alias("bad"))
+    labels, again = (urls.train(rows, sample, **({"key": "id"} if kind == "repeated" else {}))[0] for _ in range(2))
+    assert labels == again and set(labels) == {0, 1}
+    assert len(labels) == (sample // 2 + 1 if kind == "rare" else sample)
+
+
 # 10 near dedup
 
 
