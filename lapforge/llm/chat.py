@@ -2,10 +2,12 @@ r"""Chat formatting with budgeted windows.
 
 A conversation becomes training windows of whole turns. Prefix sums of turn tokens choose
 the spans: a turn goes to bucket floor(tokens before it / step), and a bucket is a window.
-step is half of what the budget leaves after the system turn and the history, so a window
-keeps to the budget unless one turn alone is longer than step. Every window starts with the
-system turn (if the conversation begins with one) and repeats up to HISTORY_TURNS turns before
-it, of at most HISTORY_TOKENS tokens. Loss falls on assistant texts, and only where they are
+step is half of what the budget leaves after the system turn and the history. Only the last
+turn of a bucket can reach beyond it; where that would break the budget, it opens a window of
+its own. So a window keeps to the budget unless a turn doesn't fit beside the system turn and
+HISTORY_TOKENS, or the system turn doesn't fit beside these. Every window starts with the system
+turn (if the conversation begins with one) and repeats up to HISTORY_TURNS turns before it, of
+at most HISTORY_TOKENS tokens. Loss falls on assistant texts, and only where they are
 not repeated: each assistant text is a target once.
 
 Template: `### role:\ntext</turn>\n` for each turn. Inside texts and roles `\`, `<` and `#`
@@ -64,8 +66,16 @@ def chat_windows(
     step = F.greatest(F.lit(1), F.floor((F.lit(budget - history_tokens) - F.col("system_tok")) / 2))
     placed = placed.withColumn("bucket", F.floor(F.col("before") / step))
     placed = placed.withColumn("opens", (F.col("pos") == 1) | (F.col("bucket") != F.lag("bucket").over(w)))
-    placed = placed.withColumn("window", F.sum(F.col("opens").cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1)
     retained = (F.col("pos") == 1) & (F.col("role") == "system")
+    # what a window that opens here repeats: the system turn, and the history that ahead (below) gives it
+    gaps = [F.when(~F.lag(retained, k).over(w), F.col("before") - F.lag("before", k).over(w)) for k in range(1, history_turns + 1)]
+    context = F.col("system_tok") + F.greatest(F.lit(0), F.lit(0), *[F.when(g <= history_tokens, g) for g in gaps])
+    context = F.when(F.col("pos") == 1, 0).otherwise(context)
+    placed = placed.withColumn("opening", F.when(F.col("opens"), F.struct("before", context.alias("context"))))
+    opening = F.last("opening", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    over = opening["context"] + F.col("before") - opening["before"] + F.col("tok") > budget
+    placed = placed.withColumn("opens", F.col("opens") | (over & ~F.lag(retained).over(w)))
+    placed = placed.withColumn("window", F.sum(F.col("opens").cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1)
     at = lambda window, kind: F.struct(window.cast("long").alias("window"), F.lit(kind).alias("kind"))
     ahead = [
         F.when(

@@ -180,6 +180,22 @@ def test_chat_round_trip_and_budget(spark):
     assert chat.chat_windows(df.limit(0)).count() == 0
 
 
+def test_chat_windows_keep_to_the_budget_with_long_turns(spark):
+    r = random.Random(31)
+    sizes = [[54, 329, 200, 130, 100, 200, 83, 750]] + [[r.choice([5, 60, 200, 384, 500, 700]) for _ in range(30)] for _ in range(20)]
+    rows = []
+    for c, toks in enumerate(sizes):
+        for t, n in enumerate([50] * (c % 2) + toks):
+            rows.append((c, t, "system" if c % 2 and t == 0 else ("user", "assistant")[t % 2], "x" * (4 * (n - 4))))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.chat_windows(df).withColumn("turns", chat.read_turns(F.col("text"), F.col("n_context"))).collect()
+    for b in out:
+        fits = all(len(t["text"]) // 4 + 4 + 50 + chat.HISTORY_TOKENS <= chat.BUDGET for t in b["turns"])
+        assert not fits or b["n_tokens"] <= chat.BUDGET
+    assert sum(len(b["turns"]) for b in out) == len(rows)
+    assert max(b["n_tokens"] for b in out if b["conv_id"] == 0) <= chat.BUDGET
+
+
 # 4 language id
 
 
