@@ -11,7 +11,8 @@ and its own least document size. Hits are verified by exact containment of the s
 Defined results: words are split at ASCII white space, A-Z folded. Items under five words,
 null items and rows without item_id have no shingle and match nothing, as do null, empty and
 short documents. Rows that share an item_id (or a doc_id) are one item (or document). Rows
-without doc_id can't be reported and are never dropped. Repeated shingles count once. Empty
+without doc_id are told apart by their text; contaminated can't report them, decontaminate drops
+them like any other. Repeated shingles count once. Empty
 tables give no match.
 
 Plan: the documents are read once, exploded inside the scan's stage and filtered by a join
@@ -56,7 +57,26 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) for every document that holds at
     least percent of an item's distinct shingles."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    found = _found(docs.where(F.col(id_col).isNotNull()), benchmark, percent, id_col, text_col)
+    return found.select("doc_id", "item_id", F.col("n").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("n")).alias("containment"))
+
+
+def _nameless(id_col: str, text_col: str) -> Column:
+    """What tells rows without an id apart: a hash of their text; 0 for rows with one."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))
+
+
+def _same(other: DataFrame, *more: str) -> tuple[DataFrame, Column]:
+    """other with its keys renamed, and the condition that a row is of the same document."""
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    for c in more:
+        on = on & (F.col(c) == F.col(f"__{c}"))
+    return other.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), *[F.col(c).alias(f"__{c}") for c in more]), on
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, item_id, n, need, n_found): a document is a doc_id, or without one a text."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), _nameless(id_col, text_col).alias("th"), F.col(text_col).alias("text"))
     items = _shingles(benchmark.select("item_id", "text").where("item_id is not null"), F.col("text"), "item_id")
     items = items.select("item_id", _joined().alias("shingle"), _hash().alias("h")).distinct()
     per_item = W.partitionBy("item_id")
@@ -74,27 +94,29 @@ def contaminated(
     for p in per_part.collect():
         fits = fits | ((F.col("size") >= p["least"]) & (F.col("h") <= p["cut"]))
     sketch = stage(sketch.select("h", "item_id", "need").distinct(), "sketch")
-    probes = _shingles(docs, F.col("text"), "doc_id").select("doc_id", "size", _hash().alias("h"))
+    probes = _shingles(docs, F.col("text"), "doc_id", "th").select("doc_id", "th", "size", _hash().alias("h"))
     hits = probes.where(fits).join(broadcast_if_small(sketch, MAX_BROADCAST), "h").where("size >= need")
-    pairs = stage(hits.select("doc_id", "item_id").distinct(), "pairs")
+    pairs = stage(hits.select("doc_id", "th", "item_id").distinct(), "pairs")
 
-    ids = broadcast_if_small(stage(pairs.select("doc_id").distinct(), "ids"), MAX_BROADCAST)
-    found = _shingles(docs.join(ids, "doc_id", "left_semi"), F.col("text"), "doc_id").select("doc_id", _joined().alias("shingle"))
+    ids, same = _same(stage(pairs.select("doc_id", "th").distinct(), "ids"))
+    held = docs.join(broadcast_if_small(ids, MAX_BROADCAST), same, "left_semi")
+    found = _shingles(held, F.col("text"), "doc_id", "th").select("doc_id", "th", _joined().alias("shingle"))
     known = broadcast_if_small(items.select("item_id", "shingle", "n", "need"), MAX_BROADCAST)
+    pairs, same = _same(pairs, "item_id")
     return (
         found.join(known, "shingle")
-        .select("doc_id", "item_id", "n", "need", "shingle")
+        .select("doc_id", "th", "item_id", "n", "need", "shingle")
         .distinct()
-        .groupBy("doc_id", "item_id", "n", "need")
+        .groupBy("doc_id", "th", "item_id", "n", "need")
         .agg(F.count("*").alias("n_found"))
         .where("n_found >= need")
-        .join(pairs, ["doc_id", "item_id"], "left_semi")
-        .select("doc_id", "item_id", F.col("n").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("n")).alias("containment"))
+        .join(pairs, same, "left_semi")
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold an item; columns unchanged."""
-    bad = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__id")).distinct()
-    bad = broadcast_if_small(stage(bad, "contaminated"), MAX_BROADCAST)
-    return docs.join(bad, F.col(id_col) == F.col("__id"), "left_anti")
+    bad = _found(docs, benchmark, CONTAINMENT_PERCENT, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    bad = broadcast_if_small(stage(bad.distinct(), "contaminated"), MAX_BROADCAST)
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (_nameless(id_col, text_col) == F.col("__th"))
+    return docs.join(bad, same, "left_anti")

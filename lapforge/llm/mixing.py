@@ -10,7 +10,7 @@ hash lies below a cut. The cut is set from a 4096-bin histogram of the hash, so
 words miss the target by half a bin (1/8192 of the source) or half a document at most.
 
 Defined results: null source is a source of its own, last in order; null, empty and blank
-texts have size 0; with no words at all every target is 0. Repeated rows hash alike and are
+texts have size 0; rows without id are hashed by their text; with no words at all every target is 0. Repeated rows hash alike and are
 taken alike. An empty table gives an empty table.
 """
 
@@ -29,9 +29,10 @@ BINS = 4096
 MAX_BROADCAST = 10_000
 
 
-def hash_bin(key: Column, seed: int) -> Column:
-    """A seeded bin below BINS for a document id: three hex digits of its MD5."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
+def hash_bin(key: Column, seed: int, text: Column) -> Column:
+    """A seeded bin below BINS for a document id, or for the text of a row without one: three
+    hex digits of its MD5."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.concat(F.lit("text "), F.xxhash64(text).cast("string"))))
     return F.conv(F.substring(F.md5(text), 1, 3), 16, 10).cast("int")
 
 
@@ -81,7 +82,7 @@ def mix_plan(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             F.size(words(F.col(text_col))).cast("long").alias("size"),
-            hash_bin(F.col(id_col), seed).alias("bin"),
+            hash_bin(F.col(id_col), seed, F.col(text_col)).alias("bin"),
         ),
         "sized",
     )
@@ -145,7 +146,7 @@ def mix_sources(
         plan.select(F.col("source").alias("__s"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut")),
         MAX_BROADCAST,
     )
-    copies = F.col("__whole") + F.when(hash_bin(F.col(id_col), seed) < F.col("__cut"), 1).otherwise(0)
+    copies = F.col("__whole") + F.when(hash_bin(F.col(id_col), seed, F.col(text_col)) < F.col("__cut"), 1).otherwise(0)
     return (
         docs.join(p, F.col(source_col).eqNullSafe(F.col("__s")))
         .withColumn("__n", copies)

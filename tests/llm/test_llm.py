@@ -440,6 +440,21 @@ def test_components_of_chains_and_stars(spark):
 # pipeline
 
 
+def test_rows_without_id_are_decontaminated_and_mixed(spark):
+    held = " ".join(f"b{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, held)], "item_id long, text string")
+    texts = [(None, f"x {held} y"), (None, "nothing of it is in this text at all"), (None, None), (4, held), (5, "clean text of five words")]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = {tuple(r) for r in decontaminate.decontaminate(table, bench).collect()}
+    assert kept == {texts[1], texts[2], texts[4]}
+    assert [r["doc_id"] for r in decontaminate.contaminated(table, bench).collect()] == [4]
+    rows = [(None if i % 3 == 0 else i, f"word{i} " * 10, ("a", "b")[i % 2]) for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_report(*mixing.mix_plan(table, weights=(1, 3), share=1.25)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"))
+    assert all(abs(r["taken"] - r["target"]) <= 0.002 * r["source_size"] for r in out.collect())
+
+
+
 def test_pipeline_stages_survive_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
