@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,9 +28,12 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private one only where the session names none."""
+    """The folder all executors share, as spark.checkpoint.dir names it. In local mode alone, where
+    every executor is this process, an unset folder becomes a private one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lapforge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -37,19 +41,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: work is done once, the lineage is
-    cut, and a lost executor loses nothing. The owner of the folder clears it."""
+    cut, and a lost executor loses nothing. Tables that no later plan reads go with
+    drop_stage; the owner of the folder clears the rest."""
     path = f"{shared_dir(df.sparkSession)}/lapforge-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stage(df: DataFrame) -> None:
-    """Delete a staged table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stage(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def document_key(id_col: str, text_col: str) -> Column:
+    """What names a document: its id (a long), or a hash of its text if it has none."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("text"), F.col(text_col)))
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

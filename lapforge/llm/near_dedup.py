@@ -3,27 +3,40 @@
 1. Every text becomes the set of its distinct 5-word shingles (64-bit hashes; A-Z folded), a
    128-bit hash of that set and a MinHash signature of K coordinates. Equal sets are one
    class; its least doc_id stands for it from here on.
-2. Each class posts its id under every (coordinate, value) pair. Pairs that only one class
-   posts can't collide and are skipped; a class with under T posts left can't reach the match
-   threshold and is skipped whole. Of the rest only the prefix is merged: with a class's m
-   posts ordered by length of list, two classes that collide T times or more share one of
-   their m - T + 1 shortest lists.
-3. Of a merged list, each member is compared with two pivots (members with the most posts that others share); collisions are counted on the
-   whole signatures, T or more go on, and the link is confirmed on the full shingle sets.
-   Links join classes into components. A list whose members are then of one component is
-   done: its other pairs can't change a result. The classes of lists that are left (they may
-   hold a passage that many texts share) meet once more, across components only, in an exact
-   prefix join of their rarest shingles. So no link that joins different components is lost,
-   and a group of n near copies costs about n comparisons, not n * n.
+2. Each class posts its id under (coordinate, value) pairs. Skipping: a pair that only one
+   class posts can't collide. A class that reaches T matches collides in one of any K - T + 1
+   coordinates, so these are posted first, and a class without a collision there is skipped
+   whole; so is one with under T shared posts in the end.
+3. Merging: in every list each member meets the list's two pivots (members with the most shared
+   posts, an order that all lists share), and the meetings of a pair are added up over all
+   lists: its count of collisions. Pairs with T or more are retained. A pair with fewer may owe
+   that to other pivots; if it met in its prefix (with a class's m posts by length of list, its
+   m - T + 1 shortest lists, where every pair with T collisions meets), the lists that it was
+   not counted in are probed. All retained pairs are confirmed on the full shingle sets.
+4. Completion: links join classes into components. A prefix list whose members are of one
+   component is done: its other pairs can't change a result. The classes of lists that are
+   left (they may hold a passage that many texts share) meet once more, across components
+   only, in an exact prefix join of their rarest shingles, confirmed on the full sets alone. So
+   no link that joins different components is lost, and a group of n near copies costs about
+   n comparisons, not n * n.
 
 Recall: a pair at similarity 0.75 collides Binomial(64, 0.75) times; fewer than 32 has a
 chance of about 1e-5, and less for more similar pairs.
 
+Cost: linear but for the exact join, where the members of a cell (a rare shingle, two size bands)
+outside its most frequent component meet all others of the cell. A class is posted there only
+if the shingles that it shares with other components could make up a link at all, and a pair
+is made only if the parity bits allow the similarity.
+
 Defined results: texts of 1 to 4 words are one shingle (the whole sequence); null, empty and
 blank texts have an empty set and link with nothing. Rows that share a doc_id are one
-document: linked through any of their texts. A row without doc_id gets its class's component
-(null if no row of the class has an id) and is kept only in that last case. An empty table
-gives an empty table.
+document: linked through any of their texts, and near_dedup keeps one row of it (the text with
+the least hash). A row without doc_id is a document named by its text: it counts for links, its
+component is the least doc_id reachable (null if there is none, and then the text with the least
+hash is kept). An empty table gives an empty table; other columns come through untouched.
+
+Plan: every join is between staged tables, so that Spark splits a skewed key (copies of one text,
+a pivot of many) over tasks; nothing is collected.
 """
 
 from __future__ import annotations
@@ -33,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stage
+from .common import broadcast_if_small, document_key, drop_stage, fresh, stage
 from .components import connected_components
 from .texthash import mix, text_blocks, windows, word_hashes
 
@@ -111,18 +124,49 @@ def _near_size(a, b):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _confirm(pairs: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those with T collisions and the similarity on full sets."""
-    side = lambda df, c, v: df.select(F.col("rep").alias(c), F.col(v).alias(f"{c}_{v}"))
-    close = pairs.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b")
-    close = stage(close.where(F.size(F.array_intersect("a_sig", "b_sig")) >= T).select("a", "b").distinct(), "close")
-    ids = stage(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "ids")
-    needed = docs.join(broadcast_if_small(ids, MAX_BROADCAST), "id", "left_semi")
-    sets = stage(needed.select(F.col("id").alias("rep"), F.arrow_udf(_sets, "array<long>")("text").alias("set")), "sets")
-    both = close.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b")
+def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the staged pairs (a, b) those with the similarity on full sets; pairs may repeat."""
+    ids = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ids")
+    needed = docs.join(broadcast_if_small(ids, MAX_BROADCAST), "node", "left_semi")
+    sets = stage(needed.select("node", F.arrow_udf(_sets, "array<long>")("text").alias("set")), "sets")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_set", "b_set"))
     alike = 100 * shared >= PERCENT * (F.size("a_set") + F.size("b_set") - shared)
-    return stage(both.where(alike & (shared > 0)).select("a", "b").distinct(), "links")
+    links = stage(both.where(alike & (shared > 0)).select("a", "b"), "links")
+    drop_stage(ids, sets)
+    return links
+
+
+def _retained(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From signatures (rep, n, sig): (pairs (a, b) with T collisions or more of a class and a
+    pivot, prefix posts (tok, rep, n) of all classes that may reach T)."""
+    early = sigs.select("rep", F.explode(F.slice("sig", 1, K - T + 1)).alias("tok"))
+    common = stage(early.groupBy("tok").count().where("count > 1").select("tok"), "common")
+    alive = stage(early.join(broadcast_if_small(common, MAX_BROADCAST), "tok", "left_semi").select("rep").distinct(), "alive")
+    live = stage(sigs.join(broadcast_if_small(alive, MAX_BROADCAST), "rep", "left_semi"), "live")
+    posts = live.select("rep", "n", F.explode("sig").alias("tok"))
+    lists = stage(posts.groupBy("tok").count().where("count > 1"), "lists")
+    by_class = posts.join(lists, "tok").groupBy("rep", "n").agg(F.sort_array(F.collect_set(F.struct("count", "tok"))).alias("toks"))
+    m = F.size("toks")
+    by_class = by_class.where(m >= T).select("rep", "n", m.alias("m"), F.posexplode("toks").alias("pos", "t"))
+    merged = stage(by_class.select("rep", "n", "m", F.col("t.tok").alias("tok"), (F.col("pos") <= F.col("m") - T).alias("prefix")), "merged")
+
+    # pivots: members with the most shared posts have the fewest changes of their own
+    central = lambda seed: F.max(F.struct("m", F.xxhash64("rep", F.lit(seed)).alias("h"), F.struct("rep", "n").alias("v")))["v"]
+    heads = stage(merged.groupBy("tok").agg(F.array_distinct(F.array(central(1), central(2))).alias("vs")), "heads")
+    met = merged.join(heads, "tok").select("rep", "n", "prefix", F.explode("vs").alias("v"))
+    met = met.where((F.col("v.rep") != F.col("rep")) & _near_size(F.col("n"), F.col("v.n")))
+    counted = met.groupBy("rep", F.col("v.rep").alias("pivot")).agg(F.count("*").alias("hits"), F.max("prefix").alias("prefix"))
+    counted = stage(counted, "counted")
+    side = lambda c: live.select(F.col("rep").alias(c), F.col("sig").alias(f"{c}_sig"))
+    probed = counted.where(f"hits < {T} and prefix").select("rep", "pivot").join(side("rep"), "rep").join(side("pivot"), "pivot")
+    probed = probed.where(F.size(F.array_intersect("rep_sig", "pivot_sig")) >= T).select("rep", "pivot")
+    found = stage(counted.where(f"hits >= {T}").select("rep", "pivot").union(probed), "found")
+    pairs = stage(found.select(*_ordered(F.col("rep"), F.col("pivot"))).distinct(), "pairs")
+    prefix = stage(merged.where("prefix").select("tok", "rep", "n"), "prefix")
+    drop_stage(common, alive, live, lists, merged, heads, counted, found)
+    return pairs, prefix
 
 
 def _parities(texts: pa.Array) -> pa.Array:
@@ -151,13 +195,14 @@ def _across(left: DataFrame, docs: DataFrame) -> DataFrame:
     In a list, members outside its most frequent label meet all others; a pair is made only if
     the parity bits allow it: sets differ in at least as many shingles as their bits do.
     """
-    ids = broadcast_if_small(left.select(F.col("rep").alias("id")).distinct(), MAX_BROADCAST)
+    ids = broadcast_if_small(stage(left.select(F.col("rep").alias("node")).distinct(), "ids"), MAX_BROADCAST)
     kinds = "set array<long>, bits array<long>"
-    sets = docs.join(ids, "id", "left_semi").select(F.col("id").alias("rep"), F.arrow_udf(_parities, kinds)("text").alias("x"))
+    sets = docs.join(ids, "node", "left_semi").select(F.col("node").alias("rep"), F.arrow_udf(_parities, kinds)("text").alias("x"))
     sets = stage(sets.join(left, "rep").select("rep", "n", "label", "x.*").distinct(), "shingles")
     each = sets.select("rep", "n", "label", F.explode("set").alias("s"))
     shared = each.groupBy("s").agg(F.count("*").alias("count"), (F.min("label") < F.max("label")).alias("open")).where("open")
-    by_class = each.join(shared.select("s", "count"), "s").groupBy("rep", "n", "label")
+    shared = stage(shared.select("s", "count"), "shared")
+    by_class = each.join(shared, "s").groupBy("rep", "n", "label")
     by_class = by_class.agg(F.sort_array(F.collect_set(F.struct("count", "s"))).alias("ss"))
     band = F.floor(F.log("n") / F.log(F.lit(BAND)) + 1e-9)
     reach = int(np.ceil(np.log(100 / PERCENT) / np.log(BAND)))
@@ -174,7 +219,8 @@ def _across(left: DataFrame, docs: DataFrame) -> DataFrame:
     posted = stage(posted, "rare")
     counts = posted.groupBy(*cell, "label").agg(F.count("*").alias("k"))
     cells = counts.groupBy(*cell).agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
-    live = posted.join(cells.select(*cell, "major"), cell).join(sets.select("rep", "bits"), "rep")
+    cells = stage(cells.select(*cell, "major"), "cells")
+    live = posted.join(cells, cell).join(sets.select("rep", "bits"), "rep")
     live = stage(live.select("s", "rep", "n", "label", "m", "band", "other", "major", "bits"), "live")
     side = lambda x: live.select(*[F.col(c).alias(f"{x}_{c}") for c in live.columns])
     a, b = side("a").where("a_label <> a_major"), side("b")
@@ -193,62 +239,70 @@ def _across(left: DataFrame, docs: DataFrame) -> DataFrame:
         & ((100 + PERCENT) * F.least("a_m", "b_m") >= PERCENT * size)
         & ((100 + PERCENT) * (size - differ) >= 2 * PERCENT * size),  # shared <= (n + n' - differ) / 2
     )
-    return pairs.select(*_ordered(F.col("a_rep"), F.col("b_rep"))).distinct()
-
-
-def _nameless(id_col: str, text_col: str) -> Column:
-    """What tells rows without an id apart: a hash of their text; 0 for rows with one."""
-    return F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))
+    pairs = stage(pairs.select(*_ordered(F.col("a_rep"), F.col("b_rep"))), "across")
+    drop_stage(ids, sets, shared, posted, cells, live)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: id, n_shingles, component, kept (and th, a hash of the text
-    where there is no id)."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """A row for each row of docs: id, node (the id, or a hash of the text where there is none),
+    n_shingles, component, kept."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), document_key(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
     sign = F.arrow_udf(_sign, "n long, s1 long, s2 long, sig array<long>")
-    signed = stage(docs.select("id", _nameless("id", "text").alias("th"), sign("text").alias("s")).select("id", "th", "s.*"), "signed")
-
-    classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-    members = signed.join(classes, ["s1", "s2"], "left")
-    members = stage(members.select("id", "th", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
-    sigs = members.where("sig is not null").select("rep", "n", "sig")
-
-    posts = sigs.select("rep", "n", F.explode("sig").alias("tok"))
-    lists = posts.groupBy("tok").count().where("count > 1")
-    by_class = posts.join(lists, "tok").groupBy("rep", "n").agg(F.sort_array(F.collect_set(F.struct("count", "tok"))).alias("toks"))
-    prefix = by_class.where(F.size("toks") >= T).select(
-        "rep", "n", F.size("toks").alias("m"), F.explode(F.slice("toks", F.lit(1), F.size("toks") - (T - 1))).alias("t")
-    )
-    prefix = stage(prefix.select("rep", "n", "m", F.col("t.tok").alias("tok")), "prefix")
-
-    # pivots: members with the most shared posts have the fewest changes of their own
-    central = lambda seed: F.max(F.struct("m", F.xxhash64("rep", F.lit(seed)).alias("h"), F.struct("rep", "n").alias("v")))["v"]
-    heads = prefix.groupBy("tok").agg(F.count("*").alias("k"), central(1).alias("p"), central(2).alias("q")).where("k > 1")
-    pivots = prefix.join(heads, "tok").select("rep", "n", F.explode(F.array("p", "q")).alias("v"))
-    pairs = pivots.where((F.col("v.rep") != F.col("rep")) & _near_size(F.col("n"), F.col("v.n")))
-    tested = stage(pairs.select(*_ordered(F.col("rep"), F.col("v.rep"))).distinct(), "pairs")
-    same_id = members.where("rep is not null").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    same_id = members.join(same_id.where("lo < hi"), "id").where("rep > lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
-    links = stage(_confirm(tested, sigs, docs).union(same_id), "links")
+    signed = stage(docs.select("id", "node", sign("text").alias("s")).select("id", "node", "s.*"), "signed")
+
+    filled = signed.where("n > 0")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "node", "n", "sig")).alias("c")
+    classes = stage(filled.groupBy("s1", "s2").agg(first).select("s1", "s2", F.col("c.node").alias("rep"), "c.nameless", "c.n", "c.sig"), "classes")
+    members = filled.select("id", "node", "n", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("id", "node", "n", "rep")
+    empty = signed.where("n = 0").select("id", "node", "n", F.lit(None).cast("long").alias("rep"))
+    members = stage(members.union(empty), "members")
+    pairs, prefix = _retained(classes.select("rep", "n", "sig"))
+    named = classes.where("nameless").isEmpty()
+    drop_stage(signed, classes)
+
+    same_id = members.where("rep is not null").groupBy("node").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    same_id = stage(same_id.where("lo < hi").select("node", "lo"), "same_id")
+    same_id = members.join(same_id, "node").where("rep > lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
+    links = stage(_confirm(pairs, docs).union(same_id), "links")
 
     labels = connected_components(links)
     labelled = prefix.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = labelled.select("tok", "rep", "n", F.coalesce("component", "rep").alias("label"))
-    labelled = stage(labelled, "labelled")
-    several = F.min("label") < F.max("label")
-    left = labelled.join(labelled.groupBy("tok").agg(several.alias("open")).where("open").select("tok"), "tok", "left_semi")
-    left = stage(left.select("rep", "n", "label").distinct(), "left")
-    more = _confirm(stage(_across(left, docs).join(tested, ["a", "b"], "left_anti"), "pairs"), sigs, docs)
+    labelled = stage(labelled.select("tok", "rep", "n", F.coalesce("component", "rep").alias("label")), "labelled")
+    several = (F.min("label") < F.max("label")).alias("open")
+    open_lists = stage(labelled.groupBy("tok").agg(several).where("open").select("tok"), "open")
+    left = stage(labelled.join(open_lists, "tok", "left_semi").select("rep", "n", "label").distinct(), "left")
+    across = stage(_across(left, docs).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = _confirm(across, docs)
     components = connected_components(links.union(more)) if not more.isEmpty() else labels
+    drop_stage(pairs, prefix, labelled, open_lists, left, across)
 
     c = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component")
+        "id", "node", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "node").alias("c")
     )
-    return c.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull()))
+    if named:  # what stands for a component is then its least id
+        has_id = F.col("id").isNotNull()
+        c = c.withColumn("component", F.when(has_id | (F.col("n_shingles") > 0), F.col("c")))
+        return c.withColumn("kept", F.coalesce(F.col("node") == F.col("c"), F.lit(True))).drop("c")
+    c = stage(c, "joined")
+    least = stage(c.groupBy("c").agg(F.min("id").alias("component")), "least")
+    kept = F.when(F.col("component").isNull(), F.col("node") == F.col("c")).otherwise(F.col("id").eqNullSafe(F.col("component")))
+    return c.join(least, "c").select("id", "node", "n_shingles", "component", kept.alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near duplicates: of each group the document with the least id stays."""
-    marks = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (_nameless(id_col, text_col) == F.col("__th"))
-    return docs.join(marks, same, "left_anti")
+    """docs without near duplicates: of each group the document with the least id stays, in one
+    row."""
+    judged = near_duplicates(docs, id_col, text_col)
+    key = fresh("node", docs)
+    rows = judged.groupBy(F.col("node").alias(key)).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    rows = stage(rows.where("not kept or n > 1"), "marks")
+    gone = broadcast_if_small(rows.where("not kept").select(key), MAX_BROADCAST)
+    same = document_key(id_col, text_col) == F.col(key)
+    kept = docs.join(gone, same, "left_anti")
+    again = rows.where("kept").select(key)
+    if again.isEmpty():
+        return kept
+    again = broadcast_if_small(again, MAX_BROADCAST)
+    once = kept.join(again, same).groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text_col)).alias("r")).select("r.*")
+    return kept.join(again, same, "left_anti").union(once)

@@ -157,19 +157,23 @@ select doc_id, len(sets.s)::bigint as n_shingles, coalesce(r.root, doc_id) as co
 from sets left join classes c on len(sets.s) > 0 and md5(array_to_string(sets.s, chr(10))) = c.k left join roots r on r.node = c.rep
 """
 
-_SHINGLES = f"""select {{id}}, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) as s from (
-  select {{id}}, list_filter(string_split_regex({_LOWER.format(t="text")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws
-  from {{table}} where text is not null) where len(ws) >= 5"""
+_SPLIT = f"list_filter(string_split_regex({_LOWER.format(t="coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_SPANS = "unnest(list_transform(range(1, len(ws) - width + 2), lambda i: array_to_string(ws[i:i+width-1], ' '))) as s"
 
 OP7 = f"""
-with items as (
+with asked as (
+  select item_id, {_SPLIT} as ws, least(5, len({_SPLIT})) as width from benchmark where item_id is not null
+), items as (
   select item_id, s, count(*) over (partition by item_id) as n
-  from (select distinct item_id, s from ({_SHINGLES.format(id="item_id", table="benchmark")}) where item_id is not null)
+  from (select distinct item_id, {_SPANS} from asked where width > 0)
 ), docs as (
-  select distinct doc_id, s from ({_SHINGLES.format(id="doc_id", table="documents")}) where doc_id is not null
+  select distinct doc_id, key, {_SPANS}
+  from (select doc_id, case when doc_id is null then text end as key, {_SPLIT} as ws from documents) d,
+    (select distinct width from asked where width > 0) w
+  where len(ws) >= width
 )
 select doc_id, item_id, n::bigint as n_shingles, count(*)::bigint as n_found, count(*) / n as containment
-from docs join items using (s) group by doc_id, item_id, n having 100 * count(*) >= 75 * n
+from docs join items using (s) group by doc_id, key, item_id, n having 100 * count(*) >= 75 * n
 """
 
 _ESC = "(length({t}) + length({t}) - length(translate({t}, '\\<#{more}', '')))"
@@ -231,7 +235,7 @@ with s1 as materialized (
 ), s3 as materialized (
   select d.* from s2 d join ({_on(OP10, "s2")}) q on d.doc_id = q.doc_id where q.kept
 ), s4 as materialized (
-  select * from s3 where doc_id not in (select doc_id from ({_on(OP7, "s3")}))
+  select * from s3 where doc_id not in (select doc_id from ({_on(OP7, "s3")}) where doc_id is not null)
 )
 select d.*, unnest(range(1, 1 + (q.whole + q.extra)::bigint)) as copy
 from s4 d join ({_on(OP2, "s4").replace("select doc_id, size, source_size, target,", "select doc_id, whole, case when miss < rest and bin < cut then 1 else 0 end as extra,")}) q

@@ -273,17 +273,21 @@ def test_toxicity_sample_is_whole_in_large_tables(spark, monkeypatch):
 # 7 decontamination
 
 
-def shingle_set(text):
-    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    ws = words(low)
-    return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+def item_set(item):
+    ws = [w.lower() for w in item or []]
+    return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} if len(ws) >= 5 else ({tuple(ws)} if ws else set())
+
+
+def all_windows(text):
+    ws = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(ws[i : i + n]) for n in range(1, 6) for i in range(len(ws) - n + 1)}
 
 
 def test_decontamination_matches_brute_force(spark):
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(60)]
     passage = lambda n: [r.choice(vocabulary) for _ in range(n)]
-    items = [passage(r.choice([3, 5, 6, 12, 40])) for _ in range(40)] + [None, []]
+    items = [passage(r.choice([3, 4, 5, 6, 12, 40])) for _ in range(40)] + [None, [], ["tail"], ["LINE", "line"]]
     texts = list(ODD)
     for _ in range(200):
         item = list(r.choice(items[:40]))
@@ -293,14 +297,20 @@ def test_decontamination_matches_brute_force(spark):
     table = docs(spark, texts)
     bench = spark.createDataFrame([(i, None if x is None else " ".join(x), "t") for i, x in enumerate(items)], "item_id long, text string, size string")
     got = {(x["doc_id"], x["item_id"]): x["n_found"] for x in decontaminate.contaminated(table, bench).collect()}
-    sets = [shingle_set(" ".join(x or [])) for x in items]
+    sets = [item_set(x) for x in items]
     want = {}
     for i, t in enumerate(texts):
-        s = shingle_set(t)
+        s = all_windows(t)
         want |= {(i, j): len(s & b) for j, b in enumerate(sets) if b and 4 * len(s & b) >= 3 * len(b)}
     assert got == want and want
     kept = {x["doc_id"] for x in decontaminate.decontaminate(table, bench).collect()}
     assert kept == set(range(len(texts))) - {i for i, _ in want}
+    assert {len(b) for (_, j), b in zip(want, [sets[j] for _, j in want], strict=True)} >= {1, 2, 8, 36}
+    twin = bench.where("item_id = 0").selectExpr("item_id", "'tail' as text", "size")  # two rows, one item
+    both = sets[0] | {("tail",)}
+    got = {x["doc_id"]: (x["n_shingles"], x["n_found"]) for x in decontaminate.contaminated(table, bench.where("item_id = 0").union(twin)).collect()}
+    hits = {i: len(all_windows(t) & both) for i, t in enumerate(texts)}
+    assert got == {i: (len(both), k) for i, k in hits.items() if 4 * k >= 3 * len(both)}
     assert decontaminate.contaminated(table, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(table.limit(0), bench).count() == 0
 
@@ -422,14 +432,53 @@ def test_near_dedup_matches_brute_force(spark):
 
 
 def test_near_dedup_null_and_repeated_ids(spark):
-    long = " ".join(f"u{i}" for i in range(30))
-    df = spark.createDataFrame([(None, long), (3, long), (3, long), (5, long + " x"), (5, "quite another text of words here"), (None, "alone with nobody else around me"), (7, "quite another text of words here")], "doc_id long, text string")
+    long, lone = " ".join(f"u{i}" for i in range(30)), " ".join(f"z{i}" for i in range(40))
+    other, alone = "quite another text of words here", "alone with nobody else around me"
+    rows = [(None, long), (3, long), (3, long), (5, long + " x"), (5, other), (None, alone), (7, other), (None, alone), (None, lone), (None, lone + " end"), (None, None), (42, ""), (None, long + " z")]
+    df = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, node string")
     got = sorted(((x["id"], x["component"], x["kept"]) for x in near_dedup.near_duplicates(df).collect()), key=str)
-    assert got == sorted([(None, 3, False), (3, 3, True), (3, 3, True), (5, 3, False), (5, 3, False), (None, None, True), (7, 3, False)], key=str)
-    assert sorted((tuple(x) for x in near_dedup.near_dedup(df).collect()), key=str) == [(3, long), (3, long), (None, "alone with nobody else around me")]
+    named = [(None, 3, False)] * 2 + [(3, 3, True)] * 2 + [(5, 3, False)] * 2 + [(7, 3, False), (42, 42, True)]
+    assert got == sorted(named + [(None, None, True)] * 4 + [(None, None, False)], key=str)
+    kept = near_dedup.near_dedup(df)
+    assert kept.columns == df.columns
+    texts = sorted((tuple(x)[:2] for x in kept.collect()), key=str)
+    some = lone if (None, lone) in texts else lone + " end"
+    assert texts == sorted([(3, long), (None, alone), (None, some), (None, None), (42, "")], key=str)
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_dedup_splits_hot_keys(spark, monkeypatch):
+    """A text that a third of all rows copy: its members are dealt over tasks when they meet their class."""
+    plans, real = {}, near_dedup.stage
+
+    def spy(df, name):
+        if name in ("members", "labelled"):
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(near_dedup, "stage", spy)
+    monkeypatch.setattr(near_dedup, "MAX_BROADCAST", 0)
+    low = {
+        "autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "1k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "adaptive.skewJoin.skewedPartitionFactor": "1.5", "adaptive.coalescePartitions.enabled": "false", "shuffle.partitions": "23",
+    }
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in low}
+    for k, v in low.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        g = F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id"))
+        word = lambda k: F.substring(F.md5((g * 100 + k).cast("string")), 1, 8)
+        text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(29)), word), " ")
+        docs = spark.range(0, 1500, 1, 12).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 == 0, "").otherwise(text).alias("text"))
+        kept = {r["id"] for r in near_dedup.near_duplicates(docs).where("kept").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert kept == {i for i in range(1500) if i % 7 == 0 or i % 3 or i == 3}
+    assert "skew=true" in plans["members"]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 4000), (4000, 4500), (7, 7)]
     got = {x["node"]: x["component"] for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -447,7 +496,7 @@ def test_rows_without_id_are_decontaminated_and_mixed(spark):
     table = spark.createDataFrame(texts, "doc_id long, text string")
     kept = {tuple(r) for r in decontaminate.decontaminate(table, bench).collect()}
     assert kept == {texts[1], texts[2], texts[4]}
-    assert [r["doc_id"] for r in decontaminate.contaminated(table, bench).collect()] == [4]
+    assert sorted((r["doc_id"] or 0) for r in decontaminate.contaminated(table, bench).collect()) == [0, 4]
     rows = [(None if i % 3 == 0 else i, f"word{i} " * 10, ("a", "b")[i % 2]) for i in range(6000)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = mixing.mix_report(*mixing.mix_plan(table, weights=(1, 3), share=1.25)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"))
