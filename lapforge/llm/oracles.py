@@ -177,14 +177,14 @@ from docs join items using (s) group by doc_id, key, item_id, n having 100 * cou
 """
 
 _ESC = "(length({t}) + length({t}) - length(translate({t}, '\\<#{more}', '')))"
-_STEP = f"greatest(1, floor(({chat.BUDGET - chat.HISTORY_TOKENS} - system_tok) / 2))"
+_SEGMENT = chat.SEGMENT * chat.BUDGET
 _AHEAD = " + ".join(
     f"(coalesce(lead(opens, {k}) over w and lead(before, {k}) over w - before <= {chat.HISTORY_TOKENS} and not retained, false))::int"
     for k in range(1, chat.HISTORY_TURNS + 1)
 )
 
 OP3 = f"""
-with turns as (
+with recursive turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'
 ), placed as (
@@ -192,10 +192,23 @@ with turns as (
     first_value(case when role = 'system' then (length(text) + 3) // 4 + 4 else 0 end) over w as system_tok,
     sum((length(text) + 3) // 4 + 4) over w - ((length(text) + 3) // 4 + 4) as before
   from turns window w as (partition by conv_id order by turn nulls first, role, text rows unbounded preceding)
-), buckets as (
-  select *, floor(before / {_STEP}) as bucket, pos = 1 and role = 'system' as retained from placed
+), told as (
+  select *, pos = 1 and role = 'system' as retained, before // {_SEGMENT} as segment,
+    before - lag(before) over w as back1, before - lag(before, 2) over w as back2
+  from placed window w as (partition by conv_id order by pos)
+), rooms as (
+  select *, {chat.BUDGET} - case when pos = 1 then 0 else system_tok + case
+    when pos > 2 + (system_tok > 0)::int and back2 <= {chat.HISTORY_TOKENS} then back2
+    when pos > 1 + (system_tok > 0)::int and back1 <= {chat.HISTORY_TOKENS} then back1 else 0 end end as room
+  from told
+), walk(conv_id, pos, segment, opens, rest) as (
+  select conv_id, pos, segment, true, room - tok from rooms where pos = 1
+  union all
+  select r.conv_id, r.pos, r.segment, r.segment <> w.segment or (r.tok > w.rest and not (r.pos = 2 and r.system_tok > 0)),
+    case when r.segment <> w.segment or (r.tok > w.rest and not (r.pos = 2 and r.system_tok > 0)) then r.room else w.rest end - r.tok
+  from walk w join rooms r on r.conv_id is not distinct from w.conv_id and r.pos = w.pos + 1
 ), opened as (
-  select *, pos = 1 or bucket <> lag(bucket) over (partition by conv_id order by pos) as opens from buckets
+  select r.*, w.opens from rooms r join walk w on r.conv_id is not distinct from w.conv_id and r.pos = w.pos
 ), windows as (
   select *, {_AHEAD} as ahead, sum(opens::int) over (partition by conv_id) - 1 as last
   from opened window w as (partition by conv_id order by pos)

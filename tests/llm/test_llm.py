@@ -173,27 +173,46 @@ def test_chat_round_trip_and_budget(spark):
         assert [tuple(t) for b in windows for t in b["turns"]] == [(x[2] or "", x[3] or "") for x in mine]
         assert [u for b in windows for u in b["under"]] == [x[3] or "" for x in mine if x[2] == "assistant"]
         for b in windows:
-            longest = max((len(t["text"]) + 3) // 4 + 4 for t in b["turns"])
-            assert b["n_tokens"] <= max(chat.BUDGET, chat.BUDGET + longest - 400)
+            assert b["over_budget"] == (b["n_tokens"] > chat.BUDGET)
+            assert not b["over_budget"] or len(b["turns"]) == 1 or (mine[0][2] == "system" and b["window"] == 0 and len(b["turns"]) == 2)
             if mine[0][2] == "system" and b["window"] > 0:
                 assert b["text"].startswith("### system:\nbe kind \\l/turn>")
     assert chat.chat_windows(df.limit(0)).count() == 0
 
 
-def test_chat_windows_keep_to_the_budget_with_long_turns(spark):
+def greedy_spans(sizes, system):
+    """Own turns of each window, one after another; sizes begin with the system turn, if there is one."""
+    out, before = [], 0
+    for i, n in enumerate(sizes):
+        back = [n for j, n in enumerate(sizes[:i]) if not (system and j == 0)][::-1]
+        told = max([0] + [sum(back[:k]) for k in (1, 2) if len(back) >= k and sum(back[:k]) <= chat.HISTORY_TOKENS])
+        context = 0 if i == 0 else told + (sizes[0] if system else 0)
+        part = before // (chat.SEGMENT * chat.BUDGET)
+        if not out or part != out[-1][2] or (n > out[-1][1] and not (system and i == 1)):
+            out.append([0, chat.BUDGET - context, part])
+        out[-1][0] += 1
+        out[-1][1] -= n
+        before += n
+    return [k for k, _, _ in out]
+
+
+def test_chat_windows_use_the_budget(spark):
     r = random.Random(31)
-    sizes = [[54, 329, 200, 130, 100, 200, 83, 750]] + [[r.choice([5, 60, 200, 384, 500, 700]) for _ in range(30)] for _ in range(20)]
+    sizes = [[54, 329, 200, 130, 100, 200, 83, 750], [54] * 60, [2000, 5, 5], [1100], [30] * 3000, [5, 800, 5, 800]]
+    sizes += [[r.choice([5, 60, 200, 384, 500, 700, 1500]) for _ in range(30)] for _ in range(20)]
     rows = []
     for c, toks in enumerate(sizes):
         for t, n in enumerate([50] * (c % 2) + toks):
             rows.append((c, t, "system" if c % 2 and t == 0 else ("user", "assistant")[t % 2], "x" * (4 * (n - 4))))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = chat.chat_windows(df).withColumn("turns", chat.read_turns(F.col("text"), F.col("n_context"))).collect()
-    for b in out:
-        fits = all(len(t["text"]) // 4 + 4 + 50 + chat.HISTORY_TOKENS <= chat.BUDGET for t in b["turns"])
-        assert not fits or b["n_tokens"] <= chat.BUDGET
-    assert sum(len(b["turns"]) for b in out) == len(rows)
-    assert max(b["n_tokens"] for b in out if b["conv_id"] == 0) <= chat.BUDGET
+    out = chat.chat_windows(df).withColumn("turns", chat.read_turns(F.col("text"), F.col("n_context"))).orderBy("conv_id", "window").collect()
+    for c, toks in enumerate(sizes):
+        mine = [b for b in out if b["conv_id"] == c]
+        assert [len(b["turns"]) for b in mine] == greedy_spans([50] * (c % 2) + toks, c % 2 == 1)
+        for b in mine:
+            longest = max(len(t["text"]) // 4 + 4 for t in b["turns"])
+            assert b["over_budget"] == (b["n_tokens"] > chat.BUDGET) and (not b["over_budget"] or longest > chat.BUDGET - 50 - chat.HISTORY_TOKENS)
+    assert min(b["n_tokens"] for b in out if b["conv_id"] == 1 and b["window"] < 3) > chat.BUDGET - 54  # 54 tokens a turn: full windows
 
 
 # 4 language id
