@@ -1,19 +1,22 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-Texts are lower-cased and cut into 1-, 2- and 3-grams of code points, hashed into a fixed
-number of features. Training is one aggregate: each task adds up counts of (language,
-feature), Spark sums them. The matrix of log-probabilities (add-one smoothing) has at most
-MAX_CELLS cells, whatever the corpus: the more languages, the fewer features. It is broadcast;
-batches are scored sparsely in numpy, a few MB of text at a time.
-
-Defined results: a null text, or one without any letter, is `und` with score 0; so is every
-text if nothing could be learned. Null languages don't train. Of languages with equal
-posteriors the first in code-point order wins. Whole texts count; long ones are cut into
-blocks whose sums add up.
+Texts are lower-cased and cut into 1-, 2- and 3-grams of code points, hashed into FEATURES
+features. Training is one aggregate: each task adds up counts of (language, feature), Spark sums
+them. The matrix of log-probabilities (add-one smoothing) is broadcast and batches are scored
+sparsely in numpy, a few MB of text at a time. With more than MAX_CELLS / FEATURES languages the
+matrix isn't broadcast: each text's features are joined with the counts and summed by text and
+language, which gives the same posteriors (a row for each text and language).
+
+Defined results: a null text, or one without any letter (Unicode category L), is `und` with
+score 0; so is every text if nothing could be learned. Null languages don't train. Of languages
+with equal posteriors the first in code-point order wins. Whole texts count; long ones are read
+in blocks that overlap by two code points, so that no n-gram is lost or counted twice. Repeated
+rows get equal results; other columns come through untouched (__lang replaces one of that name).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,44 +25,57 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop_stage, fresh, stage
 
-#: Cells of the matrix at most, and features (a power of two) at most and at least.
-MAX_CELLS, MAX_FEATURES, MIN_FEATURES = 1 << 21, 1 << 15, 1 << 6
+#: Hashed features (a power of two), and cells of a broadcast matrix at most (4 bytes each).
+FEATURES, MAX_CELLS = 1 << 15, 1 << 23
 _BLOCK = 1 << 20
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")  # letters, and number characters that aren't digits
 
 
-def _features(points: np.ndarray, owner: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(feature, text) of the 1-, 2- and 3-grams that lie inside one text."""
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for run in _LETTERS.finditer(text) for c in run[0])
+
+
+def _features(points: np.ndarray, owner: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(feature, text) of the 1-, 2- and 3-grams that lie inside one text and begin where counts is true."""
     h = np.zeros(len(points), np.uint64)
     for n in range(3):
         m = len(points) - n
         if m <= 0:
             return
         h = (h[:m] + points[n:].astype(np.uint64) + np.uint64(1)) * _MUL[n]
-        inside = owner[:m] == owner[n:]
+        inside = (owner[:m] == owner[n:]) & counts[:m]
         yield ((h ^ (h >> np.uint64(29))) * _MUL[0] >> np.uint64(64 - bits))[inside].astype(np.int64), owner[:m][inside]
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(code points, index of their text), in blocks. Long texts are cut with an overlap of 0:
-    a cut loses two n-grams in a million."""
-    parts: list[np.ndarray] = []
-    owners: list[int] = []
+def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(code points, index of their text, whether n-grams that begin there count), in blocks. A
+    block of a long text ends with the first two code points of the next, whose n-grams count there."""
+    parts: list[tuple[np.ndarray, int, int]] = []
     held = 0
+
+    def joined():
+        points = np.concatenate([p for p, _, _ in parts])
+        lens = [len(p) for p, _, _ in parts]
+        counts = np.concatenate([np.arange(len(p)) < n for p, _, n in parts])
+        return points, np.repeat([i for _, i, _ in parts], lens), counts
+
     for i, t in enumerate(texts):
         p = np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         for k in range(0, len(p), _BLOCK):
-            parts.append(p[k : k + _BLOCK])
-            owners.append(i)
-            held += len(parts[-1])
+            # two blocks of one text never go together: their shared code points would meet
+            if held and k:
+                yield joined()
+                parts, held = [], 0
+            parts.append((p[k : k + _BLOCK + 2], i, min(_BLOCK, len(p) - k)))
+            held += len(parts[-1][0])
             if held >= _BLOCK:
-                yield np.concatenate(parts), np.repeat(owners, [len(x) for x in parts])
-                parts, owners, held = [], [], 0
+                yield joined()
+                parts, held = [], 0
     if parts:
-        yield np.concatenate(parts), np.repeat(owners, [len(x) for x in parts])
+        yield joined()
 
 
 def _counter(bits: int):
@@ -67,11 +83,11 @@ def _counter(bits: int):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            for points, owner in _blocks(texts):
+            for points, owner, begins in _blocks(texts):
                 names = sorted({langs[i] for i in np.unique(owner)})
                 index = {x: k for k, x in enumerate(names)}
                 of_text = np.array([index.get(x, 0) for x in langs], np.int64)
-                for feature, who in _features(points, owner, bits):
+                for feature, who in _features(points, owner, begins, bits):
                     flat = np.bincount((of_text[who] << bits) + feature, minlength=len(names) << bits)
                     for k, x in enumerate(names):
                         part = flat[k << bits : (k + 1) << bits]
@@ -83,42 +99,93 @@ def _counter(bits: int):
     return count
 
 
-def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log priors, log-probabilities by language and feature) from (text, lang)."""
+Model = tuple[list[str], np.ndarray, np.ndarray | None, DataFrame | None]
+
+
+def train(labelled: DataFrame, features: int = FEATURES, max_cells: int = MAX_CELLS) -> Model:
+    """(languages, log priors, log-probabilities by language and feature, None) from (text, lang);
+    with over max_cells / features languages the counts (lang, feature, n) stand for the matrix."""
+    bits = features.bit_length() - 1
     labelled = labelled.where("text is not null and lang is not null").select("text", "lang")
-    priors = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_CELLS // MIN_FEATURES + 1).collect()}
-    if len(priors) * MIN_FEATURES > MAX_CELLS:
-        raise ValueError(f"over {MAX_CELLS // MIN_FEATURES} languages")
+    priors = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
     langs = sorted(priors)
-    bits = min(MAX_FEATURES, MAX_CELLS // max(1, len(langs))).bit_length() - 1
+    prior = np.log(np.array([priors[x] for x in langs], float) / max(1, sum(priors.values())))
     counts = labelled.mapInArrow(_counter(bits), "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    counts = stage(counts, "counts")
+    if len(langs) << bits > max_cells:
+        return langs, prior, None, counts
     matrix = np.ones((len(langs), 1 << bits))
     index = {x: k for k, x in enumerate(langs)}
-    table = stage(counts, "counts").toArrow()  # at most MAX_CELLS rows
+    table = counts.toArrow()  # at most max_cells rows
     if len(langs):
         rows = np.array([index[x] for x in table.column("lang").to_pylist()], np.int64)
         matrix[rows, table.column("feature").to_numpy()] += table.column("n").to_numpy()
-    prior = np.log(np.array([priors[x] for x in langs], float) / max(1, sum(priors.values())))
-    return langs, prior, np.log(matrix / matrix.sum(1, keepdims=True)).astype(np.float32)
+    drop_stage(counts)
+    return langs, prior, np.log(matrix / matrix.sum(1, keepdims=True)).astype(np.float32), None
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: Column) -> DataFrame:
+def _sparse(bits: int):
+    """(th, feature, n) of the batches (th, text)."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column("th").to_numpy(), batch.column("text").to_pylist()
+            for points, owner, begins in _blocks(texts):
+                for feature, who in _features(points, owner, begins, bits):
+                    cells, n = np.unique((who << bits) + feature, return_counts=True)
+                    arrays = [pa.array(keys[cells >> bits]), pa.array(cells & ((1 << bits) - 1)), pa.array(n)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["th", "feature", "n"])
+
+    return split
+
+
+def _predict_joined(docs: DataFrame, model: Model, text: Column, features: int) -> DataFrame:
+    """predict without a matrix: sums of n * log(count + 1) by text and language from a join, and
+    what the smoothing of the whole language adds."""
+    langs, prior, _, counts = model
+    bits, spark = features.bit_length() - 1, docs.sparkSession
+    told = F.udf(lambda t: t is not None and has_letter(t), "boolean")
+    key, row = fresh("th", docs), fresh("row", docs)
+    nested = docs.select(F.struct(*docs.columns).alias(row), F.xxhash64(text).alias(key), text.alias("text"))
+    texts = nested.where("text is not null").groupBy(F.col(key).alias("th")).agg(F.min("text").alias("text")).where(told("text"))
+    parts = texts.mapInArrow(_sparse(bits), "th long, feature long, n long").groupBy("th", "feature").agg(F.sum("n").alias("n"))
+    parts = stage(parts, "features")
+    totals = counts.groupBy("lang").agg(F.log(F.sum("n") + F.lit(1 << bits)).alias("total"))
+    every = spark.createDataFrame(list(zip(langs, prior.tolist(), strict=True)), "lang string, prior double").join(totals, "lang", "left")
+    every = every.select("lang", "prior", F.coalesce("total", F.lit(math.log(1 << bits))).alias("total"))
+    seen = parts.join(counts.withColumnRenamed("n", "c"), "feature").groupBy("th", "lang").agg(F.sum(F.col("n") * F.log(F.col("c") + 1)).alias("s"))
+    lengths = parts.groupBy("th").agg(F.sum("n").alias("m"))
+    scored = lengths.join(F.broadcast(every)).join(seen, ["th", "lang"], "left")  # a row for each text and language
+    scored = stage(scored.select("th", "lang", (F.col("prior") + F.coalesce("s", F.lit(0.0)) - F.col("m") * F.col("total")).alias("s")), "scored")
+    best = stage(scored.groupBy("th").agg(F.max("s").alias("top")), "best")
+    picked = scored.join(best, "th").groupBy("th").agg(
+        F.min(F.when(F.col("s") == F.col("top"), F.col("lang"))).alias("pred"), (1 / F.sum(F.exp(F.col("s") - F.col("top")))).alias("score")
+    )
+    picked = stage(picked.select(F.col("th").alias(key), F.struct("pred", "score").alias("__lang")), "picked")
+    und = F.struct(F.lit("und").alias("pred"), F.lit(0.0).alias("score"))
+    out = nested.join(picked, key, "left").select(f"{row}.*", F.coalesce("__lang", und).alias("__lang"))
+    return out.select(*[c for c in docs.columns if c != "__lang"], "__lang")
+
+
+def predict(docs: DataFrame, model: Model, text: Column, features: int = FEATURES) -> DataFrame:
     """docs with a struct __lang (pred, score): the posterior's largest language and share."""
-    langs, prior, logp = model
+    langs, prior, logp, _ = model
+    if logp is None:
+        return _predict_joined(docs, model, text, features)
     shared = docs.sparkSession.sparkContext.broadcast((langs, prior, np.ascontiguousarray(logp.T)))
 
     def score(column: pa.Array) -> pa.Array:
         langs, prior, logp = shared.value
         texts = column.to_pylist()
         sums = np.tile(prior, (len(texts), 1)) if langs else np.zeros((len(texts), 0))
-        for points, owner in _blocks(texts) if langs else ():
-            for feature, who in _features(points, owner, len(logp).bit_length() - 1):
+        for points, owner, begins in _blocks(texts) if langs else ():
+            for feature, who in _features(points, owner, begins, len(logp).bit_length() - 1):
                 if not len(who):
                     continue
                 first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
                 for k in range(len(langs)):
                     sums[who[first], k] += np.add.reduceat(logp[feature, k], first, dtype=np.float64)
-        known = [bool(langs) and t is not None and bool(_LETTER.search(t)) for t in texts]
+        known = [bool(langs) and t is not None and has_letter(t) for t in texts]
         best = sums.argmax(1) if langs else np.zeros(len(texts), int)
         share = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1) if langs else np.zeros(len(texts))
         return pa.StructArray.from_arrays(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, langid, line_dedup, mixing, near_dedup, quality, token_counts, toxicity, urls
+from .common import broadcast_if_small, stage
 
 #: Vocabulary files of public tokenizers.
 TOKENIZERS = os.environ.get("LAPFORGE_TOKENIZERS", "/opt/tokenizers")
@@ -126,25 +127,23 @@ URL_RULES = [
 ]
 
 
-#: Words of a host name that label its URLs as bad.
-BAD_HOST_WORDS = [
-    "ads", "adult", "bet", "bets", "bingo", "casino", "cracked", "dating", "escort", "gambling", "loans", "lottery", "malware",
-    "payday", "phishing", "pills", "poker", "porn", "replica", "slots", "spam", "torrent", "viagra", "warez", "xxx",
-]
-
-
-def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled URLs: a page's URL ends in the id of its document, and that document's labels
-    label the URL (bad: of low quality or toxic); a host with one of BAD_HOST_WORDS is bad."""
+def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, bad): a page's URL ends in the id of its document, and that document's labels
+    label the URL (bad: of low quality or toxic). Other pages have no label and are left out."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     bad = _table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(
         F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad")
     )
+    bad = broadcast_if_small(stage(bad, "bad"), urls.MAX_BROADCAST)
     number = F.try_to_number(F.regexp_extract("url", r"://[^/?#]*/[^/?#]*/([0-9]{1,18})", 1), F.lit("9" * 18)).cast("long")
-    seed = F.arrays_overlap(F.split(urls.host_of(F.col("url")), "[.-]"), F.array(*[F.lit(w) for w in BAD_HOST_WORDS]))
-    labelled = pages.select("page_id", "url", number.alias("doc_id"), seed.alias("seed")).join(bad, "doc_id", "left")
-    labelled = labelled.select("page_id", "url", F.when(F.col("seed"), 1).otherwise(F.col("bad")).alias("bad"))
-    return urls.judge(pages, urls.train(labelled, key="page_id"), URL_RULES, F.col("url")).select("page_id", "host", "path", "rule", "verdict")
+    numbered = pages.select("page_id", "url", number.alias("doc_id")).where("doc_id is not null")
+    return numbered.join(bad, "doc_id").select("page_id", "url", "bad")
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urls.train(labelled_urls(spark, sf_dir), key="page_id")
+    return urls.judge(pages, model, URL_RULES, F.col("url")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -11,9 +11,13 @@ those with the least seeded hash of key and URL; suffix statistics count all lab
 these rows hold one kind of label only, half of the sample is taken from each kind and weighted
 by its share of the table.
 
+Rules are one CASE; more than MAX_RULES of them are a table that is joined with the suffixes of
+each distinct host, and the hosts' rules with the URLs.
+
 Defined results: a null URL, or one without ://, has an empty host and path, fits no rule and
 has features 0. Null labels don't train. Without labels of both kinds every URL without a
-rule is allowed. Repeated rows are judged alike.
+rule is allowed. Repeated rows are judged alike. Columns of urls named host, path, rule, verdict
+or by_model give way to those of the result; others come through untouched.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +35,10 @@ from .common import broadcast_if_small, least_hashed, lower_ascii, stage
 SAMPLE, FOLDS, SMOOTHING, TREES, DEPTH = 20_000, 5, 10.0, 10, 4
 #: Host suffixes have one row each; broadcast up to this many.
 MAX_BROADCAST = 100_000
+#: Rules that go into one CASE at most.
 MAX_RULES = 1000
+KINDS = ("site", "top")
+RESULT = ("host", "path", "rule", "verdict", "by_model")
 FEATURES = (
     "length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "n_params",
     "n_hyphens", "host_labels", "secure", "fragment", "site_rate", "top_rate",
@@ -54,8 +62,6 @@ def _after(url: Column) -> Column:
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """A struct (rule, verdict) of the longest rule that fits, or null. rules: (verdict, host,
     path start with its slash). One CASE, longest rule first."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"over {MAX_RULES} rules")
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[1:])):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
@@ -63,6 +69,23 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return found
 
 
+def _with_rules(rows: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """rows (with host and path) and their __rule, by a join: the rules of every suffix of a
+    distinct host, longest first, then the first of them that fits the path."""
+    table = rows.sparkSession.createDataFrame([(v, h, p) for v, h, p in rules], "verdict string, suffix string, start string")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = rows.select("host").distinct().select("host", F.explode(suffixes).alias("suffix"))
+    rule = F.struct(
+        (-F.length("suffix") - F.length("start")).alias("order"), "start", F.struct(F.concat("suffix", "start").alias("rule"), "verdict").alias("said")
+    )
+    found = hosts.join(table, "suffix").groupBy("host").agg(F.sort_array(F.collect_list(rule)).alias("__rules"))
+    found = stage(found, "host_rules")
+    joined = rows.join(broadcast_if_small(found, MAX_BROADCAST), "host", "left")
+    first = F.get(F.filter("__rules", lambda x: F.startswith(F.col("path"), x["start"])), 0)
+    return joined.withColumn("__rule", first["said"]).drop("__rules")
+
+
 def _entropy(text: Column) -> Column:
     """Bits a character of its own distribution of characters."""
     chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
@@ -97,13 +120,16 @@ def lexical_features(urls: DataFrame, url: Column) -> DataFrame:
     return out.withColumns({"site": F.substring_index(host, ".", -3), "top": F.substring_index(host, ".", -2)})
 
 
-def _with_rates(df: DataFrame, stats: dict[str, DataFrame], rate: float) -> DataFrame:
-    """The smoothed share of bad URLs by key, from tables (key, [fold,] __bad, __n)."""
-    for key, table in stats.items():
-        on = [key, "fold"] if "fold" in table.columns else key
-        df = df.join(broadcast_if_small(table, MAX_BROADCAST), on, "left")
-        bad, n = F.coalesce("__bad", F.lit(0)), F.coalesce("__n", F.lit(0))
-        df = df.withColumn(f"{key}_rate", (bad + SMOOTHING * rate) / (n + SMOOTHING)).drop("__bad", "__n")
+def _with_rates(df: DataFrame, stats: DataFrame, rate: float, own_fold: bool = False) -> DataFrame:
+    """df with the smoothed share of bad URLs by site and top; own_fold: without the labels of
+    the row's fold."""
+    for kind in KINDS:
+        some = stats.where(F.col("kind") == kind).select(F.col("suffix").alias(kind), F.col("bad").alias("__bad"), F.col("n").alias("__n"))
+        df = df.join(broadcast_if_small(some, MAX_BROADCAST), kind, "left")
+        total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+        counted = lambda c: F.coalesce(total(c) - (F.get(c, F.col("fold").cast("int")) if own_fold else 0), F.lit(0))
+        share = (counted("__bad") + SMOOTHING * rate) / (counted("__n") + SMOOTHING)
+        df = df.withColumn(f"{kind}_rate", share).drop("__bad", "__n")
     return df
 
 
@@ -120,7 +146,7 @@ def _sampled(rows: DataFrame, sample: int, total: int, bad: int) -> DataFrame:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, key: str = "url"):
-    """(trees or None, suffix statistics, overall rate) from (url, bad: 0 or 1). key names a
+    """(trees or None, suffix statistics: counts by fold, overall rate) from (url, bad: 0 or 1). key names a
     column that tells rows with the same URL apart, so that the sample doesn't take them all
     or none."""
     rows = labelled.where("url is not null and bad is not null").select("url", "bad", F.xxhash64(key, "url", F.lit(10)).alias("rank"))
@@ -128,20 +154,16 @@ def train(labelled: DataFrame, sample: int = SAMPLE, key: str = "url"):
     rows = stage(rows, "labelled")
     total, bad = rows.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
     rate = bad / total if total else 0.0
-    count = [F.sum("bad").alias("__bad"), F.count("*").alias("__n")]
-    by_fold = {key: stage(rows.groupBy(key, "fold").agg(*count), key) for key in ("site", "top")}
-    whole = [F.sum("__bad").alias("__bad"), F.sum("__n").alias("__n")]
-    stats = {key: stage(table.groupBy(key).agg(*whole), key) for key, table in by_fold.items()}
-    others = {
-        key: stage(
-            by_fold[key].toDF(key, "fold", "b", "m").join(stats[key], key).select(key, "fold", (F.col("__bad") - F.col("b")).alias("__bad"), (F.col("__n") - F.col("m")).alias("__n")),
-            key,
-        )
-        for key in stats
-    }
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("suffix")) for k in KINDS]))
+    mine = [F.col("fold") == f for f in range(FOLDS)]
+    stats = rows.select(pairs.alias("x"), "fold", "bad").groupBy("x.kind", "x.suffix").agg(
+        F.array(*[F.sum(F.when(m, F.col("bad")).otherwise(0)).cast("long") for m in mine]).alias("bad"),
+        F.array(*[F.count_if(m) for m in mine]).alias("n"),
+    )
+    stats = stage(stats, "stats")
     if not 0 < bad < total:
         return None, stats, rate
-    rows = _with_rates(_sampled(rows, sample, total, bad), others, rate)
+    rows = _with_rates(_sampled(rows, sample, total, bad), stats, rate, own_fold=True)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", F.col("bad").cast("double").alias("label"), "weight")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=32, weightCol="weight")
     return trees.fit(stage(vectors, "vectors")), stats, rate
@@ -151,14 +173,36 @@ def judge(urls: DataFrame, model, rules: Sequence[tuple[str, str, str]], url: Co
     """urls with host, path, rule, verdict (allow or block) and by_model (the trees' verdict)."""
     trees: GBTClassificationModel | None
     trees, stats, rate = model
-    kept = urls.select(F.struct(*urls.columns).alias("__row"), url.alias("__url"))  # names can't clash then
+    others = [c for c in urls.columns if c not in RESULT]
+    kept = urls.select(F.struct(F.lit(0).alias("_"), *others).alias("__row"), url.alias("__url"))  # names can't clash then
     rows = _with_rates(lexical_features(kept, F.col("__url")), stats, rate)
     if trees is not None:
         rows = trees.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows))
         by_model = F.when((F.col("prediction") == 1) & (F.col("host") != ""), "block").otherwise("allow")
     else:
         by_model = F.lit("allow")
-    rows = rows.withColumns({"by_model": by_model, "__rule": matching_rule(F.col("host"), F.col("path"), rules)})
+    if len(rules) > MAX_RULES:
+        rows = _with_rules(rows, rules)
+    else:
+        rows = rows.withColumn("__rule", matching_rule(F.col("host"), F.col("path"), rules))
     return rows.select(
-        "__row.*", "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce("__rule.verdict", "by_model").alias("verdict"), "by_model"
+        *[F.col("__row")[c].alias(c) for c in others],
+        "host",
+        "path",
+        F.col("__rule.rule").alias("rule"),
+        F.coalesce("__rule.verdict", by_model).alias("verdict"),
+        by_model.alias("by_model"),
     )
+
+
+def held_out_auc(labelled: DataFrame, fold: int = 0, key: str = "url") -> float:
+    """ROC-AUC of trees trained without one of FOLDS parts of the labelled URLs, on that part."""
+    part = F.pmod(F.xxhash64("url", F.lit(21)), F.lit(FOLDS)) == fold
+    columns = dict.fromkeys((key, "url", "bad"))
+    labelled = stage(labelled.where("url is not null and bad is not null").select(*columns, part.alias("held")), "split")
+    trees, stats, rate = train(labelled.where("not held"), key=key)
+    if trees is None:
+        return float("nan")
+    held = _with_rates(lexical_features(labelled.where("held").select("url", "bad"), F.col("url")), stats, rate)
+    held = trees.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(held))
+    return BinaryClassificationEvaluator(labelCol="bad").evaluate(held)

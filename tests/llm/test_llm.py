@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -230,6 +231,62 @@ def test_language_id(spark):
     assert {r["__lang"]["pred"] for r in langid.predict(table, none, F.col("text")).collect()} == {"und"}
 
 
+def bayes(labelled, texts, features):
+    """The model restated on plain counters, with the operator's hash of an n-gram."""
+    mask, mul = 2**64 - 1, [int(m) for m in langid._MUL]
+    bits = features.bit_length() - 1
+
+    def grams(t):
+        t = t.lower()
+        for i in range(len(t)):
+            h = 0
+            for n in range(min(3, len(t) - i)):
+                h = (h + ord(t[i + n]) + 1) * mul[n] & mask
+                yield ((h ^ h >> 29) * mul[0] & mask) >> (64 - bits)
+
+    counts, priors = {}, {}
+    for t, x in labelled:
+        if t is not None and x is not None:
+            priors[x] = priors.get(x, 0) + 1
+            c = counts.setdefault(x, {})
+            for g in grams(t):
+                c[g] = c.get(g, 0) + 1
+    out = []
+    for t in texts:
+        if not priors or t is None or not any(unicodedata.category(c)[0] == "L" for c in t):
+            out.append(("und", 0.0))
+            continue
+        s = {}
+        for x in sorted(priors):
+            total = math.log(sum(counts[x].values()) + features)
+            s[x] = math.log(priors[x] / sum(priors.values())) + sum(math.log(counts[x].get(g, 0) + 1) - total for g in grams(t))
+        best = max(s, key=lambda x: (s[x], [-ord(c) for c in x]))
+        out.append((best, 1 / sum(math.exp(v - s[best]) for v in s.values())))
+    return out
+
+
+@pytest.mark.parametrize("way", ["matrix", "join"])
+def test_language_id_matches_brute_force(spark, monkeypatch, way):
+    monkeypatch.setattr(langid, "_BLOCK", 16)  # every longer text is cut
+    r = random.Random(41)
+    alphabets = {"en": "abcde ", "fr": "cdefé ", "de": "aeüß\n", "xx": "😀b-"}
+    text = lambda x: "".join(r.choice(alphabets[x]) for _ in range(r.choice([1, 2, 5, 15, 16, 17, 18, 33, 100])))
+    lang = [r.choice(list(alphabets)) for _ in range(60)]
+    texts = [text(x) for x in lang] + [None, "", "½ ²", "١٢٣ ５", "ª", "ab", "ab", "the same in both"]
+    lang += ["en", "fr", "en", "en", None, "yy", "zz", None]  # equal posteriors of yy and zz
+    table = docs(spark, texts, lang=lang).withColumns({"row": F.lit(1), "th": F.lit("mine")})
+    cells = 10**9 if way == "matrix" else 0
+    model = langid.train(table, 1 << 10, cells)
+    assert (model[2] is None) == (way == "join")
+    out = langid.predict(table, model, F.col("text"), 1 << 10)
+    assert out.columns == [*table.columns, "__lang"]
+    got = [tuple(x["__lang"]) for x in out.orderBy("doc_id").collect()]
+    want = bayes(zip(texts, lang, strict=True), texts, 1 << 10)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-3, abs=1e-6)
+    assert [g[0] for g in got[60:64]] == ["und"] * 4  # none of these has a letter
+
+
 # 5 tokens
 
 
@@ -355,7 +412,7 @@ def test_line_dedup(spark):
 # 9 URLs
 
 
-def test_url_parts_and_rules(spark):
+def test_url_parts_and_rules(spark, monkeypatch):
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
     cases = {
         "https://WWW.Example.org/es/1?x=/": ("www.example.org", "/es/1", "example.org/es/", "block"),
@@ -372,6 +429,13 @@ def test_url_parts_and_rules(spark):
     model = urls.train(spark.createDataFrame([], "url string, bad int"))
     for x in urls.judge(df, model, rules, F.col("url")).collect():
         assert (x["host"], x["path"], x["rule"], x["verdict"]) == cases[x["url"]]
+    clash = df.union(df).withColumns({"host": F.lit("mine"), "verdict": F.lit(3), "row": F.lit(1)})  # repeated rows, taken names
+    monkeypatch.setattr(urls, "MAX_RULES", 1)  # more rules than one CASE takes: a join
+    out = urls.judge(clash, model, rules, F.col("url"))
+    assert sorted(out.columns) == sorted([*df.columns, "row", "host", "path", "rule", "verdict", "by_model"])
+    rows = out.collect()
+    assert len(rows) == 2 * len(cases) and all((x["host"], x["path"], x["rule"], x["verdict"]) == cases[x["url"]] for x in rows)
+    assert urls.judge(df.limit(0), model, rules, F.col("url")).count() == 0
 
 
 def test_url_trees_learn_hosts(spark):
@@ -381,6 +445,66 @@ def test_url_trees_learn_hosts(spark):
     assert all((x["verdict"] == "block") == bool(x["bad"]) for x in out)
 
 
+def test_url_features_match_python(spark):
+    r = random.Random(9)
+    part = lambda n: "".join(r.choice("ab1-_./?&=#é%") for _ in range(n))
+    cases = [f"{r.choice(['http', 'https'])}://{part(r.randint(0, 12))}/{part(r.randint(0, 40))}" for _ in range(150)] + ["http://h/" + "x1" * 50_000, "https://", "x"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "i int, url string")
+    for x in urls.lexical_features(rows, F.col("url")).collect():
+        u = x["url"]
+        rest = u.partition("://")[2]
+        host = re.match("[^/?#]*", rest)[0].lower()
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        query = re.search(r"\?([^#]*)", u)
+        want = {
+            "length": len(u), "host_length": len(host), "path_length": len(path), "depth": len([p for p in path.split("/") if p]),
+            "digit_ratio": sum(c in "0123456789" for c in u) / len(u), "entropy": -sum(u.count(c) / len(u) * math.log2(u.count(c) / len(u)) for c in set(u)),
+            "n_params": len(query[1].split("&")) if query and query[1] else 0, "n_hyphens": sum(c in "-_" for c in u),
+            "host_labels": len(host.split(".")), "secure": u.startswith("https:"), "fragment": "#" in u,
+        }
+        assert {k: x[k] for k in want} == {k: pytest.approx(float(v) if host else 0.0) for k, v in want.items()}
+        assert (x["host"], x["path"]) == (host, path)
+
+
+def test_url_verdicts_match_the_trees_by_hand(spark):
+    """Statistics, features and the trees' votes restated in Python, tree by tree."""
+    r = random.Random(19)
+    rows = [(f"http://{'bad' if i % 3 == 0 else 'ok'}{i % 7}.site{i % 2}.net/{'x' * r.randint(1, 20)}/{i % 50}", int(i % 3 == 0 and r.random() < 0.9)) for i in range(600)]
+    table = spark.createDataFrame(rows, "url string, bad int")
+    trees, stats, rate = urls.train(table)
+    counts = {}
+    for u, b in rows:
+        host = u.split("/")[2]
+        for kind, n in (("site", 3), ("top", 2)):
+            c = counts.setdefault((kind, ".".join(host.split(".")[-n:])), [0, 0])
+            c[0] += b
+            c[1] += 1
+    assert {(x["kind"], x["suffix"]): [sum(x["bad"]), sum(x["n"])] for x in stats.collect()} == counts
+    overall = sum(b for _, b in rows) / len(rows)
+    assert rate == pytest.approx(overall)
+    text = trees.toDebugString.splitlines()
+
+    def walk(lines, x):
+        head = lines[0].strip()
+        if head.startswith("Predict"):
+            return float(head.split(":")[1])
+        depth = len(lines[0]) - len(lines[0].lstrip())
+        other = next(i for i, t in enumerate(lines) if i and len(t) - len(t.lstrip()) == depth and t.strip().startswith("Else"))
+        f, cut = re.search(r"feature (\d+) <= ([-\d.E]+)", head).groups()
+        return walk(lines[1:], x) if x[int(f)] <= float(cut) else walk(lines[other + 1 :], x)
+
+    marks = [i for i, t in enumerate(text) if t.strip().startswith("Tree")] + [len(text)]
+    parts = [text[a + 1 : b] for a, b in zip(marks, marks[1:])]
+    weights = [float(re.search(r"weight ([-\d.E]+)", text[m])[1]) for m in marks[:-1]]
+    lexical = {x["url"]: x for x in urls.lexical_features(table.distinct(), F.col("url")).collect()}
+    for x in urls.judge(table, (trees, stats, rate), [], F.col("url")).collect():
+        f = lexical[x["url"]]
+        smooth = {k: (counts[k, f[k]][0] + urls.SMOOTHING * overall) / (counts[k, f[k]][1] + urls.SMOOTHING) for k in ("site", "top")}
+        values = [smooth[c[:-5]] if c.endswith("_rate") else f[c] for c in urls.FEATURES]
+        vote = sum(w * walk(p, values) for w, p in zip(weights, parts, strict=True))
+        assert x["verdict"] == ("block" if vote > 0 else "allow")
+
+
 @pytest.mark.parametrize("kind", ["common", "rare", "repeated"])
 def test_url_sample_is_whole_in_large_tables(spark, monkeypatch, kind):
     class Trees:
