@@ -6,15 +6,21 @@ categories. For training, those probabilities are out-of-fold: each labelled doc
 them from models that haven't seen it, so a later model learns from predictions as good as
 those it meets in use.
 
+The chain takes any list of categories, each a condition on the labels. The tables here label one
+kind of toxicity only, so op6 runs low quality first and toxic second.
+
 Training takes a bounded sample: the SAMPLE labelled documents with the least seeded hash of
 their id (all of them if there are fewer), each once, with the text of least hash if rows
-share its id. Only their feature lists reach the driver. The weights (2**BITS for each
-category) are broadcast; every document is scored.
+share its id. Spark counts each hashed word by fold and label (at most 2**BITS * FOLDS rows reach
+the driver), which settles the words that any of the fits may use: at most MAX_KEPT a fit, those
+that tell its classes apart best. Only these are sent of the sample's lists: SAMPLE rows of at most
+(FOLDS + 1) * MAX_KEPT numbers for each category, whatever the length of the texts. The weights
+(2**BITS for each category) are broadcast; every document is scored.
 
 Defined results: a null, empty or wordless text has probability 0 in every category and isn't
 flagged. A null label leaves its row out for that category. A category without both classes
 has probability 0. A document with several label rows counts with its worst. Repeated rows
-score alike; whole texts are scored.
+score alike; whole texts are scored. A column named __tox is replaced, others come through.
 """
 
 from __future__ import annotations
@@ -26,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed, stage
+from .common import drop_stage, least_hashed, stage
 from .texthash import text_blocks, word_hashes
 
 BITS, SAMPLE, FOLDS, EPOCHS, BATCH, RATE, L2 = 18, 12_000, 3, 8, 128, 0.3, 1e-6
 
 #: A word counts if enough documents have it and its rate differs by this many deviations.
-MIN_DOCS, MIN_Z = 3, 4.0
+MIN_DOCS, MIN_Z, MAX_KEPT = 3, 4.0, 4096
 
 
 def _features(texts: pa.Array) -> list[np.ndarray]:
@@ -60,14 +66,21 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def telling(n: int, n1: int, seen: np.ndarray, seen1: np.ndarray) -> np.ndarray:
+    """Which words a fit uses: of n documents (n1 positive) seen have the word (seen1 positive). Others
+    would be learnt by heart."""
+    share = np.clip(seen / max(n, 1), 1e-12, 1 - 1e-12)
+    z = np.abs(seen1 - n1 * share) / np.sqrt(max(n1 * (n - n1) / max(n, 1), 1e-12) * share * (1 - share))
+    keep = (seen >= MIN_DOCS) & (z >= MIN_Z)
+    if keep.sum() > MAX_KEPT:
+        keep[np.argsort(np.where(keep, -z, np.inf), kind="stable")[MAX_KEPT:]] = False
+    return keep
+
+
 def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(weights of features, weights of extra columns and last the bias): AdaGrad on batches."""
-    # only words whose rate differs between the classes: others would be learnt by heart
     count = lambda some: np.bincount(np.concatenate([np.zeros(0, np.int32), *some]), minlength=1 << BITS)
-    n, n1, seen = len(y), y.sum(), count(rows)
-    share = np.clip(seen / n, 1e-12, 1 - 1e-12)
-    z = (count([r for r, t in zip(rows, y, strict=True) if t]) - n1 * share) / np.sqrt(n1 * (n - n1) / n * share * (1 - share))
-    keep = (seen >= MIN_DOCS) & (np.abs(z) >= MIN_Z)
+    keep = telling(len(y), int(y.sum()), count(rows), count([r for r, t in zip(rows, y, strict=True) if t]))
     rows = [r[keep[r]] for r in rows]
     w, v = np.zeros(1 << BITS), np.zeros(extra.shape[1] + 1)
     gw, gv = np.full(1 << BITS, 1e-4), np.full(len(v), 1e-4)
@@ -142,13 +155,38 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[s
     to_lists = F.arrow_udf(lambda t: pa.array(_features(t), pa.list_(pa.int32())), "array<int>")
     read = chosen.select("doc_id", "rank", *names, F.xxhash64("text").alias("th"), to_lists("text").alias("ids"))
     once = read.groupBy("doc_id", "rank", *names).agg(F.min_by("ids", "th").alias("ids"))  # copies must not fill the sample
-    table = once.orderBy("rank", "doc_id").limit(sample).toArrow()
+    once = once.orderBy("rank", "doc_id").limit(sample).withColumn("fold", F.pmod("rank", F.lit(FOLDS)).cast("int"))
+    once = stage(once, "sample")
+    mask = _wanted(once, names)
+    only = F.arrow_udf(lambda lists: pa.array([r[mask[r]] for r in (np.asarray(x, np.int32) for x in lists.to_pylist())], pa.list_(pa.int32())), "array<int>")
+    table = once.select(*names, "rank", "fold", only("ids").alias("ids")).orderBy("rank").toArrow()
     rows = [np.asarray(x, np.int32) for x in table.column("ids").to_pylist()]
     y = np.column_stack([np.array(table.column(n).to_pylist(), float) for n in names]) if rows else np.zeros((0, len(names)))
-    folds = np.array(table.column("rank").to_pylist(), np.int64) % FOLDS
+    folds = np.array(table.column("fold").to_pylist(), np.int64)
+    drop_stage(once)
     return names, *fit_chain(rows, y, folds)
 
 
+def _wanted(sample: DataFrame, names: list[str]) -> np.ndarray:
+    """The words that a fit of any category, on all folds or without one of them, may use."""
+    by_label = [f(n).cast("long").alias(f"{k}_{n}") for n in names for k, f in (("n", F.count), ("pos", F.sum))]
+    docs = sample.groupBy("fold").agg(*by_label).toArrow().to_pylist()
+    cells = sample.select("fold", *names, F.explode("ids").alias("i")).groupBy("fold", "i").agg(*by_label).toArrow()
+    at = np.array(cells.column("i").to_pylist(), np.int64) * FOLDS + np.array(cells.column("fold").to_pylist(), np.int64)
+    mask = np.zeros(1 << BITS, bool)
+    for name in names:
+        grid = {}
+        for k in ("n", "pos"):
+            grid[k] = np.zeros((1 << BITS) * FOLDS, np.int64)
+            grid[k][at] = [x or 0 for x in cells.column(f"{k}_{name}").to_pylist()]
+            grid[k] = grid[k].reshape(-1, FOLDS)
+        for left_out in range(-1, FOLDS):
+            n, n1 = (sum(d[f"{k}_{name}"] or 0 for d in docs if d["fold"] != left_out) for k in ("n", "pos"))
+            use = [f for f in range(FOLDS) if f != left_out]
+            mask |= telling(n, n1, grid["n"][:, use].sum(1), grid["pos"][:, use].sum(1))
+    return mask
+
+
 def score_chain(docs: DataFrame, model, text: Column) -> DataFrame:
     """docs with a struct __tox: p_<category> and is_<category> for each category."""
     names, weights, tails, cuts = model
@@ -156,12 +194,17 @@ def score_chain(docs: DataFrame, model, text: Column) -> DataFrame:
 
     def score(column: pa.Array) -> pa.Array:
         weights, tails, cuts = shared.value
-        rows = _features(column)
-        z, some = _sums(weights, rows), np.array([len(r) > 0 for r in rows], bool)
-        ahead = np.zeros((len(rows), 0))
-        for c, tail in enumerate(tails):
-            p = np.where(some, _sigmoid(z[:, c] + np.column_stack([ahead, np.ones(len(rows))]) @ tail), 0.0)
-            ahead = np.column_stack([ahead, p])
+        parts = []
+        for lo, hi in text_blocks(column):  # features of a block at a time
+            rows = _features(column.slice(lo, hi - lo))
+            z, some = _sums(weights, rows), np.array([len(r) > 0 for r in rows], bool)
+            ahead = np.zeros((len(rows), 0))
+            for c, tail in enumerate(tails):
+                p = np.where(some, _sigmoid(z[:, c] + np.column_stack([ahead, np.ones(len(rows))]) @ tail), 0.0)
+                ahead = np.column_stack([ahead, p])
+            parts.append(np.column_stack([ahead, some]))
+        both = np.concatenate(parts) if parts else np.zeros((0, len(tails) + 1))
+        ahead, some = both[:, :-1], both[:, -1] > 0
         fields = {f"p_{n}": pa.array(ahead[:, c]) for c, n in enumerate(names)}
         fields |= {f"is_{n}": pa.array((ahead[:, c] >= cuts[c]) & some) for c, n in enumerate(names)}
         return pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
