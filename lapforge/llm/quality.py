@@ -203,7 +203,11 @@ def measured_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def filter_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang"
 ) -> DataFrame:
-    """The documents that the base rules and the certified cutoffs keep, columns unchanged."""
-    cutoffs = calibrate(measured_table(docs, id_col, text_col, stratum_col), labels)
-    judged = judge(with_measures(docs, text_col), cutoffs, F.col(stratum_col))
-    return judged.where("__kept").select(*docs.columns)
+    """The documents that the base rules and the certified cutoffs keep, columns unchanged. The
+    texts are measured once: rows and measures are staged, and the cutoffs read the measures alone."""
+    nested = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("stratum")
+    )
+    measured = stage(with_measures(nested).drop("text"), "measured")
+    cutoffs = calibrate(measured.select("id", "stratum", "__q"), labels)
+    return judge(measured, cutoffs, F.col("stratum")).where("__kept").select("row.*")

@@ -7,7 +7,8 @@ Every character is then read once (linear longest match).
 A word is the start mark plus the characters between ASCII white space. A character that no
 piece starts with counts as one token for each of its UTF-8 bytes (byte fallback) and the
 match goes on after it. The vocabulary (a list of pieces) is read on the driver from a path
-and broadcast; its length is checked against MAX_PIECES.
+and broadcast; its length is checked against max_pieces (a million pieces take some 400 MB in a
+Python worker; a caller with more memory may raise it).
 
 Distinct words of a task are matched once and remembered up to CACHE_WORDS words (then the
 memory is emptied); words over CACHE_CHARS characters are matched each time.
@@ -96,10 +97,10 @@ def sentencepiece_vocabulary(path: str) -> list[str]:
 _built: dict[int, tuple[Automaton, dict[bytes, int]]] = {}  # one automaton for each worker and broadcast
 
 
-def count_tokens(docs: DataFrame, pieces: list[str], text: Column) -> DataFrame:
+def count_tokens(docs: DataFrame, pieces: list[str], text: Column, max_pieces: int = MAX_PIECES) -> DataFrame:
     """docs with a struct __tokens (n_words, n_tokens)."""
-    if len(pieces) > MAX_PIECES:
-        raise ValueError(f"a vocabulary of over {MAX_PIECES} pieces")
+    if len(pieces) > max_pieces:
+        raise ValueError(f"a vocabulary of over {max_pieces} pieces")
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     key = hash((len(pieces), *pieces))
 

@@ -103,6 +103,24 @@ def test_quality_cutoffs_reject_junk_and_keep_good(spark):
     assert quality.filter_quality(table, labels.limit(0)).count() == len(good) + len(junk)
 
 
+def test_quality_strata_nulls_and_ties(spark):
+    """Every stratum has its own cutoffs, null is one; equal gains take the more lenient cutoff."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    clean = [" ".join(word() for _ in range(40)) for _ in range(1500)]
+    marked = [" ".join([word() for _ in range(38)] + ["#" * 24, word()]) for _ in range(100)]  # symbol ratio 24 / 219
+    lang = [None] * 1600 + ["en"] * 100
+    table = docs(spark, clean + marked + marked, lang=lang).withColumns({"__q": F.lit(1), "row": F.lit("mine"), "stratum": F.lit(2)})
+    labels = spark.createDataFrame([(i, int(i < 1500), 0) for i in range(1600)], "doc_id long, quality int, toxic int")
+    measured = quality.measured_table(table)
+    cutoffs = {x["stratum"]: x for x in quality.calibrate(measured, labels).collect()}
+    assert set(cutoffs) == {None} and cutoffs[None]["symbol_ratio"] == 0.1  # 0.1 to 0.01 reject the same
+    out = quality.filter_quality(table.union(table), labels)
+    assert out.columns == table.columns
+    kept = [x["doc_id"] for x in out.collect()]
+    assert sorted(kept) == sorted([*range(1500), *range(1600, 1700)] * 2)  # "en" has no labels: nothing is certified
+
+
 # 2 mixing
 
 
