@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..schema import COMPOUND_ALIASES, UNKNOWN_COMPOUND
 
 UNIT_SCALE = {"auto": 1.0, "s": 1.0, "ms": 1e-3, "us": 1e-6, "ns": 1e-9}
-_CLOCK = r"^\s*(?:(\d+):)?(\d{1,2})(?:\.(\d+))?\s*$"
+_CLOCK = r"^\s*(?:(\d+):)?(\d{1,2})(?:\.(\d{1,6}))?\s*$"
 
 
 def nan_to_null(c: Column) -> Column:
@@ -50,8 +50,11 @@ def normalize_compound(raw: Column) -> Column:
 
 
 def to_integer(c: Column) -> Column:
-    """Numbers in any form as long; null if not numeric."""
-    return nan_to_null(c.try_cast("double")).cast("long")
+    """Numbers in any form as long; null if not numeric. A number with a fraction (or too large)
+    fails the job, as a lap 3.7 that became lap 3 would repeat another."""
+    x = nan_to_null(c.try_cast("double"))
+    whole = (F.abs(x) < 2.0**63) & (x == F.floor(x))
+    return F.when(x.isNull() | whole, x.try_cast("long")).otherwise(F.raise_error(F.concat(F.lit("not a whole number: "), x.cast("string"))).cast("long"))
 
 
 def psi_severity(psi: Column) -> Column:
@@ -63,8 +66,3 @@ def action_label(p: Column, threshold: float) -> Column:
     return (
         F.when(p < 0.7 * threshold, "Unlikely near-term").when(p < threshold, "Monitor").otherwise("Investigate pit window")
     )
-
-
-def clip(c: Column, low: float, high: float) -> Column:
-    """c within [low, high]; give it no null: least() would skip it."""
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 
-TRACE, STINT, FIELD, SESSION = (
+TRACE, FIELD, SESSION = (
     ("session_key", "driver_number"),
-    ("session_key", "driver_number", "stint_number"),
     ("session_key", "lap_number"),
     ("session_key",),
 )
@@ -31,7 +30,3 @@ def group(df: DataFrame, keys: Sequence[str]) -> WindowSpec:
 
 def ordered(df: DataFrame, keys: Sequence[str] = TRACE) -> WindowSpec:
     return group(df, keys).orderBy(*present_keys(df, ORDER))
-
-
-def running(df: DataFrame, keys: Sequence[str] = TRACE) -> WindowSpec:
-    return ordered(df, keys).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order_statistics import quantiles
 from ..functions.scalars import finite, psi_severity
 
 FLOOR = 1e-4
 
 
-def _long(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def _values(df: DataFrame, features: Sequence[str], side: str) -> DataFrame:
+    """(feature, v, and n: finite values), counted before any shuffle."""
     pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features]
-    return df.select(F.explode(F.array(*pairs)).alias("x")).select("x.feature", finite(F.col("x.v")).alias("v")).where("v is not null")
+    long = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.feature", finite(F.col("x.v")).alias("v")).where("v is not null")
+    return long.select("feature", "v", *[F.lit(int(s == side)).alias(s) for s in ("r", "c")])
 
 
 def drift_report(reference: DataFrame, current: DataFrame, features: Sequence[str], n_bins: int = 10) -> DataFrame:
@@ -26,28 +29,24 @@ def drift_report(reference: DataFrame, current: DataFrame, features: Sequence[st
     names = spark.createDataFrame([(c,) for c in features], "feature string")
     if not both:
         return names.select("feature", F.lit(None).cast("double").alias("psi"), F.lit("unavailable (column missing)").alias("severity"))
-    cuts = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-    ref, cur = _long(reference, both), _long(current, both)
-    edges = ref.groupBy("feature").agg(F.array_distinct(F.percentile("v", cuts)).alias("e"))
+    # one shuffle of counted values; edges and shares both come from it
+    values = _values(reference, both, "r").union(_values(current, both, "c"))
+    values = values.groupBy("feature", "v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    edges = quantiles(values.where("r > 0"), "v", [i / n_bins for i in range(n_bins + 1)], ["feature"], n="r")
+    edges = edges.select("feature", F.array_distinct("quantiles").alias("e"))
     # inner edges part the bins; a value on an edge belongs to the upper bin
     edges = edges.select("feature", F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))).alias("inner"), F.size("e").alias("n_edges"))
     edges = F.broadcast(edges)  # one row a feature
-
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        placed = df.join(edges, "feature").groupBy("feature", F.size(F.filter("inner", lambda e: e <= F.col("v"))).alias("bin"))
-        counts = placed.agg(F.count("*").alias("n"))
-        totals = counts.groupBy("feature").agg(F.sum("n").alias("all"))
-        return counts.join(totals, "feature").select("feature", "bin", (F.col("n") / F.col("all")).alias(name))
-
-    skeleton = edges.select("feature", "n_edges", F.explode(F.sequence(F.lit(0), F.size("inner"))).alias("bin"))
-    share = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(FLOOR))
-    seen = shares(cur, "c")
+    bin_ = F.size(F.filter("inner", lambda e: e <= F.col("v")))
+    seen = values.join(edges, "feature").groupBy("feature", "n_edges", "inner", bin_.alias("bin")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    # from here on a row for each feature and bin; a bin that neither side has counts FLOOR on both, so it adds 0
+    total = seen.groupBy("feature", "n_edges").agg(F.sum("r").alias("all_r"), F.sum("c").alias("all_c"))
+    share = lambda c: F.greatest(F.col(c) / F.col(f"all_{c}"), F.lit(FLOOR))
     psi = (
-        skeleton.join(shares(ref, "r"), ["feature", "bin"], "left")
-        .join(seen, ["feature", "bin"], "left")
+        seen.join(total, ["feature", "n_edges"])
+        .where("all_c > 0")
         .groupBy("feature", "n_edges")
         .agg(F.sum((share("c") - share("r")) * F.log(share("c") / share("r"))).alias("s"))
-        .join(seen.select(F.col("feature").alias("f")).distinct(), F.col("feature") == F.col("f"), "left_semi")
         .select("feature", F.when(F.col("n_edges") < 2, 0.0).otherwise(F.col("s")).alias("psi"))
     )
     told = F.coalesce(psi_severity(F.col("psi")), F.lit("unavailable (column missing)"))

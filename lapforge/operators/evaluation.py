@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.order_statistics import quantiles, with_rows_below
+
 MIN_GROUP = 30
 
 
@@ -51,10 +53,10 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 
 def _auc(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact ROC-AUC (Mann-Whitney with average ranks) for each group."""
+    """Exact ROC-AUC (Mann-Whitney with average ranks) for each group. Ranks come from running
+    totals over cells of p, so no task holds all scores of a group."""
     ties = scored.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"))
-    below = F.sum("n").over(W.partitionBy(*keys).orderBy("p")) - F.col("n")
-    ranked = ties.withColumn("rank", below + (F.col("n") + 1) / 2)
+    ranked = with_rows_below(ties, "p", keys).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("np"), F.sum("n").alias("nn"))
     neg = F.col("nn") - F.col("np")
     auc = (F.col("r") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * neg)
@@ -66,8 +68,8 @@ def roc_auc(scored: DataFrame) -> DataFrame:
 
 
 def group_metrics(scored: DataFrame, group: str, threshold: float = 0.5, min_size: int = MIN_GROUP) -> DataFrame:
-    """(group, n, roc_auc, precision, recall, f1); null where a group has under min_size rows or
-    one class only. The null group is a group."""
+    """(group, n, roc_auc, precision, recall, f1), by group with null last; null where a group has
+    under min_size rows or one class only. The null group is a group."""
     hit = F.col("p") >= threshold
     counts = scored.groupBy(group).agg(
         F.count("*").alias("n"),
@@ -79,7 +81,7 @@ def group_metrics(scored: DataFrame, group: str, threshold: float = 0.5, min_siz
     joined = counts.join(auc, F.col(group).eqNullSafe(F.col("__g")))
     fit = (F.col("n") >= min_size) & F.col("roc_auc").isNotNull()
     named = {"roc_auc": F.col("roc_auc"), **_scores(F.col("tp"), F.col("fp"), F.col("fn"))}
-    return joined.select(group, "n", *[F.when(fit, v).alias(k) for k, v in named.items()])
+    return joined.select(group, "n", *[F.when(fit, v).alias(k) for k, v in named.items()]).orderBy(F.col(group).asc_nulls_last())
 
 
 def brier(scored: DataFrame) -> DataFrame:
@@ -88,15 +90,21 @@ def brier(scored: DataFrame) -> DataFrame:
 
 def brier_by_group(scored: DataFrame, group: str, min_size: int = MIN_GROUP) -> DataFrame:
     score = F.avg(F.pow(F.col("p") - F.col("y"), 2))
-    return scored.groupBy(group).agg(F.count("*").alias("n"), F.when(F.count("*") >= min_size, score).alias("brier"))
+    scores = scored.groupBy(group).agg(F.count("*").alias("n"), F.when(F.count("*") >= min_size, score).alias("brier"))
+    return scores.orderBy(F.col(group).asc_nulls_last())
+
+
+def nearest_threshold(sweep: DataFrame, threshold: float) -> DataFrame:
+    """The one row of a sweep whose threshold is nearest, the lower one on ties."""
+    return sweep.orderBy(F.abs(F.round(F.col("threshold") - threshold, 9)), "threshold").limit(1)
 
 
 def reliability(scored: DataFrame, n_bins: int = 10, strategy: str = "quantile") -> DataFrame:
     """(bin, mean_predicted, observed_rate, n) for each bin that has rows. Quantile bins have
     equal counts (equal edges merge), uniform ones equal width; both are closed on the right."""
     if strategy == "quantile":
-        cuts = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-        limits = scored.agg(F.array_distinct(F.percentile("p", cuts)).alias("e"))
+        counts = scored.groupBy(F.lit(0).alias("g"), "p").agg(F.count("*").alias("n")).where("p is not null")
+        limits = quantiles(counts, "p", [i / n_bins for i in range(n_bins + 1)], ["g"]).select(F.array_distinct("quantiles").alias("e"))
         bin_ = F.greatest(F.lit(1), F.size(F.filter("e", lambda e: e < F.col("p"))))
     elif strategy == "uniform":
         limits = scored.agg(F.min("p").alias("lo"), F.max("p").alias("hi"))

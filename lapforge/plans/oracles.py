@@ -102,10 +102,10 @@ def _psi(source: str, reference: str, current: str, column: str) -> str:
 
 
 _SEVERITY = "case when psi < 0.1 then 'stable' when psi < 0.25 then 'moderate' else 'significant' end"
-_CLOCK = r"""case when regexp_full_match(raw, '\s*(\d+:)?\d{1,2}(\.\d+)?\s*') then
-    coalesce(nullif(regexp_extract(raw, '^\s*(?:(\d+):)?(\d{1,2})(?:\.(\d+))?\s*$', 1), '')::double, 0) * 60
-    + regexp_extract(raw, '^\s*(?:(\d+):)?(\d{1,2})(?:\.(\d+))?\s*$', 2)::double
-    + coalesce(('0.' || nullif(regexp_extract(raw, '^\s*(?:(\d+):)?(\d{1,2})(?:\.(\d+))?\s*$', 3), ''))::double, 0) end"""
+_CLOCK = r"""case when regexp_full_match(raw, '\s*(\d+:)?\d{1,2}(\.\d{1,6})?\s*') then
+    coalesce(nullif(regexp_extract(raw, '^\s*(?:(\d+):)?(\d{1,2})(?:\.(\d{1,6}))?\s*$', 1), '')::double, 0) * 60
+    + regexp_extract(raw, '^\s*(?:(\d+):)?(\d{1,2})(?:\.(\d{1,6}))?\s*$', 2)::double
+    + coalesce(('0.' || nullif(regexp_extract(raw, '^\s*(?:(\d+):)?(\d{1,2})(?:\.(\d{1,6}))?\s*$', 3), ''))::double, 0) end"""
 
 ORACLES: dict[str, str] = {
     name: f"with {_LAPS} select {_KEYS}, {sql if name == 'tyre_age_v2' else f'round({sql}, 6)'} as value from base" for name, sql in _METRICS.items()
@@ -113,6 +113,15 @@ ORACLES: dict[str, str] = {
     "metrics_view": f"with {_CURRENT} select {_KEYS}, stint_number, tyre_age, "
     + ", ".join(_r(k, k) for k in ("degradation_rate", "gap_closing_rate", "gap_to_leader", "pace_delta", "pit_delta", "race_progress", "relative_pace_delta", "stint_age_squared"))
     + " from current",
+    "metrics_without_stint": f"""with {_LAPS}, pits as (
+  select *, lag(is_pit_lap::int, 1, 0) over {_TRACE} as before from laps
+), stints as (
+  select *, sum(before) over {_TRACE} as stint from pits
+), ages as (
+  select *, row_number() over (partition by driver_number, stint order by lap_number) - 1 as age from stints
+)
+select {_KEYS}, age as tyre_age, (age * age)::double as stint_age_squared,
+  round({_SLOPE.replace("stint_number", "stint")}, 6) as degradation_rate from ages""",
     "metrics_as_of_2023": f"with {_LAPS} select {_KEYS}, "
     + ", ".join(_r(_METRICS[f"{k}_v1"], k) for k in ("degradation_rate", "gap_to_leader", "pit_delta", "tyre_age"))
     + " from base",

@@ -49,10 +49,15 @@ def metrics_as_of_2023(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*KEYS, *[r6(k).alias(k) for k in ("degradation_rate", "gap_to_leader", "pit_delta", "tyre_age")])
 
 
+def metrics_without_stint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the stint where no lap has a stint number: stints derived from pit laps."""
+    laps = _laps(spark, sf_dir).withColumn("stint_number", F.lit(None).cast("long"))
+    return metrics.with_all_metrics(laps).select(*KEYS, "tyre_age", "stint_age_squared", r6("degradation_rate").alias("degradation_rate"))
+
+
 def registry_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions live on the days of the events (a range join with the registry)."""
-    rows = [(d.key, d.version, d.effective_from, d.effective_to) for d in metrics.REGISTRY.all()]
-    registry = spark.createDataFrame(rows, "key string, version string, since date, until date")
+    registry = metrics.REGISTRY.table(spark).select("key", "version", "since", "until")
     days = _table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n_events"))
     live = (F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
     return days.join(F.broadcast(registry), live).groupBy("key", "version").agg(F.count("*").alias("n_days"), F.sum("n_events").alias("n_events"))
@@ -287,11 +292,11 @@ def train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f"{d.key}_{d.version}": _metric(d.key, d.version) for d in metrics.REGISTRY.all()
+    f"{d.key}_{d.version}": _metric(d.key, d.version) for d in metrics.REGISTRY.rows
 } | {
     f.__name__: f
     for f in (
-        metrics_view, metrics_as_of_2023, registry_as_of, derive_stint, race_dimension, compound_norm, duration_parse,
+        metrics_view, metrics_as_of_2023, metrics_without_stint, registry_as_of, derive_stint, race_dimension, compound_norm, duration_parse,
         normalize_raw, exclude_laps, mad_outliers, impute_gaps, impute_events, completeness, null_rates, driver_coverage,
         lap_gaps, monotonic_gap, stint_reset, dup_laps, dup_positions, bounds, sigma_count, validation_report,
         circuit_loss_fit, circuit_loss_apply, pit_targets, star_load, threshold_sweep, best_threshold, group_metrics,

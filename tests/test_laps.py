@@ -1,15 +1,20 @@
 """Lap operators on small frames with known answers; every SQL query against DuckDB."""
 
+import hashlib
 import math
 import os
+import random
+from dataclasses import replace
 from datetime import date
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lapforge.functions.scalars import action_label, normalize_compound, to_seconds
+from lapforge.functions import order_statistics
+from lapforge.functions.scalars import action_label, normalize_compound, to_integer, to_seconds
 from lapforge.operators import cleaning, drift, evaluation, metrics, target, validation
 from lapforge.plans import queries as lap_queries
 from lapforge.plans import snapshot, training
@@ -35,11 +40,11 @@ def column(df, name):
 
 
 def test_durations(spark):
-    raw = ["1:32.456", "92.5", "not-a-time", None, "45", "1:05:32", " 0:59.5 ", "NaN"]
+    raw = ["1:32.456", "92.5", "not-a-time", None, "45", "1:05:32", " 0:59.5 ", "NaN", "1:02.1234567"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, x string")
     kind = df.schema["x"].dataType
     got = [r[0] for r in df.orderBy("i").select(to_seconds(F.col("x"), kind)).collect()]
-    assert got == [92.456, 92.5, None, None, 45.0, None, 59.5, None]
+    assert got == [92.456, 92.5, None, None, 45.0, None, 59.5, None, None]
     assert df.where("i = 4").select(to_seconds(F.col("x"), kind, "ms")).first()[0] == 45.0  # the clock form goes first
     number = spark.createDataFrame([(92500.0,), (float("nan"),)], "x double")
     assert [r[0] for r in number.select(to_seconds(F.col("x"), number.schema["x"].dataType, "ms")).collect()] == [92.5, None]
@@ -95,9 +100,27 @@ def test_derived_stints(spark):
     assert column(metrics.derive_stint_by_in_lap(df), "derived_stint") == [0, 0, 0, 1, 1, 1]
 
 
+def test_metrics_without_stints_derive_them(spark):
+    df = trace(spark, [90.0 + i for i in range(8)], pits=(4,))
+    for bare in (df.drop("stint_number"), df.withColumn("stint_number", F.lit(None).cast("long"))):
+        assert column(metrics.with_metric(bare, "tyre_age"), "tyre_age@v2") == [0, 1, 2, 3, 0, 1, 2, 3]
+    some = df.withColumn("stint_number", F.lit(None).cast("long")).union(trace(spark, [90.0] * 3, driver=2, stints=[1, 1, 2]))
+    assert column(metrics.with_metric(some, "tyre_age"), "tyre_age@v2") == [0, 1, 2, 3, 0, 1, 2, 3, 0, 1, 0]
+    with pytest.raises(KeyError):
+        metrics.with_metric(df.drop("stint_number", "is_pit_lap"), "tyre_age")
+    assert metrics.with_metric(df.drop("stint_number", "is_pit_lap"), "pace_delta").count() == 8
+
+
+def test_integers_with_a_fraction_fail(spark):
+    df = spark.createDataFrame([("3",), ("4.0",), ("x",), (None,), ("NaN",)], "x string")
+    assert [r[0] for r in df.select(to_integer(F.col("x"))).collect()] == [3, 4, None, None, None]
+    with pytest.raises(Exception, match="not a whole number"):
+        spark.createDataFrame([("3.7",)], "x string").select(to_integer(F.col("x"))).collect()
+
+
 def test_registry():
     registry = metrics.REGISTRY
-    assert len(registry.all()) == 13 and len(registry.current()) == 9
+    assert len(registry.rows) == 13 and len(registry.current()) == 9
     assert {d.version for d in registry.as_of(date(2023, 6, 1)).values()} == {"v1"} and not registry.as_of(date(2020, 1, 1))
     assert registry.versions("tyre_age") == ["v1", "v2"] and registry.get("tyre_age").qualified_name == "tyre_age@v2"
     with pytest.raises(KeyError):
@@ -106,6 +129,15 @@ def test_registry():
         metrics.MetricRegistry([registry.get("tyre_age"), registry.get("tyre_age")])
     with pytest.raises(LookupError):
         metrics.MetricRegistry([registry.get("tyre_age", "v1")]).get("tyre_age")
+    changed = metrics.MetricRegistry([replace(registry.get("tyre_age"), definition="other")])
+    assert changed.fingerprint != metrics.MetricRegistry([registry.get("tyre_age")]).fingerprint and len(registry.fingerprint) == 12
+    assert registry.get("tyre_age").fingerprint == hashlib.sha256(b"tyre_age|v2|laps|Laps of the stint before this one.|laps_on_tyre").hexdigest()[:12]
+    assert registry.get("pit_delta").supersedes == "v1" and registry.get("pit_delta").rationale
+    assert registry.to_dict()["tyre_age"][1]["is_current"] and registry.to_dict()["tyre_age"][0]["until"] == "2024-01-01"
+    with pytest.raises(KeyError):
+        registry.get("tyre_age", "v9")
+    with pytest.raises(LookupError):
+        metrics.MetricRegistry([registry.get("tyre_age", "v1"), replace(registry.get("tyre_age"), since=date(2023, 6, 1))]).as_of(date(2023, 7, 1))
     assert metrics.metrics_view_sql() == metrics.metrics_view_sql() and "gap_to_leader@v2" in registry.to_markdown()
     with pytest.raises(NotImplementedError):
         metrics.opponent_signal()
@@ -247,10 +279,39 @@ def test_thresholds_and_auc(spark):
     assert evaluation.brier(scored(spark, [0, 1], [1, 0])).first()[0] == 1.0
 
 
+def test_order_statistics_are_exact(spark):
+    r = np.random.default_rng(5)
+    groups = {
+        "a": np.round(r.normal(90, 0.5, 3000), 3), "b": r.exponential(1e6, 500) * r.choice([-1, 1], 500), "c": np.array([0.0, -0.0, 7.0]),
+        None: np.full(40, 2.5), "tiny": np.array([5e-324, 1e308, -1e308, 1.0]),
+    }
+    rows = [(g, float(v)) for g, x in groups.items() for v in x]
+    counts = spark.createDataFrame(rows, "g string, v double").groupBy("g", "v").agg(F.count("*").alias("n"))
+    cuts = [0, 0.1, 0.25, 0.5, 0.9, 0.999, 1]
+    got = {x["g"]: x["quantiles"] for x in order_statistics.quantiles(counts, "v", cuts, ["g"]).collect()}
+    assert got.keys() == groups.keys()
+    for g, x in groups.items():
+        assert got[g] == pytest.approx(list(np.quantile(x, cuts)), rel=1e-12), g
+    for x in order_statistics.with_rows_below(counts, "v", ["g"]).collect():
+        assert x["below"] == (groups[x["g"]] < x["v"]).sum()
+
+
+def test_auc_matches_pairs_and_no_task_holds_all_scores(spark):
+    r = random.Random(8)
+    y, p = [r.randint(0, 1) for _ in range(400)], [round(r.random(), 2) for _ in range(400)]
+    pos, neg = [a for a, b in zip(p, y, strict=True) if b], [a for a, b in zip(p, y, strict=True) if not b]
+    pairs = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    auc = evaluation.roc_auc(scored(spark, y, p))
+    assert auc.first()[0] == pytest.approx(pairs)
+    sweep = evaluation.threshold_sweep(scored(spark, y, p), [0.2, 0.3, 0.4])
+    assert [evaluation.nearest_threshold(sweep, x).first()["threshold"] for x in (0.0, 0.26, 0.35, 0.99)] == [0.2, 0.3, 0.3, 0.4]
+
+
 def test_group_metrics(spark):
     y = [i % 2 for i in range(200)] + [1] * 40 + [0, 1, 1]
     p = [0.2 + 0.6 * (i % 2) for i in range(200)] + [0.9] * 40 + [0.1, 0.9, 0.9]
     got = {r["g"]: r for r in evaluation.group_metrics(scored(spark, y, p, ["a"] * 200 + [None] * 40 + ["c"] * 3), "g").collect()}
+    assert list(got) == ["a", "c", None]  # sorted, null last
     assert got["a"]["roc_auc"] == 1.0 and got[None]["roc_auc"] is None and got["c"]["f1"] is None
 
 
