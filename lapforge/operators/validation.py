@@ -1,5 +1,10 @@
-"""Checks of a lap frame. Each check is a DataFrame of its own (for use at any size); the
-report collects their totals, one row a check."""
+"""Checks of a lap frame.
+
+check_results is the report as a DataFrame, one row a result, from two plans: one aggregate over
+all laps (null rates, bounds, trace checks, sigma) and one by session (drivers, holes). Counts come
+from running differences of the ordered trace, so the checks share its windows.
+validate_laps collects the rows into a report. Each check is also a function of its own.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +33,8 @@ class ValidationConfig:
         default_factory=lambda: {"lap_time_seconds": 0.05, "tyre_compound": 0.05, "tyre_life": 0.05, "position": 0.05}
     )
     default_max_null_rate: float = 0.10
-    exempt: tuple[str, ...] = ("tyre_compound_raw", "driver_code_raw")
+    #: Columns of this ending hold untouched input and may be empty.
+    exempt_suffix: str = "_raw"
     expected_drivers: int | None = None
     min_drivers: int = 2
     bounds: Mapping[str, tuple[float, float]] = field(
@@ -40,9 +46,14 @@ class ValidationConfig:
 
 @dataclass(frozen=True)
 class CheckResult:
+    """session_key is set for results of one session; n_affected counts rows (or gaps, or drivers)."""
+
+    category: str
     name: str
     severity: str
+    n_affected: int
     message: str
+    session_key: str | None = None
     details: dict = field(default_factory=dict)
 
 
@@ -60,6 +71,9 @@ class ValidationReport:
     def to_json(self) -> str:
         return json.dumps(self.to_dict(), indent=2, sort_keys=True)
 
+    def failures(self) -> list[CheckResult]:
+        return [r for r in self.results if r.severity == ERROR]
+
     def summary(self) -> str:
         counts = {s: sum(r.severity == s for r in self.results) for s in (PASS, WARNING, ERROR)}
         return f"{'passed' if self.passed else 'failed'}: " + ", ".join(f"{n} {s}" for s, n in counts.items())
@@ -128,62 +142,124 @@ def sigma_counts(df: DataFrame, column: str = "lap_time_seconds", n_sigma: float
     return with_mad(df, column).where((F.col("__n") >= min_size) & (F.col("__mad") > 0)).groupBy(*TRACE).agg(F.count_if(far).alias("n_outside"))
 
 
-def validate_laps(df: DataFrame, config: ValidationConfig | None = None) -> ValidationReport:
-    """All checks whose columns df has: completeness, consistency, reasonableness."""
+RESULT = "category string, name string, severity string, n_affected long, message string, session_key string, details string"
+COMPLETENESS, CONSISTENCY, REASONABLENESS = "completeness", "consistency", "reasonableness"
+SHOWN, KEPT = 5, 20
+
+
+def _result(category: str, name: str | Column, severity: Column, n: Column, message: Column, session: Column | None = None, details: Column | None = None) -> Column:
+    text = F.lit(None).cast("string")
+    return F.struct(
+        F.lit(category).alias("category"), (F.lit(name) if isinstance(name, str) else name).alias("name"), severity.alias("severity"), n.cast("long").alias("n_affected"),
+        message.alias("message"), (text if session is None else session).alias("session_key"), (text if details is None else details).alias("details"),
+    )
+
+
+def _whole_frame(df: DataFrame, c: ValidationConfig, complete: bool) -> DataFrame:
+    """Results from one aggregate over all laps."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    trace = all(k in kinds for k in TRACE)
+    step: dict[str, Column] = {}
+    if trace and "lap_number" in kinds:
+        step["lap_number"] = F.col("lap_number") - F.lag("lap_number").over(ordered(df))
+        for name in ("gap_to_leader", "stint_number"):
+            if name in kinds:
+                step[name] = F.col(name) - F.lag(name).over(ordered(df))
+    sigma = trace and "lap_time_seconds" in kinds
+    wide = df.withColumns({f"__d_{k}": v for k, v in step.items()})
+    if sigma:
+        wide = with_mad(wide, "lap_time_seconds")
+    found: dict[str, Column] = {}
+    results: list[Column] = []
+
+    def check(category: str, name: str, key: str, count: Column, bad: str, unless_bad: str | None = PASS) -> None:
+        """A result whose severity is bad where count is over 0; no row then if unless_bad is None."""
+        found[key] = count
+        severity = F.when(F.col(key) > 0, bad).otherwise(unless_bad) if unless_bad else F.when(F.col(key) > 0, bad)
+        results.append(_result(category, name, severity, F.col(key), F.concat(F.col(key).cast("string"), F.lit(" rows"))))
+
+    found["__rows"] = F.count("*")
+    if complete:
+        strict = [x for x in c.max_null_rate if x in kinds]
+        skipped = {*strict, *c.required_columns}
+        loose = [x for x, t in kinds.items() if x not in skipped and not x.endswith(c.exempt_suffix) and isinstance(t, T.AtomicType)]
+        for x in [*strict, *loose]:
+            key = f"__null_{x}"
+            found[key] = F.count_if(F.col(f"`{x}`").isNull())
+            rate = F.coalesce(F.try_divide(F.col(key), F.col("__rows")), F.lit(0.0))
+            over = rate > c.max_null_rate.get(x, c.default_max_null_rate)
+            severity = F.when(over, ERROR).otherwise(PASS) if x in c.max_null_rate else F.when(over, WARNING)
+            results.append(_result(COMPLETENESS, f"null_rate:{x}", severity, F.col(key), F.format_string("%.2f%% null", rate * 100)))
+    if "gap_to_leader" in step:
+        check(CONSISTENCY, "monotonic_cumulative_gap", "__gap", F.count_if(F.col("__d_gap_to_leader") < -1e-6), ERROR)
+    if "stint_number" in step and "tyre_age" in kinds:
+        check(CONSISTENCY, "tyre_age_resets_after_pit", "__age", F.count_if((F.col("__d_stint_number") != 0) & (F.col("tyre_age") != 0)), ERROR)
+    if "lap_number" in step:
+        check(CONSISTENCY, "lap_number_strictly_increasing", "__order", F.count_if(F.col("__d_lap_number") <= 0), ERROR)
+    for x, (lo, hi) in c.bounds.items():
+        if x in kinds:
+            v = F.col(x).try_cast("double")
+            check(REASONABLENESS, f"bounds:{x}", f"__bound_{x}", F.count_if((v < lo) | (v > hi)), ERROR)
+    if sigma:
+        far = F.abs(F.col("lap_time_seconds") - F.col("__median")) > c.n_sigma * MAD_SIGMA * F.col("__mad")
+        fit = (F.col("__n") >= c.min_group_size) & (F.col("__mad") > 0)
+        check(REASONABLENESS, "lap_time_within_driver_sigma", "__sigma", F.count_if(fit & far), WARNING)
+    one = wide.agg(*[v.alias(k) for k, v in found.items()])
+    if not results:
+        return df.sparkSession.createDataFrame([], RESULT)
+    return one.select(F.explode(F.array(*results)).alias("x")).select("x.*").where("severity is not null")
+
+
+def _positions(df: DataFrame) -> DataFrame:
+    per_place = df.where("position is not null").groupBy(*FIELD, "position").agg((F.count("*") - 1).alias("again"))
+    n = per_place.agg(F.coalesce(F.sum("again"), F.lit(0)).alias("n"))
+    severity = F.when(F.col("n") > 0, WARNING).otherwise(PASS)
+    return n.select(_result(CONSISTENCY, "unique_position_per_lap", severity, F.col("n"), F.concat(F.col("n").cast("string"), F.lit(" rows"))).alias("x")).select("x.*")
+
+
+def _by_session(df: DataFrame, c: ValidationConfig) -> list[DataFrame]:
+    """Results of single sessions: too few drivers, holes in the lap numbers."""
+    out = []
+    count = F.col("n_drivers")
+    few = F.when(count < c.min_drivers, ERROR) if c.expected_drivers is None else F.when(count < c.expected_drivers, WARNING).when(count < c.min_drivers, ERROR)
+    told = F.concat(count.cast("string"), F.lit(" drivers"))
+    coverage = driver_coverage(df).select(_result(COMPLETENESS, "driver_coverage", few, count, told, F.col("session_key")).alias("x"))
+    out.append(coverage.select("x.*").where("severity is not null"))
+    if "lap_number" in df.columns:
+        holes = lap_gaps(df)
+        nth = F.row_number().over(W.partitionBy("session_key").orderBy("driver_number", "first_missing"))
+        first = holes.withColumn("k", nth).where(F.col("k") <= KEPT)  # Spark keeps no more than these of a session
+        hole = F.struct("k", F.array(*[F.col(x).cast("string") for x in ("driver_number", "first_missing", "last_missing")]).alias("g"))
+        first = first.groupBy(F.col("session_key").alias("s")).agg(F.sort_array(F.collect_list(hole)).alias("l"))
+        n = holes.groupBy("session_key").agg(F.count("*").alias("n"))
+        both = n.join(first, F.col("session_key").eqNullSafe(F.col("s"))).withColumn("g", F.col("l.g"))
+        told = F.concat(F.col("n").cast("string"), F.lit(" holes, e.g. "), F.to_json(F.slice("g", 1, SHOWN)))
+        row = _result(COMPLETENESS, "lap_sequence_gaps", F.lit(WARNING), F.col("n"), told, F.col("session_key"), F.to_json(F.struct(F.col("g").alias("gaps"))))
+        out.append(both.select(row.alias("x")).select("x.*"))
+    return out
+
+
+def check_results(df: DataFrame, config: ValidationConfig | None = None) -> DataFrame:
+    """All checks whose columns df has, one row a result: category, name, severity, n_affected,
+    message, session_key, details (JSON)."""
     c = config or ValidationConfig()
-    out: list[CheckResult] = []
     have = set(df.columns)
     missing = [x for x in c.required_columns if x not in have]
-    if missing:
-        out.append(CheckResult("required_columns", ERROR, f"missing: {', '.join(missing)}", {"missing": missing}))
-    else:
-        out.append(CheckResult("required_columns", PASS, "all there"))
-        out += _completeness(df, c)
-    need = lambda *cols: have >= {*TRACE, *cols}
-    n = lambda frame: frame.first()[0]
-
-    def violation(name: str, frame: DataFrame, severity: str = ERROR) -> None:
-        k = n(frame)
-        out.append(CheckResult(name, severity if k else PASS, f"{k} rows", {"n": k}))
-
-    if need("lap_number", "gap_to_leader"):
-        violation("monotonic_cumulative_gap", monotonic_gap(df))
-    if need("lap_number", "stint_number", "tyre_age"):
-        violation("tyre_age_resets_after_pit", stint_resets(df))
-    if need("lap_number"):
-        violation("lap_number_strictly_increasing", repeated_laps(df))
+    row = (COMPLETENESS, "required_columns", ERROR if missing else PASS, len(missing), f"missing: {', '.join(missing)}" if missing else "all there", None, json.dumps({"missing": missing}))
+    parts = [df.sparkSession.createDataFrame([row], RESULT), _whole_frame(df, c, not missing)]
+    if not missing:
+        parts += _by_session(df, c)
     if have >= {*FIELD, "position"}:
-        violation("unique_position_per_lap", repeated_positions(df), WARNING)
-    limits = {k: v for k, v in c.bounds.items() if k in have}
-    for r in bounds(df, limits).collect() if limits else ():
-        bad = r["n_low"] + r["n_high"]
-        out.append(CheckResult(f"bounds:{r['column']}", ERROR if bad else PASS, f"{bad} of {r['n_total']} outside", {"n_low": r["n_low"], "n_high": r["n_high"]}))
-    if need("lap_time_seconds"):
-        k = n(sigma_counts(df, n_sigma=c.n_sigma, min_size=c.min_group_size).agg(F.coalesce(F.sum("n_outside"), F.lit(0))))
-        out.append(CheckResult("lap_time_within_driver_sigma", WARNING if k else PASS, f"{k} laps", {"n": k}))
-    return ValidationReport(out)
-
-
-def _completeness(df: DataFrame, c: ValidationConfig) -> list[CheckResult]:
-    out: list[CheckResult] = []
-    kinds = {f.name: f.dataType for f in df.schema}
-    strict = [x for x in c.max_null_rate if x in kinds]
-    loose = [x for x, t in kinds.items() if x not in {*strict, *c.required_columns, *c.exempt} and isinstance(t, T.AtomicType)]
-    for r in null_rates(df, [*strict, *loose]).collect() if strict or loose else ():  # a row a column
-        name, rate = r["column"], r["null_rate"]
-        if name in c.max_null_rate:
-            bad = rate > c.max_null_rate[name]
-            out.append(CheckResult(f"null_rate:{name}", ERROR if bad else PASS, f"{rate:.2%} null", {"rate": rate}))
-        elif rate > c.default_max_null_rate:
-            out.append(CheckResult(f"null_rate:{name}", WARNING, f"{rate:.2%} null", {"rate": rate}))
-    few = driver_coverage(df).agg(F.min("n_drivers"), F.min_by("session_key", "n_drivers")).first()
-    if few[0] is not None and c.expected_drivers is not None and few[0] < c.expected_drivers:
-        out.append(CheckResult("driver_coverage", WARNING, f"{few[0]} of {c.expected_drivers} drivers in {few[1]}"))
-    elif few[0] is not None and few[0] < c.min_drivers:
-        out.append(CheckResult("driver_coverage", ERROR, f"{few[0]} drivers in {few[1]}"))
-    if "lap_number" in kinds:
-        holes = lap_gaps(df)
-        shown = [tuple(r) for r in holes.orderBy(*TRACE, "first_missing").limit(20).collect()]
-        if shown:
-            out.append(CheckResult("lap_sequence_gaps", WARNING, f"e.g. {shown[:5]}", {"gaps": shown}))
+        parts.append(_positions(df))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
+
+
+def validate_laps(df: DataFrame, config: ValidationConfig | None = None) -> ValidationReport:
+    """The report of check_results: completeness, consistency, reasonableness, in this order. Its rows
+    come to the driver: some for each column, and one or two for each session that fails."""
+    order = [COMPLETENESS, CONSISTENCY, REASONABLENESS]
+    rows = sorted(check_results(df, config).collect(), key=lambda r: order.index(r["category"]))
+    return ValidationReport([CheckResult(**(r.asDict() | {"details": json.loads(r["details"] or "{}")})) for r in rows])

@@ -172,13 +172,15 @@ from told where v is null group by session_key, driver_number, seen""",
     "null_rates": f"""with {_LAPS} select unnest(['lap_time_seconds', 'tyre_compound', 'tyre_compound_raw', 'pit_in_time']) as "column",
   unnest([round(1 - count(lap_time_seconds) / count(*), 6), round(1 - count(tyre_compound) / count(*), 6), round(1 - count(tyre_compound_raw) / count(*), 6), round(1 - count(pit_in_time) / count(*), 6)]) as null_rate from laps""",
     "driver_coverage": f"with {_LAPS} select session_key, count(distinct driver_number)::bigint as n_drivers from laps group by 1",
-    "lap_gaps": f"""with {_LAPS}, nxt as (
-  select session_key, driver_number, lap_number, lead(lap_number) over {_TRACE} as nxt from laps where event_id % 11 <> 0)
-select session_key, driver_number, lap_number + 1 as first_missing, nxt - 1 as last_missing from nxt where nxt - lap_number > 1""",
+    "lap_gaps": f"""with {_LAPS}, moved as (
+  select session_key, driver_number, lap_number + sum((event_id % 11 = 0)::int) over {_TRACE} as lap_number from laps
+), nxt as (
+  select *, lead(lap_number) over {_TRACE} as nxt from moved)
+select session_key, driver_number, (lap_number + 1)::bigint as first_missing, (nxt - 1)::bigint as last_missing from nxt where nxt - lap_number > 1""",
     "monotonic_gap": f"""with {_LAPS} select count(*) filter (d < -0.000001)::bigint as n_violations
 from (select lap_gap - lag(lap_gap) over {_TRACE} as d from base)""",
     "stint_reset": f"""with {_CURRENT}, kept as (
-  select *, tyre_age + (event_id % 3 = 0)::int as age2, stint_number - lag(stint_number) over {_TRACE} as d from current where event_id % 13 <> 0)
+  select *, tyre_age + (event_id % 3 = 0)::int as age2, stint_number - lag(stint_number) over {_TRACE} as d from current)
 select count(*) filter (d <> 0 and age2 <> 0)::bigint as n_violations from kept""",
     "dup_laps": f"""with {_LAPS} select count(*) filter (event_id % 17 = 0)::bigint as n_violations from laps""",
     "dup_positions": f"""with {_LAPS} select sum(n - d)::bigint as n_duplicates from (
@@ -193,6 +195,40 @@ select count(*) filter (d <> 0 and age2 <> 0)::bigint as n_violations from kept"
 ), mads as (select *, median(abs(lap_time_seconds - m)) over (partition by driver_number) as mad from dev)
 select session_key, driver_number, count(*) filter (abs(lap_time_seconds - m) > 1.5::double * 1.4826::double * mad)::bigint as n_outside
 from mads where n >= 5 and mad > 0 group by 1, 2""",
+    "validation_report": f"""with {_CURRENT}, dmg as (
+  select *, lap_number + (event_id % 10 = 0)::int as lap2 from current
+), steps as (
+  select *, lap2 - lag(lap2) over t as d_lap, gap_to_leader - lag(gap_to_leader) over t as d_gap, stint_number - lag(stint_number) over t as d_stint,
+    count(lap_time_seconds) over w as n, median(lap_time_seconds) over w as m
+  from dmg window t as (partition by driver_number order by lap2, event_id), w as (partition by driver_number)
+), mads as (
+  select *, median(abs(lap_time_seconds - m)) over (partition by driver_number) as mad from steps
+), one as (
+  select count(*) as n, count(*) filter (d_gap < -0.000001) as gap, count(*) filter (d_stint <> 0 and tyre_age <> 0) as age, count(*) filter (d_lap <= 0) as ord,
+    count(*) filter (lap_time_seconds < 55 or lap_time_seconds > 150) as b1, count(*) filter (degradation_rate < -0.5 or degradation_rate > 0.5) as b2,
+    count(*) filter (pit_delta < 1.5 or pit_delta > 90) as b3, count(*) filter (n >= 5 and mad > 0 and abs(lap_time_seconds - m) > 2 * 1.4826::double * mad) as sig
+  from mads
+), nulls as (
+  {" union all ".join(f"select '{c}' as c, count(*) filter ({c} is null) as k, count(*) as n, {strict} as strict from current" for c, strict in [("lap_time_seconds", "true"), ("tyre_compound", "true"), ("position", "true"), *[(c, "false") for c in ("pit_in_time", "pit_out_time", "is_pit_lap", "circuit_name", "year", "ts", "event_id", "stint_number", "gap_to_leader", "tyre_age", "pit_delta", "degradation_rate", "stint_age_squared", "race_progress", "pace_delta", "gap_closing_rate", "relative_pace_delta")]])}
+), holes as (
+  select session_key from (select session_key, d, lead(d) over (partition by driver_number order by d) as nxt from (select distinct session_key, driver_number, lap2 as d from dmg)) where nxt - d > 1
+), results as (
+  select 'completeness' as category, 'required_columns' as name, 'PASS' as severity, 0 as n_affected, null as session_key
+  union all select 'completeness', 'null_rate:' || c, case when k / n <= case when strict then 0.05 else 0.1 end then 'PASS' when strict then 'ERROR' else 'WARNING' end, k, null
+    from (select * from nulls union all select 'tyre_life', 0, 1, true) where strict or k / n > 0.1
+  union all select 'completeness', 'driver_coverage', 'WARNING', count(distinct driver_number), session_key from current group by session_key
+  union all select 'completeness', 'lap_sequence_gaps', 'WARNING', count(*), session_key from holes group by session_key
+  union all select 'consistency', 'monotonic_cumulative_gap', case when gap > 0 then 'ERROR' else 'PASS' end, gap, null from one
+  union all select 'consistency', 'tyre_age_resets_after_pit', case when age > 0 then 'ERROR' else 'PASS' end, age, null from one
+  union all select 'consistency', 'lap_number_strictly_increasing', case when ord > 0 then 'ERROR' else 'PASS' end, ord, null from one
+  union all select 'consistency', 'unique_position_per_lap', case when k > 0 then 'WARNING' else 'PASS' end, k, null
+    from (select coalesce(sum(k - 1), 0) as k from (select count(*) as k from dmg where position is not null group by session_key, lap2, position))
+  union all select 'reasonableness', 'bounds:lap_time_seconds', case when b1 > 0 then 'ERROR' else 'PASS' end, b1, null from one
+  union all select 'reasonableness', 'bounds:degradation_rate', case when b2 > 0 then 'ERROR' else 'PASS' end, b2, null from one
+  union all select 'reasonableness', 'bounds:pit_delta', case when b3 > 0 then 'ERROR' else 'PASS' end, b3, null from one
+  union all select 'reasonableness', 'lap_time_within_driver_sigma', case when sig > 0 then 'WARNING' else 'PASS' end, sig, null from one
+)
+select category, name, severity, n_affected::bigint as n_affected, session_key from results""",
     "circuit_loss_fit": f"with {_CURRENT} select circuit_name, round(avg(pit_delta), 6) as circuit_loss from current where circuit_name is not null group by 1",
     "circuit_loss_apply": f"""with {_CURRENT}, losses as (
   select circuit_name, avg(pit_delta) as loss from current where circuit_name <> 'C3' group by 1)

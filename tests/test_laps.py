@@ -238,7 +238,26 @@ def test_clean_laps_pass_and_damage_fails(spark):
         assert not validation.validate_laps(bad).passed, name
     warned = validation.validate_laps(df.where("lap_number not in (7, 8)").withColumn("position", F.lit(1)))
     assert warned.passed and {r.name for r in warned.results if r.severity == "WARNING"} >= {"lap_sequence_gaps", "unique_position_per_lap"}
-    assert "passed" in warned.summary() and '"passed": true' in warned.to_json()
+    assert "passed" in warned.summary() and '"passed": true' in warned.to_json() and not warned.failures()
+
+
+def test_results_of_single_sessions(spark):
+    df = clean_laps(spark)
+    lone = df.where("session_key = 'S0' or driver_number = 1")
+    one = [r for r in validation.validate_laps(lone).results if r.name == "driver_coverage"]
+    assert [(r.session_key, r.severity, r.n_affected, r.category) for r in one] == [("S1", "ERROR", 1, "completeness")]
+    both = validation.validate_laps(df.where("driver_number = 1")).results
+    assert sorted(r.session_key for r in both if r.name == "driver_coverage") == ["S0", "S1"]
+    masked = validation.validate_laps(lone, validation.ValidationConfig(expected_drivers=2))
+    assert [(r.session_key, r.severity) for r in masked.results if r.name == "driver_coverage"] == [("S1", "WARNING")]
+    many = spark.createDataFrame([(f"S{s}", d, 2 * i, 90.0, "SOFT", 1) for s in range(3) for d in (1, 2) for i in range(1, 16 - 5 * s)], "session_key string, driver_number long, lap_number long, lap_time_seconds double, tyre_compound string, tyre_life long")
+    holes = {r.session_key: r for r in validation.validate_laps(many).results if r.name == "lap_sequence_gaps"}
+    assert {k: r.n_affected for k, r in holes.items()} == {"S0": 28, "S1": 18, "S2": 8}
+    assert len(holes["S0"].details["gaps"]) == 20 and holes["S2"].details["gaps"][0] == ["1", "3", "3"]
+    names = {r.name: r for r in validation.validate_laps(df.withColumns({"odd_raw": F.lit(None).cast("double"), "odd": F.lit(None).cast("double")})).results}
+    assert names["null_rate:odd"].severity == "WARNING" and names["null_rate:odd"].n_affected == 80 and "null_rate:odd_raw" not in names
+    assert {r.category for r in names.values()} == {"completeness", "consistency", "reasonableness"}
+    assert validation.validate_laps(df.limit(0)).passed
 
 
 def test_publish_and_load(spark, tmp_path):
