@@ -6,7 +6,8 @@ the lines over the threshold and reassemble the rest by position.
 Defined results: a null or empty text is one empty line and is never dropped (its key has
 no code point); a null text stays null. Every row counts as a document of its own, also
 if its id is null or repeated. An empty table gives an empty table. Columns other than the
-text come through untouched, whatever their names.
+text come through untouched, whatever their names (__n_lines and __n_dropped give way to the
+counts).
 
 Plan: the text is read twice. The first pass writes 8 bytes a line. Counting aggregates
 before its shuffle, so a line that every document has costs one row a task. Positions to
@@ -64,20 +65,20 @@ def line_dedup(
     drops = (
         lines.select("id", "th", F.posexplode("hs").alias("pos", "h"))
         .join(frequent, "h", "left_semi")
-        .groupBy(F.col("id").alias("__id"), F.col("th").alias("__th"))
-        .agg(F.collect_set("pos").alias("__drop"))
+        .groupBy("id", "th")
+        .agg(F.collect_set("pos").alias("drop"))
+        .select(F.col("id").alias("d_id"), F.col("th").alias("d_th"), "drop")
     )
-    joined = docs.withColumn("__h", F.xxhash64(text)).join(
-        drops, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left"
-    )
-    rest = F.filter(split_lines(text), lambda _, i: ~F.array_contains("__drop", i))
+    columns = [c for c in docs.columns if c not in ("__n_lines", "__n_dropped")]
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("th"))  # names can't clash then
+    joined = rows.join(drops, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("th") == F.col("d_th")), "left")
+    text = F.col("row")[text_col]
+    rest = F.filter(split_lines(text), lambda _, i: ~F.array_contains("drop", i))
     return joined.select(
         *[
-            F.when(F.col("__drop").isNotNull(), F.array_join(rest, "\n")).otherwise(text).alias(c)
-            if c == text_col
-            else F.col(c)
-            for c in docs.columns
+            F.when(F.col("drop").isNotNull(), F.array_join(rest, "\n")).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c)
+            for c in columns
         ],
         F.size(split_lines(text)).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("__n_dropped"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("__n_dropped"),
     )

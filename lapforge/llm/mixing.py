@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stage, words
+from .common import broadcast_if_small, fresh, stage, words
 
 BINS = 4096
 #: The plan has one row a source; it is broadcast up to this many sources.
@@ -138,18 +138,17 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    copy_col: str = "__copy",
 ) -> DataFrame:
-    """The mixed corpus itself: every row of docs as often as the mix takes it, with __copy
-    (1, 2, ...). Rows that it doesn't take are absent."""
+    """The mixed corpus itself: every row of docs as often as the mix takes it, with copy_col
+    (1, 2, ...; under a name of its own, with _ before it, if docs has that column). Rows that
+    it doesn't take are absent."""
     _, plan = mix_plan(docs, weights, share, max_epochs, seed, id_col, text_col, source_col)
-    p = broadcast_if_small(
-        plan.select(F.col("source").alias("__s"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut")),
-        MAX_BROADCAST,
-    )
-    copies = F.col("__whole") + F.when(hash_bin(F.col(id_col), seed, F.col(text_col)) < F.col("__cut"), 1).otherwise(0)
-    return (
-        docs.join(p, F.col(source_col).eqNullSafe(F.col("__s")))
-        .withColumn("__n", copies)
-        .where("__n > 0")
-        .select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__copy"))
+    p = broadcast_if_small(plan.select(F.col("source").alias("s"), "whole", "cut"), MAX_BROADCAST)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),  # names can't clash then
+        F.col(source_col).alias("source"),
+        hash_bin(F.col(id_col), seed, F.col(text_col)).alias("bin"),
     )
+    taken = rows.join(p, F.col("source").eqNullSafe(F.col("s"))).withColumn("n", _copies()).where("n > 0")
+    return taken.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias(fresh(copy_col, docs)))

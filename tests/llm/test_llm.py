@@ -166,6 +166,8 @@ def test_mixing_empty_repeated_and_clashing(spark):
     assert mixing.mix_sources(table.limit(0)).count() == 0
     out = mixing.mix_sources(table.union(table))
     assert set(table.columns) < set(out.columns)
+    taken = table.withColumns({"copy": F.lit("mine"), "bin": F.lit(0), "row": F.lit(1)})
+    assert mixing.mix_sources(taken, copy_col="copy").columns == [*taken.columns, "_copy"]
     assert mixing.mix_report(*mixing.mix_plan(docs(spark, [None, ""]))).agg(F.sum("taken")).first()[0] == 0
 
 
@@ -426,7 +428,7 @@ def test_decontamination_matches_brute_force(spark):
 def test_line_dedup(spark):
     common = ["  Common LINE\t", "common line"]
     texts = [f"{common[i % 2]}\nown {i}\n\n{common[0]}" for i in range(10)] + [None, "", "common line", "\n\n", "É"]
-    table = docs(spark, texts + texts[-1:] * 3).withColumn("id", F.lit("mine")).withColumn("h", F.lit(1))
+    table = docs(spark, texts + texts[-1:] * 3).withColumns({"id": F.lit("mine"), "h": F.lit(1), "row": F.lit(2), "__id": F.lit(3), "drop": F.lit(4), "d_th": F.lit(5)})
     out = {x["doc_id"]: x for x in line_dedup.line_dedup(table).collect()}
     for i in range(10):
         assert out[i]["text"] == f"own {i}\n" and (out[i]["__n_lines"], out[i]["__n_dropped"]) == (4, 2)
