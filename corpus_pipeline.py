@@ -37,8 +37,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: a row for each repetition, counted by copy."""
-    return mixing.mix_sources(docs).withColumnRenamed("__copy", "copy")
+    """The mixed corpus: a row for each repetition, counted by copy (_copy where the documents have
+    a column of that name)."""
+    return mixing.mix_sources(docs, copy_col="copy")
 
 
 STAGES = [
