@@ -176,3 +176,10 @@ def completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, percent not null), from one aggregate; 100 for an empty frame."""
     wide = df.agg(*[F.coalesce(F.avg(F.col(c).isNotNull().cast("double")) * 100, F.lit(100.0)).alias(c) for c in columns])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("percent")) for c in columns])).alias("x")).select("x.*")
+
+
+def imputation_report(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, percent_before, percent_after): completeness around impute_gaps."""
+    have = [c for c in columns if c in before.columns]
+    was = completeness(before, have).withColumnRenamed("percent", "percent_before")
+    return was.join(completeness(after, have).withColumnRenamed("percent", "percent_after"), "column")

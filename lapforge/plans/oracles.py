@@ -268,6 +268,13 @@ select feature, round(psi, 5) as psi, {_SEVERITY} as severity from rows
 union all select 'no_such_column', null, 'unavailable (column missing)'""",
     "psi_orders": f"""with rows as ({_psi("orders", "month(o_orderdate) <= 6", "month(o_orderdate) > 6", "o_totalprice")})
 select feature, round(psi, 5) as psi, {_SEVERITY} as severity from rows""",
+    "base_rates": f"""with {_CURRENT} select case when year = 2018 then 'train' else 'test' end as part, count(*)::bigint as n,
+  round(avg(y), 6) as base_rate from current group by 1""",
+    "race_star": f"""with {_LAPS}, ends as (select session_key, min(circuit_name) as circuit_name, count(distinct driver_number) as d from laps group by 1)
+select session_key, 2018::int as year, any_value(e.circuit_name) as circuit_name, count(*)::bigint as n_laps, max(d)::bigint as num_drivers
+from laps join ends e using (session_key) where session_key < 'S3' group by 1""",
+    "nearest_threshold": f"""with {_sweep("list_transform(range(0, 80), lambda i: 0.1 + 0.01 * i)")}
+select threshold::double as threshold, tp, fp, fn from sweep order by abs(threshold - 0.3333), threshold limit 1""",
     "action_labels": f"""with {_CURRENT} select case when p < 0.7::double * 0.6::double then 'Unlikely near-term' when p < 0.6 then 'Monitor' else 'Investigate pit window' end as action,
   count(*)::bigint as n from scored group by 1""",
     "scaler_fit": f"with {_CURRENT}, long as (unpivot (select "

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import action_label, to_seconds
 from ..operators import cleaning, drift, evaluation, metrics, target, validation
+from ..sources import laps as sources
 from ..sources.laps import laps_from_events, race_metadata
 from . import training
 
@@ -290,10 +291,27 @@ def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split, scale, fit, score the held-out laps; a row for each of them."""
-    train, test = training.temporal_split(training.training_frame(_laps(spark, sf_dir)))
-    scaler = training.fit_scaler(train)
-    model = training.candidate_models()["logistic_regression"].fit(training.with_class_weight(training.scale(train, scaler)))
-    return training.score(model, training.scale(test, scaler)).select(*KEYS, "y", "p")
+    model, _, _, test = training.fit_on_years(_laps(spark, sf_dir), training.candidate_models()["logistic_regression"])
+    return training.score(model, test).select(*KEYS, "y", "p")
+
+
+def base_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    laps = target.with_target(_laps(spark, sf_dir)).withColumn("y", F.col("pit_next_5_laps"))
+    out = training.base_rates(*training.temporal_split(laps))
+    return out.select("part", "n", r6("base_rate").alias("base_rate"))
+
+
+def race_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laps with the columns of their race, of the years asked for, from the loader of training."""
+    laps = _laps(spark, sf_dir)
+    races = race_metadata(laps).withColumn("year", F.when(F.col("session_key") < "S3", 2018).otherwise(2024))
+    loaded = sources.load_star(laps.drop("circuit_name", "year"), races, [2018], on="session_key")
+    return loaded.groupBy("session_key", "year", "circuit_name").agg(F.count("*").alias("n_laps"), F.max("num_drivers").alias("num_drivers"))
+
+
+def nearest_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.nearest_threshold(evaluation.threshold_sweep(_scored(spark, sf_dir), training.GRID), 0.3333)
+    return out.select("threshold", "tp", "fp", "fn")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -306,5 +324,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lap_gaps, monotonic_gap, stint_reset, dup_laps, dup_positions, bounds, sigma_count, validation_report,
         circuit_loss_fit, circuit_loss_apply, pit_targets, star_load, threshold_sweep, best_threshold, group_metrics,
         roc_auc, brier, brier_by_group, drift_report, psi_orders, action_labels, scaler_fit, train_logistic,
+        base_rates, race_star, nearest_threshold,
     )
 } | {"reliability_quantile": _reliability("quantile"), "reliability_uniform": _reliability("uniform")}

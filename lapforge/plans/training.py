@@ -11,7 +11,6 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import evaluation
@@ -42,6 +41,12 @@ def fit_scaler(train: DataFrame, features: Sequence[str] = FEATURES) -> dict[str
     return {c: (row[c][0] or 0.0, row[c][1] or 1.0) for c in features}
 
 
+def base_rates(train: DataFrame, test: DataFrame) -> DataFrame:
+    """(part, n, base_rate): how often the label is 1."""
+    parts = train.select(F.lit("train").alias("part"), "y").union(test.select(F.lit("test"), "y"))
+    return parts.groupBy("part").agg(F.count("*").alias("n"), F.avg("y").alias("base_rate"))
+
+
 def scale(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - m) / s for c, (m, s) in scaler.items()})
 
@@ -52,30 +57,38 @@ def with_class_weight(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", F.when(F.col("y") == 1, neg / max(pos, 1)).otherwise(1.0))
 
 
-def candidate_models() -> dict[str, Pipeline]:
+def candidate_models(trees: int = 100, rounds: int = 200) -> dict[str, Pipeline]:
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     common = {"labelCol": "y", "weightCol": "weight"}
     models = {
         "logistic_regression": LogisticRegression(maxIter=1000, **common),
-        "random_forest": RandomForestClassifier(numTrees=100, maxDepth=10, seed=42, **common),
-        "gradient_boosting": GBTClassifier(maxIter=200, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, **common),
+        "random_forest": RandomForestClassifier(numTrees=trees, maxDepth=10, seed=42, **common),
+        "gradient_boosting": GBTClassifier(maxIter=rounds, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, **common),
     }
     return {k: Pipeline(stages=[assemble, m]) for k, m in models.items()}
 
 
+def fit_on_years(laps: DataFrame, pipeline: Pipeline) -> tuple[PipelineModel, dict[str, tuple[float, float]], DataFrame, DataFrame]:
+    """(model, scaler, scaled train, scaled test). The frame with all its windows is computed once and
+    persisted: scaler, class weight and fit read it, and so do the parts that are returned."""
+    frame = training_frame(laps).select("session_key", "driver_number", "lap_number", "year", *FEATURES, "y").persist()
+    train, test = temporal_split(frame)
+    scaler = fit_scaler(train)
+    train, test = with_class_weight(scale(train, scaler)), scale(test, scaler)
+    return pipeline.fit(train), scaler, train, test
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("p", vector_to_array("probability")[1])
 
 
 def with_folds(df: DataFrame, k: int = 5, group: str | None = None) -> DataFrame:
-    """Stratified folds (each label is dealt out evenly in hash order), or whole groups."""
+    """Folds by hash, within each label (so both labels are spread over all), or whole groups."""
     if group is not None:
         return df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))
+    # dealt by a hash of the row alone: fold sizes of a label differ by about a root of them
     keys = [c for c in ("session_key", "driver_number", "lap_number") if c in df.columns]
-    # dealt out within buckets of the hash, so no label's rows meet in one task
-    h = F.xxhash64(*keys)
-    w = W.partitionBy("y", F.pmod(h, F.lit(64))).orderBy(h)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) + F.pmod(h, F.lit(64)), F.lit(k)).cast("int"))
+    return df.withColumn("fold", F.pmod(F.xxhash64("y", *keys), F.lit(k)).cast("int"))
 
 
 def cross_validate(models: dict[str, Pipeline], train: DataFrame, k: int = 5, group: str | None = None) -> dict[str, float]:
@@ -168,9 +181,10 @@ def predict(model: PipelineModel, scaler: dict, row: dict, spark: SparkSession,
 
 
 def feature_importances(model: PipelineModel) -> list[tuple[str, float]]:
-    last = model.stages[-1]
+    """(feature, importance), largest first; the names are those that the model assembles."""
+    names, last = model.stages[0].getInputCols(), model.stages[-1]
     values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
-    return sorted(zip(FEATURES, map(float, values), strict=True), key=lambda x: -x[1])
+    return sorted(zip(names, map(float, values), strict=True), key=lambda x: -x[1])
 
 
 def policy_sweep(scored: DataFrame) -> DataFrame:
@@ -181,5 +195,10 @@ def policy_sweep(scored: DataFrame) -> DataFrame:
     return sweep.withColumn("flagged_share", (F.col("tp") + F.col("fp")) / F.lit(max(n, 1)))
 
 
+#: What release notes tell of an artifact's metrics; other keys are passed over.
+TOLD = ("roc_auc", "f1", "precision", "recall", "threshold", "train_size", "test_size")
+
+
 def release_notes(metrics: dict) -> str:
-    return "\n".join(f"- {k}: {v:.3f}" if isinstance(v, float) else f"- {k}: {v}" for k, v in sorted(metrics.items()))
+    values = {k: metrics[k] for k in TOLD if k in metrics}
+    return "\n".join(f"- {k}: {v:.3f}" if isinstance(v, float) else f"- {k}: {v}" for k, v in values.items())

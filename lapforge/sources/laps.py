@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Sequence
+from itertools import product
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import normalize_compound
+from ..schema import LAPS_SCHEMA, RACES_SCHEMA
+
+log = logging.getLogger(__name__)
 
 
 def laps_from_events(spark: SparkSession, sf_dir: str, with_nulls: bool = False) -> DataFrame:
@@ -46,15 +53,25 @@ def laps_from_events(spark: SparkSession, sf_dir: str, with_nulls: bool = False)
     return laps
 
 
+def session_key(year: int, number: int) -> str:
+    """The key of a session: year and round."""
+    return f"{year}-{number}"
+
+
 def race_metadata(laps: DataFrame) -> DataFrame:
-    """One row a session: drivers, laps, circuit (the least name)."""
+    """One row a session: drivers, laps, and the least name and date of those columns that laps has."""
+    told = {c: F.min(c).alias(c) for c in ("race_name", "circuit_name", "session_date") if c in laps.columns}
     return laps.groupBy("session_key").agg(
-        F.count_distinct("driver_number").alias("num_drivers"),
-        F.max("lap_number").cast("long").alias("num_laps"),
-        F.min("circuit_name").alias("circuit_name"),
+        F.count_distinct("driver_number").alias("num_drivers"), F.max("lap_number").cast("long").alias("num_laps"), *told.values()
     )
 
 
+def attach_races(laps: DataFrame, races: DataFrame, columns: Sequence[str] = ("year", "circuit_name"), on: str = "race_id") -> DataFrame:
+    """laps with the named columns of their race; laps without one keep nulls. Columns of laps with
+    these names give way."""
+    return laps.drop(*columns).join(races.select(on, *columns), on, "left")
+
+
 def load_star(laps: DataFrame, races: DataFrame, years: Sequence[int] | None = None, on: str = "race_id") -> DataFrame:
     """laps joined with their race (small dimension: Spark broadcasts it by its size). An empty
     result raises ValueError."""
@@ -66,14 +83,33 @@ def load_star(laps: DataFrame, races: DataFrame, years: Sequence[int] | None = N
     return joined
 
 
-def read_sessions(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """All readable session files of several seasons as one frame; columns may differ."""
-    frames = []
-    for path in paths:
+READERS = ("parquet", "json", "csv")
+
+
+def fetch_session(spark: SparkSession, root: str, year: int, number: int) -> tuple[DataFrame, dict] | tuple[None, None]:
+    """(laps, meta) of one session from <root>/<year>-<round>.parquet, .json or .csv, on any store
+    Spark reads; (None, None) if none of them can be read. meta: session_key, year, round."""
+    key = session_key(year, number)
+    for kind in READERS:
         try:
-            frames.append(spark.read.parquet(path))
-        except Exception as error:  # a season may lack a race; the others still load
-            print(f"skipped {path}: {str(error).splitlines()[0]}")
+            reader = spark.read.option("header", True).option("inferSchema", True) if kind == "csv" else spark.read
+            frame = reader.format(kind).load(f"{root}/{key}.{kind}")
+        except AnalysisException:
+            continue
+        return frame.withColumn("session_key", F.lit(key)), {"session_key": key, "year": year, "round": number}
+    return None, None
+
+
+def fetch_seasons(spark: SparkSession, root: str, years: Iterable[int], rounds: Iterable[int]) -> DataFrame:
+    """All sessions of years x rounds as one frame with year, columns as found (absent ones are null).
+    Sessions that can't be read are logged and skipped, empty ones dropped."""
+    frames = []
+    for year, number in product(years, list(rounds)):
+        frame, meta = fetch_session(spark, root, year, number)
+        if frame is None:
+            log.warning("no session %s under %s", session_key(year, number), root)
+        elif not frame.isEmpty():
+            frames.append(frame.withColumn("year", F.lit(meta["year"])))
     if not frames:
         raise ValueError("no session could be read")
     out = frames[0]
@@ -82,11 +118,37 @@ def read_sessions(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     return out
 
 
+def conform(df: DataFrame, schema: StructType) -> DataFrame:
+    """The columns that df and a contract share, in its order and types."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema if f.name in df.columns])
+
+
 def new_races(candidates: DataFrame, races: DataFrame) -> DataFrame:
     """Candidates not yet in the race table, by (year, race_name)."""
     return candidates.join(races.select("year", "race_name"), ["year", "race_name"], "left_anti")
 
 
+def append_races(candidates: DataFrame, path: str) -> None:
+    """Adds the races that the table under path doesn't have; makes it by the contract if it is absent."""
+    spark = candidates.sparkSession
+    rows = conform(candidates, RACES_SCHEMA).dropDuplicates(["year", "race_name"])
+    try:
+        rows = new_races(rows, spark.read.schema(RACES_SCHEMA).parquet(path))
+    except AnalysisException:
+        pass  # no table yet
+    rows.select(*[f.name for f in RACES_SCHEMA if f.name in rows.columns]).write.mode("append").parquet(path)
+
+
 def write_laps(laps: DataFrame, path: str) -> None:
-    """Laps partitioned by session; a session that is written again replaces itself."""
-    laps.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_key").parquet(path)
+    """Laps by the contract (whose columns alone are stored), partitioned by session and sorted by trace
+    in each file; a session that is written again replaces itself."""
+    rows = conform(laps, LAPS_SCHEMA)
+    by = [c for c in ("session_key", "driver_number", "lap_number") if c in rows.columns]
+    rows.sortWithinPartitions(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_key").parquet(path)
+
+
+def create_tables(spark: SparkSession, laps: str = "laps", races: str = "races") -> None:
+    """Both tables of the contract in the session's catalog, if they are absent."""
+    for name, schema, by in ((laps, LAPS_SCHEMA, " PARTITIONED BY (session_key)"), (races, RACES_SCHEMA, "")):
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{by}")

@@ -18,6 +18,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="lapforge-warehouse-"))
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lapforge-tests-"))
         .getOrCreate()
     )

@@ -13,11 +13,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from lapforge import cli
 from lapforge.functions import order_statistics
 from lapforge.functions.scalars import action_label, normalize_compound, to_integer, to_seconds
 from lapforge.operators import cleaning, drift, evaluation, metrics, target, validation
 from lapforge.plans import queries as lap_queries
 from lapforge.plans import snapshot, training
+from lapforge.schema import LAPS_SCHEMA
 from lapforge.sources import laps as sources
 
 SF = "/root/testdata/sf0.001"
@@ -274,6 +276,61 @@ def test_publish_and_load(spark, tmp_path):
     assert laps.count() == 40 and meta["n"] == 2
 
 
+def test_stale_view_is_found(tmp_path):
+    file = str(tmp_path / "view.sql")
+    assert cli.main(["view", file, "--check"]) == 1
+    assert cli.main(["view", file]) == 0 and cli.main(["view", file, "--check"]) == 0
+    assert cli.main(["view", file, "--as-of", "2023-06-01", "--check"]) == 1
+    with pytest.raises(SystemExit):
+        cli.main(["view", file, "--as-of", "not-a-day"])
+
+
+def test_sessions_of_several_seasons(spark, tmp_path):
+    root, df = str(tmp_path), clean_laps(spark)
+    df.where("session_key = 'S0'").write.parquet(f"{root}/2023-1.parquet")
+    df.where("session_key = 'S1'").drop("position").write.json(f"{root}/2024-1.json")
+    df.limit(0).write.parquet(f"{root}/2024-2.parquet")
+    df.where("session_key = 'S0' and driver_number = 1").write.option("header", True).csv(f"{root}/2024-3.csv")
+    assert sources.fetch_session(spark, root, 2020, 1) == (None, None)
+    laps = sources.fetch_seasons(spark, root, [2023, 2024], range(1, 5))
+    assert {(r["session_key"], r["year"]): r["count"] for r in laps.groupBy("session_key", "year").count().collect()} == {("2023-1", 2023): 40, ("2024-1", 2024): 40, ("2024-3", 2024): 20}
+    assert laps.where("position is null").count() == 40
+    with pytest.raises(ValueError):
+        sources.fetch_seasons(spark, root, [2020], [1])
+
+
+def test_star_and_race_table(spark, tmp_path):
+    laps = clean_laps(spark).withColumn("race_id", F.when(F.col("session_key") == "S0", 1).otherwise(2).cast("long"))
+    races = spark.createDataFrame([(1, "S0", 2023, "A", "x"), (3, "S9", 2024, "B", "y")], "race_id long, session_key string, year int, race_name string, circuit_name string")
+    assert sources.load_star(laps, races.drop("session_key"), [2023]).count() == 40
+    with pytest.raises(ValueError):
+        sources.load_star(laps, races.drop("session_key"), [2024])
+    joined = sources.attach_races(laps, races)
+    assert joined.count() == 80 and joined.where("year is null").count() == 40
+    path = str(tmp_path / "races")
+    sources.append_races(races.union(races), path)
+    sources.append_races(races.union(spark.createDataFrame([(4, "S4", 2023, "B", "z")], races.schema)), path)
+    assert spark.read.parquet(path).count() == 3
+    meta = sources.race_metadata(clean_laps(spark).withColumn("race_name", F.lit("R"))).orderBy("session_key").first()
+    assert (meta["num_drivers"], meta["num_laps"], meta["race_name"]) == (2, 20, "R")
+
+
+def test_tables_of_the_contract(spark):
+    sources.create_tables(spark, "lapforge_t_laps", "lapforge_t_races")
+    try:
+        sources.create_tables(spark, "lapforge_t_laps", "lapforge_t_races")
+        assert {f.name for f in spark.table("lapforge_t_laps").schema} == {f.name for f in LAPS_SCHEMA}
+    finally:
+        spark.sql("drop table lapforge_t_laps")
+        spark.sql("drop table lapforge_t_races")
+
+
+def test_completeness_around_imputation(spark):
+    df = trace(spark, [1.0, None, 2.0, None, None])
+    after = cleaning.impute_gaps(df, ["lap_time_seconds"], sample_interval_seconds=1.0)
+    assert [tuple(r) for r in cleaning.imputation_report(df, after, ["lap_time_seconds", "absent"]).collect()] == [("lap_time_seconds", 40.0, 60.0)]
+
+
 def test_write_laps_replaces_sessions(spark, tmp_path):
     path, df = str(tmp_path / "laps"), clean_laps(spark)
     sources.write_laps(df, path)
@@ -360,13 +417,20 @@ def test_drift(spark):
 
 def test_training_round_trip(spark, tmp_path):
     laps = sources.laps_from_events(spark, SF)
-    train, test = training.temporal_split(training.training_frame(laps))
-    scaler = training.fit_scaler(train)
-    train, test = training.with_class_weight(training.scale(train, scaler)), training.scale(test, scaler)
-    pipeline = training.candidate_models()["logistic_regression"]
     assert set(training.candidate_models()) == {"logistic_regression", "random_forest", "gradient_boosting"}
-    assert all(0 <= v <= 1 for v in training.cross_validate({"lr": pipeline}, train, 2).values())
-    model = pipeline.fit(train)
+    pipeline = training.candidate_models()["logistic_regression"]
+    model, scaler, train, test = training.fit_on_years(laps, pipeline)
+    small = training.candidate_models(trees=4, rounds=2)
+    scores = training.cross_validate(small, train.drop("weight"), 5)
+    assert scores.keys() == small.keys() and all(0 <= v <= 1 for v in scores.values())
+    names, values = zip(*training.feature_importances(small["random_forest"].fit(train)), strict=True)
+    assert set(names) == set(training.FEATURES) and list(values) == sorted(values, reverse=True)
+    folds = {(r["y"], r["fold"]): r["count"] for r in training.with_folds(train).groupBy("y", "fold").count().collect()}
+    assert len(folds) == 10 and {f for _, f in folds} == set(range(5))
+    # at the optimum the weighted gradient of the logistic loss is 0
+    rows = training.score(model, train).select(*training.FEATURES, "weight", (F.col("weight") * (F.col("p") - F.col("y"))).alias("e"))
+    gradient = rows.agg(*[F.sum(F.col("e") * F.col(c)) / F.sum("weight") for c in training.FEATURES], F.sum("e") / F.sum("weight")).first()
+    assert max(abs(g) for g in gradient) < 1e-3
     held = training.score(model, test)
     threshold, _ = training.tune_threshold(training.score(model, train))
     result = training.held_out_metrics(held, threshold, train.count())
@@ -376,6 +440,9 @@ def test_training_round_trip(spark, tmp_path):
     assert not training.gate(held, result | {"roc_auc": 1.4}).accepted
     assert not training.gate(held.withColumn("pace_delta", F.lit(float("nan"))), result).accepted
     training.save_artifacts(model, scaler, result, test, str(tmp_path / "artifacts"))
+    assert cli.main(["artifacts", str(tmp_path / "artifacts")]) == 0 and cli.main(["artifacts", str(tmp_path / "nothing")]) == 1
+    assert cli.main(["notes", str(tmp_path / "artifacts")]) == 0
+    assert training.release_notes({"roc_auc": 0.5, "f1": 0.25, "other": 1}) == "- roc_auc: 0.500\n- f1: 0.250"
     loaded, scaler2, metrics2, _ = training.load_artifacts(spark, str(tmp_path / "artifacts"))
     assert metrics2 == result
     row = dict.fromkeys(training.FEATURES, 0.0)
