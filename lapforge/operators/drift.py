@@ -32,7 +32,8 @@ def drift_report(reference: DataFrame, current: DataFrame, features: Sequence[st
     # one shuffle of counted values; edges and shares both come from it
     values = _values(reference, both, "r").union(_values(current, both, "c"))
     values = values.groupBy("feature", "v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    edges = quantiles(values.where("r > 0"), "v", [i / n_bins for i in range(n_bins + 1)], ["feature"], n="r")
+    # the filter names both counts, so that all uses of values need the same columns and share its shuffle
+    edges = quantiles(values.where("r > 0 and c >= 0"), "v", [i / n_bins for i in range(n_bins + 1)], ["feature"], n="r")
     edges = edges.select("feature", F.array_distinct("quantiles").alias("e"))
     # inner edges part the bins; a value on an edge belongs to the upper bin
     edges = edges.select("feature", F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))).alias("inner"), F.size("e").alias("n_edges"))

@@ -56,6 +56,7 @@ def _auc(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Exact ROC-AUC (Mann-Whitney with average ranks) for each group. Ranks come from running
     totals over cells of p, so no task holds all scores of a group."""
     ties = scored.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"))
+    ties = ties.where("pos >= 0")  # always: it makes both uses of ties need the same columns, so that they share its shuffle
     ranked = with_rows_below(ties, "p", keys).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("np"), F.sum("n").alias("nn"))
     neg = F.col("nn") - F.col("np")
