@@ -149,6 +149,7 @@ def calibrate(
     """(stratum, a cutoff for each rule or null) from measured (id, stratum, __q) and labels
     (doc_id, quality). One aggregate counts every rule at every cutoff."""
     truth = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    truth = stage(truth, "truth")  # so that Spark splits an id that many rows share
     held = measured.join(truth, F.col("id") == F.col("doc_id")).where("not __q.base_failed and quality is not null")
     values, good = rule_values(F.col("__q")), F.col("quality") == 1
     counts = held.groupBy("stratum").agg(
