@@ -144,10 +144,9 @@ def _predict_joined(docs: DataFrame, model: Model, text: Column, features: int)
     what the smoothing of the whole language adds."""
     langs, prior, _, counts = model
     bits, spark = features.bit_length() - 1, docs.sparkSession
-    told = F.udf(lambda t: t is not None and has_letter(t), "boolean")
     key, row = fresh("th", docs), fresh("row", docs)
     nested = docs.select(F.struct(*docs.columns).alias(row), F.xxhash64(text).alias(key), text.alias("text"))
-    texts = nested.where("text is not null").groupBy(F.col(key).alias("th")).agg(F.min("text").alias("text")).where(told("text"))
+    texts = nested.where("text is not null").groupBy(F.col(key).alias("th")).agg(F.min("text").alias("text")).where(F.col("text").rlike(r"\p{L}"))
     parts = texts.mapInArrow(_sparse(bits), "th long, feature long, n long").groupBy("th", "feature").agg(F.sum("n").alias("n"))
     parts = stage(parts, "features")
     totals = counts.groupBy("lang").agg(F.log(F.sum("n") + F.lit(1 << bits)).alias("total"))
