@@ -11,7 +11,8 @@ counts).
 
 Plan: the text is read twice. The first pass writes 8 bytes a line. Counting aggregates
 before its shuffle, so a line that every document has costs one row a task. Positions to
-drop go back to their document by (id, text hash), which spreads groups of copies.
+drop go back to their document by (id, text hash), which spreads groups of copies; they are
+staged, so that Spark splits rows that repeat both and may broadcast a table small enough.
 """
 
 from __future__ import annotations
@@ -69,6 +70,7 @@ def line_dedup(
         .agg(F.collect_set("pos").alias("drop"))
         .select(F.col("id").alias("d_id"), F.col("th").alias("d_th"), "drop")
     )
+    drops = stage(drops, "drops")
     columns = [c for c in docs.columns if c not in ("__n_lines", "__n_dropped")]
     rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("th"))  # names can't clash then
     joined = rows.join(drops, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("th") == F.col("d_th")), "left")
