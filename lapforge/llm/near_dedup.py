@@ -110,10 +110,16 @@ def _sign(texts: pa.Array) -> pa.Array:
 
 
 def _sets(texts: pa.Array) -> pa.Array:
-    out: list[np.ndarray] = []
+    """(set, bits): the shingles, and 64 * LONGS parity bits that each shingle flips one of."""
+    sets: list[np.ndarray] = []
+    bits: list[np.ndarray] = []
     for lo, hi in text_blocks(texts):
-        out += [u.view(np.int64) for u in _distinct(*shingles(texts.slice(lo, hi - lo)))]
-    return pa.array(out, pa.list_(pa.int64()))
+        for u in _distinct(*shingles(texts.slice(lo, hi - lo))):
+            at = (mix(u ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * LONGS)).astype(np.int64)
+            sets.append(u.view(np.int64))
+            bits.append(np.packbits(np.bincount(at, minlength=64 * LONGS).astype(np.uint8) & 1).view(np.int64))
+    longs = pa.list_(pa.int64())
+    return pa.StructArray.from_arrays([pa.array(sets, longs), pa.array(bits, longs)], names=["set", "bits"])
 
 
 def _ordered(a, b):
@@ -124,18 +130,30 @@ def _near_size(a, b):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the staged pairs (a, b) those with the similarity on full sets; pairs may repeat."""
-    ids = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ids")
+def _full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, set, bits), staged, of the classes reps. The texts are read (and, beyond the broadcast,
+    shuffled) this once; every later step takes its sets from here. Equal rows of an id count once,
+    so that an id of many rows doesn't multiply its pairs."""
+    ids = stage(reps.select(F.col("rep").alias("node")).distinct(), "ids")
     needed = docs.join(broadcast_if_small(ids, MAX_BROADCAST), "node", "left_semi")
-    sets = stage(needed.select("node", F.arrow_udf(_sets, "array<long>")("text").alias("set")), "sets")
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set"))
+    x = F.arrow_udf(_sets, "set array<long>, bits array<long>")("text").alias("x")
+    sets = stage(needed.select(F.col("node").alias("rep"), x).select("rep", "x.*"), "sets")
+    drop_stage(ids)
+    if sets.groupBy("rep").count().where("count > 1").isEmpty():
+        return sets
+    once = sets.groupBy("rep", F.xxhash64("set").alias("h")).agg(F.first(F.struct("set", "bits")).alias("x"))
+    once = stage(once.select("rep", "x.*"), "once")
+    drop_stage(sets)
+    return once
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the staged pairs (a, b) those with the similarity on full sets; pairs may repeat."""
+    side = lambda c: sets.select(F.col("rep").alias(c), F.col("set").alias(f"{c}_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_set", "b_set"))
     alike = 100 * shared >= PERCENT * (F.size("a_set") + F.size("b_set") - shared)
-    links = stage(both.where(alike & (shared > 0)).select("a", "b"), "links")
-    drop_stage(ids, sets)
-    return links
+    return stage(both.where(alike & (shared > 0)).select("a", "b"), "links")
 
 
 def _retained(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -169,20 +187,7 @@ def _retained(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, prefix
 
 
-def _parities(texts: pa.Array) -> pa.Array:
-    """(set, bits): the shingles, and 64 * LONGS parity bits that each shingle flips one of."""
-    sets: list[np.ndarray] = []
-    bits: list[np.ndarray] = []
-    for lo, hi in text_blocks(texts):
-        for u in _distinct(*shingles(texts.slice(lo, hi - lo))):
-            at = (mix(u ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * LONGS)).astype(np.int64)
-            sets.append(u.view(np.int64))
-            bits.append(np.packbits(np.bincount(at, minlength=64 * LONGS).astype(np.uint8) & 1).view(np.int64))
-    longs = pa.list_(pa.int64())
-    return pa.StructArray.from_arrays([pa.array(sets, longs), pa.array(bits, longs)], names=["set", "bits"])
-
-
-def _across(left: DataFrame, docs: DataFrame) -> DataFrame:
+def _across(left: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different labels that may reach the similarity, from (rep, n, label).
 
     A prefix join on the shingles themselves. Of sizes n and n', a pair must share
@@ -195,10 +200,7 @@ def _across(left: DataFrame, docs: DataFrame) -> DataFrame:
     In a list, members outside its most frequent label meet all others; a pair is made only if
     the parity bits allow it: sets differ in at least as many shingles as their bits do.
     """
-    ids = broadcast_if_small(stage(left.select(F.col("rep").alias("node")).distinct(), "ids"), MAX_BROADCAST)
-    kinds = "set array<long>, bits array<long>"
-    sets = docs.join(ids, "node", "left_semi").select(F.col("node").alias("rep"), F.arrow_udf(_parities, kinds)("text").alias("x"))
-    sets = stage(sets.join(left, "rep").select("rep", "n", "label", "x.*").distinct(), "shingles")
+    sets = stage(sets.join(left, "rep").select("rep", "n", "label", "set", "bits").distinct(), "shingles")
     each = sets.select("rep", "n", "label", F.explode("set").alias("s"))
     shared = each.groupBy("s").agg(F.count("*").alias("count"), (F.min("label") < F.max("label")).alias("open")).where("open")
     shared = stage(shared.select("s", "count"), "shared")
@@ -240,7 +242,7 @@ def _across(left: DataFrame, docs: DataFrame) -> DataFrame:
         & ((100 + PERCENT) * (size - differ) >= 2 * PERCENT * size),  # shared <= (n + n' - differ) / 2
     )
     pairs = stage(pairs.select(*_ordered(F.col("a_rep"), F.col("b_rep"))), "across")
-    drop_stage(ids, sets, shared, posted, cells, live)
+    drop_stage(sets, shared, posted, cells, live)
     return pairs
 
 
@@ -264,7 +266,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same_id = members.where("rep is not null").groupBy("node").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     same_id = stage(same_id.where("lo < hi").select("node", "lo"), "same_id")
     same_id = members.join(same_id, "node").where("rep > lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
-    links = stage(_confirm(pairs, docs).union(same_id), "links")
+    sets = _full_sets(docs, prefix)  # every pair met in a list, so its classes have prefix posts
+    links = stage(_confirm(pairs, sets).union(same_id), "links")
 
     labels = connected_components(links)
     labelled = prefix.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -272,10 +275,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = (F.min("label") < F.max("label")).alias("open")
     open_lists = stage(labelled.groupBy("tok").agg(several).where("open").select("tok"), "open")
     left = stage(labelled.join(open_lists, "tok", "left_semi").select("rep", "n", "label").distinct(), "left")
-    across = stage(_across(left, docs).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = _confirm(across, docs)
+    across = stage(_across(left, sets).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = _confirm(across, sets)
     components = connected_components(links.union(more)) if not more.isEmpty() else labels
-    drop_stage(pairs, prefix, labelled, open_lists, left, across)
+    drop_stage(pairs, prefix, sets, labelled, open_lists, left, across)
 
     c = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
         "id", "node", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "node").alias("c")

@@ -621,6 +621,25 @@ def test_near_dedup_null_and_repeated_ids(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_dedup_of_ids_with_many_equal_rows(spark, monkeypatch):
+    """Two near copies, each in many equal rows: their pair is confirmed once, not rows times rows."""
+    rows, real = {}, near_dedup.stage
+
+    def spy(df, name):
+        out = real(df, name)
+        if name == "links":
+            rows.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage", spy)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(f"x{i}" for i in range(60)))]
+    df = spark.createDataFrame(texts * 40, "doc_id long, text string").repartition(6)
+    got = {(r["id"], r["component"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 3, True)} and rows["links"] == 1
+    assert sorted(r["doc_id"] for r in near_dedup.near_dedup(df).collect()) == [1, 3]
+
+
 def test_near_dedup_splits_hot_keys(spark, monkeypatch):
     """A text that a third of all rows copy: its members are dealt over tasks when they meet their class."""
     plans, real = {}, near_dedup.stage
