@@ -18,7 +18,7 @@ placed as (
     case event_type when 'purchase' then 'SOFT' when 'view' then 'MEDIUM' when 'click' then 'INTERMEDIATE' else 'UNKNOWN' end as tyre_compound,
     'C' || (k % 7) as circuit_name, case when day(ts) <= 24 then 2018 else 2024 end::bigint as year,
     (sum(out_lap::int) over (partition by user_id order by lap_number) + 1)::bigint as stint_number,
-    row_number() over (partition by user_id % 5, lap_number order by value, event_id) as position, event_id, ts, sec
+    row_number() over (partition by user_id % 5, lap_number order by value, event_id) as position, event_id, ts, sec, event_type
   from placed
 ), base as (
   select *, lap_time_seconds - min(lap_time_seconds) over (partition by session_key, lap_number) as lap_gap,
@@ -152,10 +152,10 @@ select event_id, round(coalesce(clock, try_cast(raw as double)), 6) as seconds,
     "normalize_raw": f"""with {_LAPS}, dev as (
   select *, count(lap_time_seconds) over w as n, median(lap_time_seconds) over w as m from laps window w as (partition by driver_number)
 ), mads as (select *, median(abs(lap_time_seconds - m)) over (partition by driver_number) as mad from dev)
-select {_KEYS}, left('D' || driver_number || 'X', 3) as driver_code, 'Team ' || (driver_number % 2) as team_name, tyre_compound, is_pit_lap,
+select {_KEYS}, left('D' || driver_number || 'X', 3) as driver_code, 'Team ' || (driver_number % 2) as team_name, tyre_compound, event_type <> 'purchase' and coalesce(tyre_compound_raw, '') <> '' and day(ts) = 3 as rainfall, is_pit_lap,
   coalesce(n >= 5 and mad > 0 and abs(lap_time_seconds - m) / (mad * 1.4826::double) > 3, false) as lap_time_outlier, round(lap_time_seconds, 6) as lap_time_seconds
 from mads""",
-    "exclude_laps": f"with {_LAPS} select {_KEYS} from laps where not is_pit_lap and lap_number > 3",
+    "exclude_laps": f"with {_LAPS} select {_KEYS} from laps where not is_pit_lap and lap_number > 3 and event_type <> 'error' and day(ts) <> 3",
     "mad_outliers": """
 with dev as (select l_suppkey, l_extendedprice as x, count(*) over w as n, median(l_extendedprice) over w as m from lineitem window w as (partition by l_suppkey)
 ), mads as (select *, median(abs(x - m)) over (partition by l_suppkey) as mad from dev)
@@ -165,7 +165,8 @@ select {_KEYS}, case when filled then last_value(v ignore nulls) over {_TRACE} e
   filled as lap_time_seconds_imputed, v is null and not filled as lap_time_seconds_sensor_failure from told""",
     "impute_events": f"""with {_GAPPY}
 select session_key, driver_number, 'lap_time_seconds' as "column", min(lap_number) as first_lap, count(*)::bigint as n_samples,
-  round(count(*) * any_value(interval_s), 6) as duration_seconds, case when bool_or(filled) then 'forward_filled' else 'sensor_failure' end as action
+  round(count(*) * any_value(interval_s), 6) as duration_seconds, case when bool_or(filled) then 'forward_filled' else 'sensor_failure' end as action,
+  case when seen = 0 then 'gap at start of trace' when any_value(interval_s) is null then 'gap of unknown length' when bool_or(filled) then 'gap of  within ' else 'gap of  over ' end as reason
 from told where v is null group by session_key, driver_number, seen""",
     "completeness": f"""with {_LAPS} select unnest(['lap_time_seconds', 'pit_in_time', 'pit_out_time', 'position']) as "column",
   unnest([round(100 * count(lap_time_seconds) / count(*), 6), round(100 * count(pit_in_time) / count(*), 6), round(100 * count(pit_out_time) / count(*), 6), round(100 * count(position) / count(*), 6)]) as percent from laps""",

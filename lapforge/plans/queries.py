@@ -99,15 +99,19 @@ def normalize_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lap_number").cast("double").alias("LapNumber"),
         F.col("lap_time_seconds").alias("LapTime"),
         F.col("tyre_compound_raw").alias("Compound"),
+        F.when(F.col("tyre_compound_raw") != "HYPERSOFT", F.dayofmonth("ts") == 3).alias("rainfall"),
         F.col("pit_in_time").alias("PitInTime"),
         F.col("pit_out_time").alias("PitOutTime"),
     )
     out = cleaning.normalize_laps(raw)
-    return out.select(*KEYS, "driver_code", "team_name", "tyre_compound", "is_pit_lap", "lap_time_outlier", r6("lap_time_seconds").alias("lap_time_seconds"))
+    return out.select(*KEYS, "driver_code", "team_name", "tyre_compound", "rainfall", "is_pit_lap", "lap_time_outlier", r6("lap_time_seconds").alias("lap_time_seconds"))
 
 
 def exclude_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.exclude_unmodelled_laps(_laps(spark, sf_dir)).select(*KEYS)
+    """Error events are laps under a flag; it rains on the third of each month."""
+    status = F.when(F.col("tyre_compound_raw") == "GLITTER", "4").otherwise("1")
+    laps = _laps(spark, sf_dir).withColumns({"track_status": status, "rainfall": F.dayofmonth("ts") == 3})
+    return cleaning.exclude_unmodelled_laps(laps).select(*KEYS)
 
 
 def mad_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +136,7 @@ def impute_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def impute_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cleaning.gap_events(_gappy(spark, sf_dir), **_GAPS)
-    return out.select("session_key", "driver_number", "column", "first_lap", "n_samples", r6("duration_seconds").alias("duration_seconds"), "action")
+    return out.select("session_key", "driver_number", "column", "first_lap", "n_samples", r6("duration_seconds").alias("duration_seconds"), "action", F.regexp_replace("reason", "[0-9.]+s", "").alias("reason"))
 
 
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
