@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, line_dedup, mixing, near_dedup, quality, token_counts, toxicity, urls
+from . import chat, decontaminate, langid, line_dedup, mixing, near_dedup, quality, simhash, token_counts, toxicity, urls
 from .common import broadcast_if_small, stage
 
 #: Vocabulary files of public tokenizers.
@@ -146,7 +146,17 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, model, URL_RULES, F.col("url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+        "n_links",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op11_simhash": op11_simhash,
     "op9_url_filters": op9_url_filters,
     "op6_toxicity": op6_toxicity,
     "op3_chat_windows": op3_chat_windows,
