@@ -222,6 +222,47 @@ select conv_id, count(*)::bigint as n_turns,
 from windows group by conv_id
 """
 
+
+def _clusters(k: int, rounds: int, dim: int) -> str:
+    """k-means rounds on whole numbers: cells (row, dimension, value) joined with the centroids' cells."""
+
+    def assigned(n: int) -> str:
+        return f"""near{n} as (
+  select rid, arg_min(c, distance * {k} + c) as c, min(distance) as distance
+  from (select a.rid, b.c, sum((a.v - b.v) * (a.v - b.v))::bigint as distance from cells a join c{n} b using (d) group by a.rid, b.c)
+  group by rid
+)"""
+
+    steps = [assigned(0)]
+    for n in range(1, rounds + 1):
+        steps += [
+            f"""sums{n} as (
+  select c, d, sum(v)::hugeint as s, count(*)::hugeint as n from near{n - 1} join cells using (rid) group by c, d
+), c{n} as (
+  select c, d, coalesce((s - ((s % n) + n) % n) // n, v)::bigint as v from c{n - 1} left join sums{n} using (c, d)
+)""",
+            assigned(n),
+        ]
+    return f"""
+with kept as (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda e: floor(64 * e::double)::bigint) as x
+  from embeddings
+  where len(embedding) = {dim} and len(list_filter(embedding, lambda e: coalesce(isfinite(e), false))) = {dim}
+), cells as (
+  select rid, unnest(range(1, {dim} + 1)) as d, unnest(x) as v from kept
+), c0 as (
+  select c, d, v from cells join (
+    select rid, row_number() over (order by sha256('1:' || vec_id::varchar) nulls last, x) - 1 as c from kept qualify c < {k}
+  ) using (rid)
+), {", ".join(steps)}, told as (
+  select c, sha256(string_agg(v::varchar, ',' order by d)) as centroid_sha256 from c{rounds} group by c
+)
+select vec_id, c::int as cluster, distance, (sum(distance) over (partition by c))::bigint as cluster_inertia,
+  (sum(distance) over ())::bigint as inertia, centroid_sha256
+from near{rounds} join kept using (rid) join told using (c)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_chat_windows": OP3,
     "op7_decontamination": OP7,
@@ -229,6 +270,7 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": OP1,
     "op2_mixing": OP2,
     "op8_line_dedup": OP8,
+    "op13_centroids": _clusters(16, 3, 64),
 }
 
 

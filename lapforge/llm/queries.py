@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, line_dedup, mixing, near_dedup, quality, simhash, token_counts, toxicity, urls
+from . import centroids, chat, decontaminate, langid, line_dedup, mixing, near_dedup, quality, simhash, token_counts, toxicity, urls, whitening
 from .common import broadcast_if_small, stage
 
 #: Vocabulary files of public tokenizers.
@@ -155,7 +155,37 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(_table(spark, sf_dir, "embeddings"), k=16)
+    share = [float(e / model.trace) for e in model.eigenvalues]
+    each = rows.select("id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        F.col("id").alias("vec_id"),
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(F.array(*map(F.lit, share)).cast("array<double>"), F.col("at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = centroids.kept_vectors(_table(spark, sf_dir, "embeddings"), dim=64)
+    report = centroids.cluster_report(*centroids.cluster(vectors, k=16, rounds=3))
+    return report.select(
+        F.col("id").alias("vec_id"),
+        "cluster",
+        "distance",
+        F.col("cluster_inertia").cast("long").alias("cluster_inertia"),
+        F.col("inertia").cast("long").alias("inertia"),
+        "centroid_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op13_centroids": op13_centroids,
+    "op12_whitening": op12_whitening,
     "op11_simhash": op11_simhash,
     "op9_url_filters": op9_url_filters,
     "op6_toxicity": op6_toxicity,

@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for name in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"create view {name} as select * from read_parquet('{SF}/{name}.parquet')")
     return con
 

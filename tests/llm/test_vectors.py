@@ -1,0 +1,197 @@
+"""Whitening and centroid clustering against plain numpy, and their bounds."""
+
+import hashlib
+import math
+
+import numpy as np
+import pytest
+
+from lapforge.llm import centroids, queries, vectors, whitening
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "vec_id long, embedding array<float>, x string, id string"
+
+
+def table(spark, lists, ids=None, schema=SCHEMA):
+    ids = range(len(lists)) if ids is None else ids
+    return spark.createDataFrame([(i, v, "x", "id") for i, v in zip(ids, lists, strict=True)], schema)
+
+
+def whole(v):
+    return v is not None and all(c is not None and math.isfinite(c) for c in v)
+
+
+# 12 whitening
+
+
+@pytest.mark.parametrize(("dim", "k", "spectrum"), [
+    (64, 16, "falling"), (200, 16, "clustered"), (300, 12, "flat"), (30, 40, "falling"), (50, 8, "low rank"), (5, 3, "equal"), (1, 1, "falling"),
+])
+def test_eigenpairs_of_known_matrices(dim, k, spectrum):
+    r = np.random.default_rng(dim)
+    q = np.linalg.qr(r.standard_normal((dim, dim)))[0]
+    e = {
+        "falling": 1e4 * 0.8 ** np.arange(dim),
+        "clustered": np.repeat([900.0, 899.999, 300.0, 10.0], [3, 4, 11, dim - 18 if dim > 18 else 0])[:dim] if dim > 18 else np.ones(dim),
+        "flat": 1 + np.linspace(0.5, 0, dim),
+        "low rank": np.where(np.arange(dim) < 6, 50.0 - np.arange(dim), 0.0),
+        "equal": np.full(dim, 3.0),
+    }[spectrum]
+    v = (q * e) @ q.T
+    calls = []
+
+    def product(b):
+        calls.append(b.shape[1])
+        return v @ b
+
+    found, u, residuals = whitening.leading_eigenpairs(product, dim, k)
+    k = min(k, dim)
+    assert found == pytest.approx(np.sort(e)[::-1][:k], rel=1e-11, abs=1e-10 * e.max())
+    assert np.abs(u.T @ u - np.eye(k)).max() < 1e-12
+    assert residuals.max() <= 1e-11 * e.max() and np.linalg.norm(v @ u - u * found, axis=0).max() <= 1e-11 * e.max()
+    assert len(calls) < 300
+
+
+def test_restarts_keep_the_subspace_small():
+    """A matrix far wider than the subspace may grow, with close eigenvalues."""
+    r = np.random.default_rng(0)
+    e = np.sort(np.concatenate([r.uniform(0, 1, 1000), 1.05 + 0.01 * np.arange(10)]))[::-1]
+    h = r.standard_normal(len(e))
+    h /= np.linalg.norm(h)
+    reflect = lambda b: b - 2 * np.outer(h, h @ b)
+    found, u, residuals = whitening.leading_eigenpairs(lambda b: reflect(e[:, None] * reflect(b)), len(e), 10)
+    assert found == pytest.approx(e[:10], rel=1e-12) and residuals.max() < 1e-11
+    assert np.abs(np.abs(reflect(u)[np.arange(10), np.arange(10)]) - 1).max() < 1e-10
+
+
+def brute_whitening(lists, k):
+    x = np.array([[math.floor(64 * float(np.float32(c))) + 1_000_000 for c in v] for v in lists], np.int64)
+    fit = np.unique(x, axis=0)
+    n, s = len(fit), fit.sum(0)
+    centred = (n * fit - s) / n
+    e, u = np.linalg.eigh(centred.T @ centred / n)
+    e, u = e[::-1][:k], u[:, ::-1][:, :k]
+    return n, ((n * x - s) ** 2).sum(1), ((n * x - s) / n) @ u / np.sqrt(e), e / np.trace(centred.T @ centred / n)
+
+
+def test_whitening_equals_brute_force(spark):
+    r = np.random.default_rng(3)
+    good = (r.standard_normal((300, 12)) * np.linspace(3, 0.2, 12)).tolist()
+    good += [good[7]] * 200  # a third of the rows are one vector, which counts once
+    odd = [None, [], [1.0] * 11 + [None], [1.0] * 11 + [math.nan], [math.inf] + [1.0] * 11, [1.0, 2.0]]
+    rows, model = whitening.whiten(table(spark, good + odd, [None, *range(1, len(good + odd))]), k=5)
+    n, deviation, z, share = brute_whitening(good, 5)
+    got = sorted(rows.collect(), key=lambda g: g["id"] or 0)
+    assert [g["id"] for g in got] == [None, *range(1, len(good))] and model.n == n == 300
+    assert [int(g["deviation"]) for g in got] == deviation.tolist()
+    mine = np.array([g["whitened"] for g in got])
+    mine *= np.sign((mine * z).sum(0))
+    assert np.abs(mine - z).max() < 1e-9
+    assert model.eigenvalues / model.trace == pytest.approx(share, rel=1e-12) and model.identity_error < 1e-11
+    assert model.residuals.max() < 1e-11 * model.eigenvalues[0]
+
+
+def test_whitening_without_variance_and_huge_entries(spark):
+    for lists in ([], [None], [[1.0, 2.0]], [[1.0, 2.0]] * 9, [[]]):
+        rows, model = whitening.whiten(table(spark, lists))
+        assert len(model.eigenvalues) == 0
+        assert [(int(g["deviation"]), g["whitened"]) for g in rows.collect()] == [(0, [])] * sum(whole(v) for v in lists)
+    rows, model = whitening.whiten(table(spark, [[3e38, 1.0], [-3e38, 2.0], [0.0, 0.0]]), k=2)
+    x = [[2**40, 64], [-(2**40), 128], [0, 0]]
+    want = sorted(sum((3 * a - s) ** 2 for a, s in zip(v, (0, 192), strict=True)) for v in x)
+    assert sorted(int(g["deviation"]) for g in rows.collect()) == want and want[-1] > 2**63
+
+
+def test_whitening_query(spark):
+    lists = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    n, deviation, z, share = brute_whitening(list(lists.values()), 16)
+    got = queries.op12_whitening(spark, SF).collect()
+    assert len(got) == 16 * len(lists) and {(g["vec_id"], g["component"]) for g in got} == {(i, c) for i in lists for c in range(1, 17)}
+    at = {i: k for k, i in enumerate(lists)}
+    mine = np.zeros_like(z)
+    for g in got:
+        mine[at[g["vec_id"]], g["component"] - 1] = g["whitened"]
+        assert g["n"] == n and g["deviation"] == deviation[at[g["vec_id"]]] and g["identity_error"] < 1e-10
+        assert g["explained"] == pytest.approx(share[g["component"] - 1], rel=1e-10)
+    mine *= np.sign((mine * z).sum(0))
+    assert np.abs(mine - z).max() < 1e-7
+
+
+def test_sums_over_empty_tables(spark):
+    assert len(vectors.summed(spark.createDataFrame([], "x array<long>"), lambda x: x.sum(0))) == 0
+
+
+# 13 clustering
+
+
+def brute_clusters(ids, lists, k, rounds):
+    rows = [([math.floor(64 * c) for c in v], i) for i, v in zip(ids, lists, strict=True)]
+    hashed = lambda i: (i is None, "" if i is None else hashlib.sha256(f"1:{i}".encode()).hexdigest())
+    cs = [x for x, _ in sorted(rows, key=lambda r: (hashed(r[1]), r[0]))[:k]]
+    assign = lambda: [min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), j) for j, c in enumerate(cs)) for x, _ in rows]
+    for _ in range(rounds):
+        near = assign()
+        for j in range(len(cs)):
+            own = [x for (x, _), (_, c) in zip(rows, near, strict=True) if c == j]
+            if own:
+                cs[j] = [sum(v) // len(own) for v in zip(*own, strict=True)]
+    return cs, [(i, c, d) for (_, i), (d, c) in zip(rows, assign(), strict=True)]
+
+
+def sortable(rows):
+    return sorted(rows, key=repr)
+
+
+@pytest.mark.parametrize("case", ["random", "one point", "few", "grid"])
+def test_clusters_equal_brute_force(spark, case):
+    r = np.random.default_rng(8)
+    centres = r.standard_normal((6, 4)) * 5
+    lists = {
+        "random": (centres[r.integers(0, 6, 200)] + r.standard_normal((200, 4))).tolist() + [[1.0, 2.0, 3.0, 4.0]] * 100,
+        "one point": [[0.5, -0.5, 1.0, 2.0]] * 30,
+        "few": [[1.0, 2.0, 3.0, 4.0], [-1.0, 0.0, 0.0, 2.0]],
+        "grid": r.integers(-2, 3, (150, 4)).astype(float).tolist(),  # many equal distances
+    }[case]
+    ids = [None if i % 50 == 3 else i // 2 for i in range(len(lists))]  # ids repeat
+    odd = [None, [], [1.0] * 3, [None, 1.0, 1.0, 1.0], [math.nan, 1.0, 1.0, 1.0], [1.0, 1.0, 1.0, -math.inf]]
+    frame = table(spark, lists + odd, ids + [1] * len(odd), "vec_id long, embedding array<double>, x string, id string")
+    assigned, cs = centroids.cluster(centroids.kept_vectors(frame, dim=4), k=7, rounds=3)
+    want_cs, want = brute_clusters(ids, lists, 7, 3)
+    assert cs.tolist() == want_cs
+    assert sortable((g["id"], g["cluster"], g["distance"]) for g in assigned.collect()) == sortable(want)
+    for g in centroids.cluster_report(assigned, cs).collect():
+        assert g["cluster_inertia"] == sum(d for _, c, d in want if c == g["cluster"]) and g["inertia"] == sum(d for _, _, d in want)
+        assert g["centroid_sha256"] == hashlib.sha256(",".join(map(str, cs[g["cluster"]])).encode()).hexdigest()
+
+
+def test_clusters_of_nothing_and_of_huge_entries(spark):
+    assigned, cs = centroids.cluster(centroids.kept_vectors(table(spark, [None, [1.0]]), dim=2))
+    assert len(cs) == 0 and assigned.collect() == [] and centroids.cluster_report(assigned, cs).collect() == []
+    big = [[3e38] * 64, [-3e38] * 64, [0.0] * 64]
+    assigned, cs = centroids.cluster(centroids.kept_vectors(table(spark, big)), k=2, rounds=0)
+    assert max(g["distance"] for g in assigned.collect()) == 64 * 2**54 and abs(cs).max() == 2**27
+
+
+def test_bounds_hold_and_exclude():
+    """No bound is over the exact distance, whatever the size of numbers; on clusters most centroids are
+    excluded without looking at their entries."""
+    r = np.random.default_rng(2)
+    for size in (3, 1000, 2**27):
+        x, c = (r.integers(-size, size + 1, (n, 8)) for n in (400, 30))
+        pivots = centroids._far_apart(c, 5)
+        near = [centroids.distances_to(p, pivots) for p in (x, c, pivots)]
+        bound = centroids.lower_bounds(*near)
+        exact = ((x[:, None].astype(object) - c[None].astype(object)) ** 2).sum(-1)
+        assert all(float(b) ** 2 * (1 - 2.0**-48) <= float(e) * (1 + 2.0**-48) for b, e in zip(bound.ravel(), exact.ravel(), strict=True))
+    c = r.integers(-3000, 3000, (30, 3))
+    x = c[r.integers(0, 30, 5000)] + r.integers(-40, 40, (5000, 3))
+    pivots = centroids._far_apart(c, 5)
+    best, distance, checked = centroids.nearest(x, *(centroids.distances_to(x, pivots),), c, centroids.distances_to(c, pivots), centroids.distances_to(pivots, pivots))
+    exact = ((x[:, None] - c[None]) ** 2).sum(-1)
+    assert (best == exact.argmin(1)).all() and (distance == exact.min(1)).all()
+    assert checked.mean() < 3
+
+
+def test_far_apart_takes_distinct_points():
+    assert centroids._far_apart(np.zeros((5, 2), np.int64), 3).tolist() == [[0, 0]]
+    assert len(centroids._far_apart(np.zeros((0, 2), np.int64), 3)) == 0
