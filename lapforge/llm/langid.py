@@ -4,19 +4,21 @@ Texts are lower-cased and cut into 1-, 2- and 3-grams of code points, hashed int
 features. Training is one aggregate: each task adds up counts of (language, feature), Spark sums
 them. The matrix of log-probabilities (add-one smoothing) is broadcast and batches are scored
 sparsely in numpy, a few MB of text at a time. With more than MAX_CELLS / FEATURES languages the
-matrix isn't broadcast: each text's features are joined with the counts and summed by text and
-language, which gives the same posteriors (a row for each text and language).
+matrix goes out in blocks of so many languages, one after another: the distinct texts' features
+are staged once (a row a text, FEATURES entries at most), and a pass over them gives each text its
+best language of the block and the block's sum; these, a row for each text and block, settle
+the same posteriors. The driver holds one block and a row for each language.
 
 Defined results: a null text, or one without any letter (Unicode category L), is `und` with
 score 0; so is every text if nothing could be learned. Null languages don't train. Of languages
 with equal posteriors the first in code-point order wins. Whole texts count; long ones are read
 in blocks that overlap by two code points, so that no n-gram is lost or counted twice. Repeated
 rows get equal results; other columns come through untouched (__lang replaces one of that name).
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -29,6 +31,8 @@ from .common import drop_stage, fresh, stage
 
 #: Hashed features (a power of two), and cells of a broadcast matrix at most (4 bytes each).
 FEATURES, MAX_CELLS = 1 << 15, 1 << 23
+#: Languages of which a task holds dense counts (FEATURES numbers each).
+MANY = 64
 _BLOCK = 1 << 20
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _LETTERS = re.compile(r"[^\W\d_]+")  # letters, and number characters that aren't digits
@@ -79,6 +83,16 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
 
 
 def _counter(bits: int):
+    """(lang, feature, n) of the batches (text, lang); a task holds dense counts of MANY languages at most."""
+
+    def rows(lang: list[str], feature: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(feature), pa.array(n)], names=["lang", "feature", "n"])
+
+    def dense(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for x, counts in total.items():
+            at = np.flatnonzero(counts)
+            yield rows([x] * len(at), at, counts[at])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -88,13 +102,19 @@ def _counter(bits: int):
                 index = {x: k for k, x in enumerate(names)}
                 of_text = np.array([index.get(x, 0) for x in langs], np.int64)
                 for feature, who in _features(points, owner, begins, bits):
-                    flat = np.bincount((of_text[who] << bits) + feature, minlength=len(names) << bits)
+                    cells = (of_text[who] << bits) + feature
+                    if len(names) > MANY:
+                        cells, n = np.unique(cells, return_counts=True)
+                        yield rows([names[k] for k in cells >> bits], cells & ((1 << bits) - 1), n)
+                        continue
+                    flat = np.bincount(cells, minlength=len(names) << bits)
                     for k, x in enumerate(names):
                         part = flat[k << bits : (k + 1) << bits]
                         total[x] = total[x] + part if x in total else part
-        for x, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(at)), pa.array(at), pa.array(counts[at])], names=["lang", "feature", "n"])
+                if len(total) > MANY:
+                    yield from dense(total)
+                    total = {}
+        yield from dense(total)
 
     return count
 
@@ -114,63 +134,123 @@ def train(labelled: DataFrame, features: int = FEATURES, max_cells: int = MAX_CE
     counts = stage(counts, "counts")
     if len(langs) << bits > max_cells:
         return langs, prior, None, counts
+    logp = _log_matrix(counts, langs, bits)
+    drop_stage(counts)
+    return langs, prior, logp, None
+
+
+def _log_matrix(counts: DataFrame, langs: list[str], bits: int) -> np.ndarray:
+    """Log-probabilities by language and feature from the languages' rows (lang, feature, n): a row a cell at most."""
     matrix = np.ones((len(langs), 1 << bits))
     index = {x: k for k, x in enumerate(langs)}
-    table = counts.toArrow()  # at most max_cells rows
+    table = counts.toArrow()
     if len(langs):
         rows = np.array([index[x] for x in table.column("lang").to_pylist()], np.int64)
         matrix[rows, table.column("feature").to_numpy()] += table.column("n").to_numpy()
-    drop_stage(counts)
-    return langs, prior, np.log(matrix / matrix.sum(1, keepdims=True)).astype(np.float32), None
+    return np.log(matrix / matrix.sum(1, keepdims=True)).astype(np.float32)
+
+
+def _by_text(texts: list[str | None], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index, features, counts) of each text with n-grams; the blocks of a long one are added up."""
+    held, parts = -1, []
+
+    def merged():
+        if len(parts) == 1:
+            return held, *parts[0]
+        total = np.zeros(1 << bits, np.int64)
+        for f, n in parts:
+            total[f] += n
+        return held, np.flatnonzero(total), total[total > 0]
+
+    for points, owner, begins in _blocks(texts):
+        cells, n = np.unique(np.concatenate([(who << bits) + f for f, who in _features(points, owner, begins, bits)]), return_counts=True)
+        whose, first = np.unique(cells >> bits, return_index=True)
+        for i, lo, hi in zip(whose.tolist(), first, [*first[1:], len(cells)], strict=True):
+            if i != held and parts:
+                yield merged()
+                parts = []
+            held = i
+            parts.append((cells[lo:hi] & ((1 << bits) - 1), n[lo:hi]))
+    if parts:
+        yield merged()
 
 
 def _sparse(bits: int):
-    """(th, feature, n) of the batches (th, text)."""
+    """(th, fs, ns) of the batches (th, text): a row a text."""
+
+    def rows(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        lists = [pa.array([x[k] for x in held], pa.list_(pa.int32())) for k in (1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), *lists], names=["th", "fs", "ns"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column("th").to_numpy(), batch.column("text").to_pylist()
-            for points, owner, begins in _blocks(texts):
-                for feature, who in _features(points, owner, begins, bits):
-                    cells, n = np.unique((who << bits) + feature, return_counts=True)
-                    arrays = [pa.array(keys[cells >> bits]), pa.array(cells & ((1 << bits) - 1)), pa.array(n)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["th", "feature", "n"])
+            keys, held, size = batch.column("th").to_pylist(), [], 0
+            for i, fs, ns in _by_text(batch.column("text").to_pylist(), bits):
+                held.append((keys[i], fs.astype(np.int32), ns.astype(np.int32)))
+                size += len(fs)
+                if size > _BLOCK:
+                    yield rows(held)
+                    held, size = [], 0
+            if held:
+                yield rows(held)
 
     return split
 
 
-def _predict_joined(docs: DataFrame, model: Model, text: Column, features: int) -> DataFrame:
-    """predict without a matrix: sums of n * log(count + 1) by text and language from a join, and
-    what the smoothing of the whole language adds."""
+def _block_scores(sparse: DataFrame, names: list[str], prior: np.ndarray, logp: np.ndarray) -> DataFrame:
+    """(th, top, lang, total) of each text (th, fs, ns), staged: the best of the block's languages, its
+    log score and the log of the sum of all scores."""
+    context = sparse.sparkSession.sparkContext
+    shared = context.broadcast((names, prior, np.ascontiguousarray(logp.T)))
+
+    def score(fs: pa.Array, ns: pa.Array) -> pa.Array:
+        names, prior, logp = shared.value
+        tops, langs, totals = [], [], []
+        for f, n in zip(fs, ns, strict=True):
+            f, n = f.values.to_numpy(), n.values.to_numpy()
+            s = prior.copy()
+            for at in range(0, len(f), 1024):  # rows of the matrix held at once
+                # in the same order for every language, so that equal posteriors stay equal
+                s += np.einsum("i,ij->j", n[at : at + 1024].astype(float), logp[f[at : at + 1024]].astype(float))
+            best = int(s.argmax())
+            tops.append(s[best])
+            langs.append(names[best])
+            totals.append(s[best] + np.log(np.exp(s - s[best]).sum()))
+        return pa.StructArray.from_arrays([pa.array(tops, pa.float64()), pa.array(langs, pa.string()), pa.array(totals, pa.float64())], names=["top", "lang", "total"])
+
+    out = stage(sparse.select("th", F.arrow_udf(score, "top double, lang string, total double")("fs", "ns").alias("s")).select("th", "s.*"), "block")
+    shared.destroy()
+    return out
+
+
+def _predict_blocks(docs: DataFrame, model: Model, text: Column, features: int, max_cells: int) -> DataFrame:
+    """predict with one block of languages broadcast at a time."""
     langs, prior, _, counts = model
-    bits, spark = features.bit_length() - 1, docs.sparkSession
+    bits, width = features.bit_length() - 1, max(1, max_cells // features)
     key, row = fresh("th", docs), fresh("row", docs)
     nested = docs.select(F.struct(*docs.columns).alias(row), F.xxhash64(text).alias(key), text.alias("text"))
     texts = nested.where("text is not null").groupBy(F.col(key).alias("th")).agg(F.min("text").alias("text")).where(F.col("text").rlike(r"\p{L}"))
-    parts = texts.mapInArrow(_sparse(bits), "th long, feature long, n long").groupBy("th", "feature").agg(F.sum("n").alias("n"))
-    parts = stage(parts, "features")
-    totals = counts.groupBy("lang").agg(F.log(F.sum("n") + F.lit(1 << bits)).alias("total"))
-    every = spark.createDataFrame(list(zip(langs, prior.tolist(), strict=True)), "lang string, prior double").join(totals, "lang", "left")
-    every = every.select("lang", "prior", F.coalesce("total", F.lit(math.log(1 << bits))).alias("total"))
-    seen = parts.join(counts.withColumnRenamed("n", "c"), "feature").groupBy("th", "lang").agg(F.sum(F.col("n") * F.log(F.col("c") + 1)).alias("s"))
-    lengths = parts.groupBy("th").agg(F.sum("n").alias("m"))
-    scored = lengths.join(F.broadcast(every)).join(seen, ["th", "lang"], "left")  # a row for each text and language
-    scored = stage(scored.select("th", "lang", (F.col("prior") + F.coalesce("s", F.lit(0.0)) - F.col("m") * F.col("total")).alias("s")), "scored")
-    best = stage(scored.groupBy("th").agg(F.max("s").alias("top")), "best")
-    picked = scored.join(best, "th").groupBy("th").agg(
-        F.min(F.when(F.col("s") == F.col("top"), F.col("lang"))).alias("pred"), (1 / F.sum(F.exp(F.col("s") - F.col("top")))).alias("score")
-    )
-    picked = stage(picked.select(F.col("th").alias(key), F.struct("pred", "score").alias("__lang")), "picked")
+    sparse = stage(texts.mapInArrow(_sparse(bits), "th long, fs array<int>, ns array<int>"), "features")
+    blocks = None
+    for at in range(0, len(langs), width):
+        names = langs[at : at + width]  # in code-point order, as Spark compares strings
+        own = counts.where((F.col("lang") >= names[0]) & (F.col("lang") <= names[-1]))
+        part = _block_scores(sparse, names, prior[at : at + width], _log_matrix(own, names, bits))
+        blocks = part if blocks is None else blocks.union(part)
+    best = blocks.groupBy("th").agg(F.min(F.struct((-F.col("top")).alias("down"), "lang")).alias("b"), F.collect_list("total").alias("totals"))  # a number a block
+    total = F.aggregate("totals", F.lit(0.0), lambda a, t: a + F.exp(t + F.col("b.down")))
+    picked = stage(best.select(F.col("th").alias(key), F.struct(F.col("b.lang").alias("pred"), (1 / total).alias("score")).alias("__lang")), "picked")
+    drop_stage(sparse, blocks)
     und = F.struct(F.lit("und").alias("pred"), F.lit(0.0).alias("score"))
     out = nested.join(picked, key, "left").select(f"{row}.*", F.coalesce("__lang", und).alias("__lang"))
     return out.select(*[c for c in docs.columns if c != "__lang"], "__lang")
 
 
-def predict(docs: DataFrame, model: Model, text: Column, features: int = FEATURES) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: Column, features: int = FEATURES, max_cells: int = MAX_CELLS) -> DataFrame:
     """docs with a struct __lang (pred, score): the posterior's largest language and share."""
     langs, prior, logp, _ = model
     if logp is None:
-        return _predict_joined(docs, model, text, features)
+        return _predict_blocks(docs, model, text, features, max_cells)
     shared = docs.sparkSession.sparkContext.broadcast((langs, prior, np.ascontiguousarray(logp.T)))
 
     def score(column: pa.Array) -> pa.Array:
