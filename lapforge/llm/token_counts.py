@@ -10,11 +10,13 @@ match goes on after it. The vocabulary (a list of pieces) is read on the driver
 and broadcast; its length is checked against max_pieces (a million pieces take some 400 MB in a
 Python worker; a caller with more memory may raise it).
 
-Distinct words of a task are matched once and remembered up to CACHE_WORDS words (then the
-memory is emptied); words over CACHE_CHARS characters are matched each time.
+The automaton is built once in each Python worker. Distinct words are matched once there and
+remembered up to CACHE_WORDS words (then the memory is emptied); words over CACHE_CHARS characters
+are matched each time.
 
 Defined results: null, empty and blank texts have no words and no tokens. Repeated rows get
-equal counts. Whole texts are counted, whatever their length.
+equal counts. Whole texts are counted, whatever their length. An empty table gives an empty table. A
+column named __tokens is replaced, others come through.
 """
 
 from __future__ import annotations
@@ -94,21 +96,23 @@ def sentencepiece_vocabulary(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in usual]
 
 
-_built: dict[int, tuple[Automaton, dict[bytes, int]]] = {}  # one automaton for each worker and broadcast
+def worker_automaton(shared) -> tuple[Automaton, dict[bytes, int]]:
+    """(automaton, counts of words met) of a broadcast {"pieces": list}. They are kept in the broadcast's
+    value, which a Python worker holds as long as it lives: one is built a worker, not a task."""
+    held = shared.value
+    if "automaton" not in held:
+        held["automaton"], held["known"] = Automaton(held["pieces"]), {}
+    return held["automaton"], held["known"]
 
 
 def count_tokens(docs: DataFrame, pieces: list[str], text: Column, max_pieces: int = MAX_PIECES) -> DataFrame:
     """docs with a struct __tokens (n_words, n_tokens)."""
     if len(pieces) > max_pieces:
         raise ValueError(f"a vocabulary of over {max_pieces} pieces")
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    key = hash((len(pieces), *pieces))
+    shared = docs.sparkSession.sparkContext.broadcast({"pieces": pieces})
 
     def count(column: pa.Array) -> pa.Array:
-        if key not in _built:
-            _built.clear()
-            _built[key] = Automaton(shared.value), {}
-        automaton, known = _built[key]
+        automaton, known = worker_automaton(shared)
         n_words, n_tokens = [], []
         for text in column:
             words = text.as_buffer().to_pybytes().split() if text.is_valid else []
