@@ -12,15 +12,15 @@ kind of toxicity only, so op6 runs low quality first and toxic second.
 Training takes a bounded sample: the SAMPLE labelled documents with the least seeded hash of
 their id (all of them if there are fewer), each once, with the text of least hash if rows
 share its id. Spark counts each hashed word by fold and label (at most 2**BITS * FOLDS rows reach
-the driver), which settles the words that any of the fits may use: at most MAX_KEPT a fit, those
-that tell its classes apart best. Only these are sent of the sample's lists: SAMPLE rows of at most
-(FOLDS + 1) * MAX_KEPT numbers for each category, whatever the length of the texts. The weights
-(2**BITS for each category) are broadcast; every document is scored.
+the driver), which settles the words that any of the fits may use: all that tell its classes apart
+(a caller may keep the max_words best of them a fit). Only these are sent of the sample's lists, at
+most 2**BITS numbers a row, whatever the length of the texts. The weights (2**BITS for each
+category) are broadcast; every document is scored.
 
 Defined results: a null, empty or wordless text has probability 0 in every category and isn't
 flagged. A null label leaves its row out for that category. A category without both classes
 has probability 0. A document with several label rows counts with its worst. Repeated rows
-score alike; whole texts are scored. A column named __tox is replaced, others come through.
+score alike; whole texts are scored; an empty table gives an empty table. A column named __tox is replaced, others come through.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from .texthash import text_blocks, word_hashes
 BITS, SAMPLE, FOLDS, EPOCHS, BATCH, RATE, L2 = 18, 12_000, 3, 8, 128, 0.3, 1e-6
 
 #: A word counts if enough documents have it and its rate differs by this many deviations.
-MIN_DOCS, MIN_Z, MAX_KEPT = 3, 4.0, 4096
+MIN_DOCS, MIN_Z = 3, 4.0
 
 
 def _features(texts: pa.Array) -> list[np.ndarray]:
@@ -66,21 +66,21 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def telling(n: int, n1: int, seen: np.ndarray, seen1: np.ndarray) -> np.ndarray:
+def telling(n: int, n1: int, seen: np.ndarray, seen1: np.ndarray, most: int | None = None) -> np.ndarray:
     """Which words a fit uses: of n documents (n1 positive) seen have the word (seen1 positive). Others
     would be learnt by heart."""
     share = np.clip(seen / max(n, 1), 1e-12, 1 - 1e-12)
     z = np.abs(seen1 - n1 * share) / np.sqrt(max(n1 * (n - n1) / max(n, 1), 1e-12) * share * (1 - share))
     keep = (seen >= MIN_DOCS) & (z >= MIN_Z)
-    if keep.sum() > MAX_KEPT:
-        keep[np.argsort(np.where(keep, -z, np.inf), kind="stable")[MAX_KEPT:]] = False
+    if most is not None and keep.sum() > most:
+        keep[np.argsort(np.where(keep, -z, np.inf), kind="stable")[most:]] = False
     return keep
 
 
-def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, max_words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(weights of features, weights of extra columns and last the bias): AdaGrad on batches."""
     count = lambda some: np.bincount(np.concatenate([np.zeros(0, np.int32), *some]), minlength=1 << BITS)
-    keep = telling(len(y), int(y.sum()), count(rows), count([r for r, t in zip(rows, y, strict=True) if t]))
+    keep = telling(len(y), int(y.sum()), count(rows), count([r for r, t in zip(rows, y, strict=True) if t]), max_words)
     rows = [r[keep[r]] for r in rows]
     w, v = np.zeros(1 << BITS), np.zeros(extra.shape[1] + 1)
     gw, gv = np.full(1 << BITS, 1e-4), np.full(len(v), 1e-4)
@@ -102,7 +102,7 @@ def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray) -> tupl
     return w, v
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
+def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, max_words: int | None = None) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
     """labels: a column for each category, NaN where unknown. (weights by feature and
     category, for each category those of the earlier probabilities and the bias, thresholds)."""
     n, k = labels.shape
@@ -116,7 +116,7 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) ->
             at = np.flatnonzero(mask)
             if len(set(y[at])) < 2:
                 return np.zeros(1 << BITS), np.append(np.zeros(ahead.shape[1]), -35.0)
-            return fit_linear([rows[i] for i in at], ahead[at], y[at])
+            return fit_linear([rows[i] for i in at], ahead[at], y[at], max_words)
 
         for f in range(FOLDS):
             w, v = fit(known & (folds != f))
@@ -143,9 +143,11 @@ def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + below) / 2)
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], sample: int = SAMPLE):
+def train_chain(
+    docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], sample: int = SAMPLE, max_words: int | None = None
+):
     """The chain's model from docs (doc_id, text) and labels (doc_id and what the categories'
-    boolean columns use)."""
+    boolean columns use). max_words: telling words of a fit, the best ones; None keeps all."""
     names = [name for name, _ in categories]
     truth = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(c.cast("int")).alias(n) for n, c in categories])
     truth = stage(truth.withColumn("rank", F.xxhash64("doc_id", F.lit(5))), "truth")
@@ -157,17 +159,17 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[s
     once = read.groupBy("doc_id", "rank", *names).agg(F.min_by("ids", "th").alias("ids"))  # copies must not fill the sample
     once = once.orderBy("rank", "doc_id").limit(sample).withColumn("fold", F.pmod("rank", F.lit(FOLDS)).cast("int"))
     once = stage(once, "sample")
-    mask = _wanted(once, names)
+    mask = _wanted(once, names, max_words)
     only = F.arrow_udf(lambda lists: pa.array([r[mask[r]] for r in (np.asarray(x, np.int32) for x in lists.to_pylist())], pa.list_(pa.int32())), "array<int>")
     table = once.select(*names, "rank", "fold", only("ids").alias("ids")).orderBy("rank").toArrow()
     rows = [np.asarray(x, np.int32) for x in table.column("ids").to_pylist()]
     y = np.column_stack([np.array(table.column(n).to_pylist(), float) for n in names]) if rows else np.zeros((0, len(names)))
     folds = np.array(table.column("fold").to_pylist(), np.int64)
     drop_stage(once)
-    return names, *fit_chain(rows, y, folds)
+    return names, *fit_chain(rows, y, folds, max_words)
 
 
-def _wanted(sample: DataFrame, names: list[str]) -> np.ndarray:
+def _wanted(sample: DataFrame, names: list[str], max_words: int | None = None) -> np.ndarray:
     """The words that a fit of any category, on all folds or without one of them, may use."""
     by_label = [f(n).cast("long").alias(f"{k}_{n}") for n in names for k, f in (("n", F.count), ("pos", F.sum))]
     docs = sample.groupBy("fold").agg(*by_label).toArrow().to_pylist()
@@ -183,7 +185,7 @@ def _wanted(sample: DataFrame, names: list[str]) -> np.ndarray:
         for left_out in range(-1, FOLDS):
             n, n1 = (sum(d[f"{k}_{name}"] or 0 for d in docs if d["fold"] != left_out) for k in ("n", "pos"))
             use = [f for f in range(FOLDS) if f != left_out]
-            mask |= telling(n, n1, grid["n"][:, use].sum(1), grid["pos"][:, use].sum(1))
+            mask |= telling(n, n1, grid["n"][:, use].sum(1), grid["pos"][:, use].sum(1), max_words)
     return mask
 
 
