@@ -1,7 +1,8 @@
 """URL filters: rules first, then gradient-boosted trees on lexical features.
 
 A rule (host, path start) fits its host, all its subdomains, and every path that starts with
-its own; the longest rule wins. URLs without a rule get the verdict of gradient-boosted trees
+its own; the longest rule wins, of equally long ones that with the longer host, and of a rule
+given twice the one that blocks. URLs without a rule get the verdict of gradient-boosted trees
 trained from labelled URLs: length, depth, digit ratio, character entropy, parameter counts
 and suffix statistics (how often labelled URLs of the same host suffix are bad, smoothed
 towards the overall rate; a training URL's statistic leaves out the labels of its own fold).
@@ -59,11 +60,16 @@ def _after(url: Column) -> Column:
     return F.substr(url, F.instr(url, "://") + 3)
 
 
+def _rank(verdict: str, host: str, start: str) -> tuple[int, int, int]:
+    """The order of rules, first the one that wins; rules of equal rank that fit one URL are the same."""
+    return -len(host) - len(start), -len(host), int(verdict != "block")
+
+
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
-    """A struct (rule, verdict) of the longest rule that fits, or null. rules: (verdict, host,
-    path start with its slash). One CASE, longest rule first."""
+    """A struct (rule, verdict) of the first rule by rank that fits, or null. rules: (verdict, host,
+    path start with its slash). One CASE."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[1:])):
+    for verdict, h, p in sorted(rules, key=lambda r: _rank(*r), reverse=True):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
         found = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
     return found
@@ -71,14 +77,13 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
 
 def _with_rules(rows: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """rows (with host and path) and their __rule, by a join: the rules of every suffix of a
-    distinct host, longest first, then the first of them that fits the path."""
-    table = rows.sparkSession.createDataFrame([(v, h, p) for v, h, p in rules], "verdict string, suffix string, start string")
+    distinct host by rank, then the first of them that fits the path."""
+    listed = [(*_rank(*r), *r) for r in rules]
+    table = rows.sparkSession.createDataFrame(listed, "r1 int, r2 int, r3 int, verdict string, suffix string, start string")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = rows.select("host").distinct().select("host", F.explode(suffixes).alias("suffix"))
-    rule = F.struct(
-        (-F.length("suffix") - F.length("start")).alias("order"), "start", F.struct(F.concat("suffix", "start").alias("rule"), "verdict").alias("said")
-    )
+    rule = F.struct("r1", "r2", "r3", "start", F.struct(F.concat("suffix", "start").alias("rule"), "verdict").alias("said"))
     found = hosts.join(table, "suffix").groupBy("host").agg(F.sort_array(F.collect_list(rule)).alias("__rules"))
     found = stage(found, "host_rules")
     joined = rows.join(broadcast_if_small(found, MAX_BROADCAST), "host", "left")
