@@ -67,7 +67,7 @@ def line_dedup(
         lines.select("id", "th", F.posexplode("hs").alias("pos", "h"))
         .join(frequent, "h", "left_semi")
         .groupBy("id", "th")
-        .agg(F.collect_set("pos").alias("drop"))
+        .agg(F.sort_array(F.collect_set("pos")).alias("drop"))
         .select(F.col("id").alias("d_id"), F.col("th").alias("d_th"), "drop")
     )
     drops = stage(drops, "drops")
@@ -75,12 +75,13 @@ def line_dedup(
     rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("th"))  # names can't clash then
     joined = rows.join(drops, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("th") == F.col("d_th")), "left")
     text = F.col("row")[text_col]
-    rest = F.filter(split_lines(text), lambda _, i: ~F.array_contains("drop", i))
+    joined = joined.select("row", "drop", split_lines(text).alias("lines"))  # split once: the functions below refer to the column
+    # the runs of lines between dropped ones, so that a text takes time in proportion to its lines
+    ends = F.zip_with(F.concat(F.array(F.lit(-1)), "drop"), F.concat("drop", F.array(F.size("lines"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    runs = F.transform(F.filter(ends, lambda e: e["b"] - e["a"] > 1), lambda e: F.slice("lines", e["a"] + 2, e["b"] - e["a"] - 1))
+    rest = F.array_join(F.flatten(runs), "\n")
     return joined.select(
-        *[
-            F.when(F.col("drop").isNotNull(), F.array_join(rest, "\n")).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c)
-            for c in columns
-        ],
-        F.size(split_lines(text)).cast("long").alias("__n_lines"),
+        *[F.when(F.col("drop").isNotNull(), rest).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns],
+        F.size("lines").cast("long").alias("__n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("__n_dropped"),
     )
