@@ -43,19 +43,39 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: work is done once, the lineage is
     cut, and a lost executor loses nothing. Tables that no later plan reads go with
     drop_stage; the owner of the folder clears the rest."""
-    path = f"{shared_dir(df.sparkSession)}/lapforge-{uuid.uuid4().hex}/{name}"
+    tag = f"lapforge-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{tag}/{name}"
+    _staged[tag] = path
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The folders of staged tables that this driver hasn't dropped, oldest first.
+_staged: dict[str, str] = {}
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stage(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+            _staged.pop(folder.split("/")[-2], None)
+
+
+def staged_so_far() -> frozenset[str]:
+    """A mark for drop_since."""
+    return frozenset(_staged)
+
+
+def drop_since(spark: SparkSession, before: frozenset[str]) -> None:
+    """Delete what was staged since the mark on the way to the table staged last, which stays."""
+    for tag in [t for t in _staged if t not in before][:-1]:
+        _delete(spark, _staged.pop(tag))
 
 
 def document_key(id_col: str, text_col: str) -> Column:

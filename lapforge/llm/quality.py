@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_PATTERN, broadcast_if_small, stage
+from .common import WS_PATTERN, broadcast_if_small, drop_stage, stage
 from .texthash import _IS_WS, buffers, text_blocks, windows, word_hashes
 
 SYMBOLS = "#*$%&|<>"
@@ -205,10 +205,10 @@ def filter_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang"
 ) -> DataFrame:
     """The documents that the base rules and the certified cutoffs keep, columns unchanged. The
-    texts are measured once: rows and measures are staged, and the cutoffs read the measures alone."""
-    nested = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("stratum")
-    )
-    measured = stage(with_measures(nested).drop("text"), "measured")
-    cutoffs = calibrate(measured.select("id", "stratum", "__q"), labels)
-    return judge(measured, cutoffs, F.col("stratum")).where("__kept").select("row.*")
+    cutoffs come from staged measures; texts are measured again where they are judged, which costs
+    less than a second copy of the corpus."""
+    measured = measured_table(docs, id_col, text_col, stratum_col)
+    cutoffs = calibrate(measured, labels)
+    drop_stage(measured)
+    nested = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), F.col(stratum_col).alias("stratum"))
+    return judge(with_measures(nested), cutoffs, F.col("stratum")).where("__kept").select("row.*")
