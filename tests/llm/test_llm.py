@@ -285,9 +285,11 @@ def bayes(labelled, texts, features):
     return out
 
 
-@pytest.mark.parametrize("way", ["matrix", "join"])
-def test_language_id_matches_brute_force(spark, monkeypatch, way):
+@pytest.mark.parametrize("width", [None, 1, 2, 100])
+def test_language_id_matches_brute_force(spark, monkeypatch, width):
+    """With one matrix (width None), or blocks of so many languages."""
     monkeypatch.setattr(langid, "_BLOCK", 16)  # every longer text is cut
+    monkeypatch.setattr(langid, "MANY", 2)  # more languages than a task counts densely
     r = random.Random(41)
     alphabets = {"en": "abcde ", "fr": "cdefé ", "de": "aeüß\n", "xx": "😀b-"}
     text = lambda x: "".join(r.choice(alphabets[x]) for _ in range(r.choice([1, 2, 5, 15, 16, 17, 18, 33, 100])))
@@ -295,16 +297,36 @@ def test_language_id_matches_brute_force(spark, monkeypatch, way):
     texts = [text(x) for x in lang] + [None, "", "½ ²", "١٢٣ ５", "ª", "ab", "ab", "the same in both"]
     lang += ["en", "fr", "en", "en", None, "yy", "zz", None]  # equal posteriors of yy and zz
     table = docs(spark, texts, lang=lang).withColumns({"row": F.lit(1), "th": F.lit("mine")})
-    cells = 10**9 if way == "matrix" else 0
-    model = langid.train(table, 1 << 10, cells)
-    assert (model[2] is None) == (way == "join")
-    out = langid.predict(table, model, F.col("text"), 1 << 10)
+    model = langid.train(table, 1 << 10, 10**9 if width is None else 0)
+    assert (model[2] is None) == (width is not None)
+    out = langid.predict(table, model, F.col("text"), 1 << 10, (width or 1) << 10)
     assert out.columns == [*table.columns, "__lang"]
     got = [tuple(x["__lang"]) for x in out.orderBy("doc_id").collect()]
     want = bayes(zip(texts, lang, strict=True), texts, 1 << 10)
     assert [g[0] for g in got] == [w[0] for w in want]
     assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-3, abs=1e-6)
     assert [g[0] for g in got[60:64]] == ["und"] * 4  # none of these has a letter
+    assert langid.predict(table.limit(0), model, F.col("text"), 1 << 10, (width or 1) << 10).count() == 0
+
+
+def test_a_thousand_languages(spark, monkeypatch):
+    """Blocks of languages: no cross join, and no table of texts times languages."""
+    rows, real = {}, langid.stage
+
+    def spy(df, name):
+        assert "CartesianProduct" not in (plan := df._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+        out = real(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(langid, "stage", spy)
+    lang = [f"l{i:04d}" for i in range(1000)]
+    word = lambda x: hashlib.md5(x.encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))
+    table = docs(spark, [f"{word(x)} {word(x)}" for x in lang], lang=lang)
+    model = langid.train(table, 1 << 12, 1 << 18)
+    got = langid.predict(table, model, F.col("text"), 1 << 12, 1 << 18).select("lang", "__lang.pred").collect()
+    assert all(r["pred"] == r["lang"] for r in got) and len(got) == 1000
+    assert rows["features"] == rows["block"] == rows["picked"] == 1000  # a row a text, not a row a text and language
 
 
 # 5 tokens
@@ -331,9 +353,45 @@ def test_token_counts_edges(spark):
     assert got == [(len(words(t)), sum(greedy("▁" + w, set(pieces)) for w in words(t))) for t in ODD]
 
 
+def test_token_counts_of_odd_tables(spark):
+    pieces = ["▁a", "b", "▁", "a", "ab"]
+    table = docs(spark, ["ab a", "ab a", None]).withColumns({"__tokens": F.lit("mine"), "count": F.lit(1)})
+    out = token_counts.count_tokens(table, pieces, F.col("text"))
+    assert sorted(out.columns) == sorted(table.columns)
+    assert [tuple(r["__tokens"]) if r["text"] else None for r in out.orderBy("doc_id").collect()][:2] == [(2, 3)] * 2
+    assert token_counts.count_tokens(table.limit(0), pieces, F.col("text")).count() == 0
+
+
+def test_automaton_is_built_once_a_worker(spark):
+    shared = spark.sparkContext.broadcast({"pieces": ["▁a", "b", "ab"]})
+
+    def seen(column):
+        import os
+
+        automaton, _ = token_counts.worker_automaton(shared)
+        return pa.array([f"{os.getpid()} {id(automaton)}"] * len(column))
+
+    for _ in range(2):
+        rows = spark.range(0, 64, 1, 16).select(F.arrow_udf(seen, "string")("id").alias("s")).distinct().collect()
+        workers = [r["s"].split()[0] for r in rows]
+        assert len(workers) == len(set(workers)) < 16  # one automaton a worker, fewer workers than tasks
+
+
 # 6 toxicity
 
 
+def test_toxicity_words_are_capped_on_demand_only():
+    r = np.random.default_rng(0)
+    n, n1 = 2000, 1000
+    seen1 = r.integers(400, 700, 6000)
+    seen = seen1 + r.integers(0, 100, 6000)
+    every = toxicity.telling(n, n1, seen, seen1)
+    best = toxicity.telling(n, n1, seen, seen1, 50)
+    assert every.sum() == 6000 and best.sum() == 50
+    z = np.abs(seen1 - n1 * seen / n) / np.sqrt(seen * (n - seen))
+    assert z[best].min() >= np.sort(z)[-50]
+
+
 def test_toxicity_chain(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
@@ -370,7 +428,7 @@ def test_toxicity_sample_is_whole_in_large_tables(spark, monkeypatch):
     copies = ids.union(spark.range(100).select(F.lit(ranks[0])))  # one sampled document many times
     table = copies.withColumn("text", F.concat(F.lit("word"), F.col("doc_id").cast("string")))
     seen = []
-    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, labels, folds: seen.append((rows, labels)) or ())
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, labels, folds, *_: seen.append((rows, labels)) or ())
     toxicity.train_chain(table, ids.withColumn("toxic", F.col("doc_id") % 2), [("toxic", F.col("toxic") == 1)], sample)
     [(rows, labels)] = seen
     assert len(rows) == sample and not any(len(r) for r in rows)  # a word of one document tells nothing
@@ -440,9 +498,52 @@ def test_line_dedup(spark):
     assert twice.count() == 2 * table.count()
 
 
+def test_line_dedup_of_a_long_text(spark):
+    """A million lines, half of them dropped, in scattered runs: time in proportion to the lines."""
+    import time
+
+    n = 1_000_000
+    text = "\n".join("common" if hashlib.md5(b"%d" % i).digest()[0] % 2 else f"own {i}" for i in range(n))
+    table = docs(spark, [text, *["common"] * 9])
+    line_dedup.line_dedup(table.where("doc_id > 0")).collect()
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(table).collect()}[0]
+    assert time.monotonic() - began < 60
+    kept = [x for x in text.split("\n") if x != "common"]
+    assert got["text"] == "\n".join(kept) and (got["__n_lines"], got["__n_dropped"]) == (n, n - len(kept))
+
+
+@pytest.mark.parametrize("dropped", ["", "0", "9", "0123456789", "01 89", "0 2 4 6 8", "1 3 5 7 9", "345"])
+def test_line_dedup_reassembles_any_runs(spark, dropped):
+    lines = ["drop" if str(i) in dropped else f"line {i}" if i % 3 else "" for i in range(10)]
+    table = docs(spark, ["\n".join(lines), *["drop"] * 10])
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(table).collect()}[0]
+    assert got["text"] == "\n".join(x for x in lines if x != "drop") and got["__n_dropped"] == lines.count("drop")
+
+
 # 9 URLs
 
 
+def test_url_rules_of_equal_length(spark, monkeypatch):
+    """Ties go to the longer host, then to the rule that blocks: with the CASE, with the join and by brute force."""
+    r = random.Random(5)
+    hosts, starts = ["org", "a.org", "b.a.org", "com", "a.com"], ["/", "/p", "/p/", "/p/q", "/p/q/x", "/q"]
+    rules = [(r.choice(["allow", "block"]), r.choice(hosts), r.choice(starts)) for _ in range(60)]
+    rules += [("allow", "org", "/p/q"), ("block", "a.org", "/p"), ("allow", "com", "/p"), ("block", "com", "/p")]
+    cases = [f"http://{h}{p}{tail}" for h in [*hosts, "x.b.a.org", "b.com"] for p in starts for tail in ("", "z", "/x")]
+    want = {}
+    for url in cases:
+        host, _, path = url[7:].partition("/")
+        fits = [(-len(h) - len(p), -len(h), v != "block", h + p, v) for v, h, p in rules if f".{host}".endswith(f".{h}") and f"/{path}".startswith(p)]
+        want[url] = min(fits)[3:] if fits else (None, "allow")
+    df = spark.createDataFrame([(u,) for u in cases], "url string")
+    model = urls.train(spark.createDataFrame([], "url string, bad int"))
+    for most in (1000, 0):
+        monkeypatch.setattr(urls, "MAX_RULES", most)
+        for order in (rules, rules[::-1]):
+            assert {x["url"]: (x["rule"], x["verdict"]) for x in urls.judge(df, model, order, F.col("url")).collect()} == want
+
+
 def test_url_parts_and_rules(spark, monkeypatch):
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
     cases = {
@@ -605,6 +706,38 @@ def test_near_dedup_matches_brute_force(spark):
     assert kept.columns == df.columns and {x["doc_id"] for x in kept.collect()} == {c for _, c in want.values()}
 
 
+def test_near_dedup_completion_alone_finds_all_links(spark, monkeypatch):
+    """The exact prefix join without the pairs of the merged lists: the same groups."""
+    seen, across, real = {}, near_dedup._across, near_dedup._retained
+
+    def no_pairs(sigs):
+        pairs, prefix = real(sigs)
+        return pairs.limit(0), prefix
+
+    def counted(left, sets):
+        out = across(left, sets)
+        seen["pairs"] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "_retained", no_pairs)
+    monkeypatch.setattr(near_dedup, "_across", counted)
+    r = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(300)]
+    shared = [r.choice(vocabulary) for _ in range(50)]
+    rows = []
+    for g in range(15):
+        base = [r.choice(vocabulary) for _ in range(r.choice([10, 40, 120]))] + (shared if g % 2 else [])
+        for _ in range(r.choice([1, 2, 8])):
+            copy = list(base)
+            for _ in range(r.choice([0, 1, 2, 4])):
+                copy[r.randrange(len(copy))] = r.choice(vocabulary)
+            rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["id"]: (x["n_shingles"], x["component"]) for x in near_dedup.near_duplicates(df).collect()}
+    assert got == classes_by_brute_force(rows) and seen["pairs"] > 10
+
+
 def test_near_dedup_null_and_repeated_ids(spark):
     long, lone = " ".join(f"u{i}" for i in range(30)), " ".join(f"z{i}" for i in range(40))
     other, alone = "quite another text of words here", "alone with nobody else around me"
@@ -696,17 +829,66 @@ def test_rows_without_id_are_decontaminated_and_mixed(spark):
     assert all(abs(r["taken"] - r["target"]) <= 0.002 * r["source_size"] for r in out.collect())
 
 
+def pipeline_folder(spark, path, table, labelled):
+    spark.createDataFrame([(i, 1, 0) for i in labelled], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(0, " ".join(f"q3x{k}" for k in range(20)))], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    table.write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+PLAIN = [f"{hashlib.md5(bytes([i])).hexdigest()} " * 3 + " ".join(f"q{i}x{k}" for k in range(40)) for i in range(30)]
+
 
 def test_pipeline_stages_survive_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
-    table = docs(spark, [*ODD, *[f"{hashlib.md5(bytes([i])).hexdigest()} " * 3 + " ".join(f"q{i}x{k}" for k in range(40)) for i in range(30)]])
-    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(0, " ".join(f"q3x{k}" for k in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    table.write.parquet(f"{tmp_path}/documents.parquet")
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    table = docs(spark, [*ODD, *PLAIN])
+    folder = pipeline_folder(spark, tmp_path, table, range(20))
+    out = corpus_pipeline.run(spark, folder).collect()
     ids = {x["doc_id"] for x in out}
     assert len(ODD) + 3 not in ids and ids <= set(range(len(ODD), len(ODD) + 30)) and ids
+    assert {x["text"] for x in out} <= {*PLAIN}
     for name, function in corpus_pipeline.STAGES[:-1]:
-        assert function(spark, table.limit(0), str(tmp_path)).columns == table.columns, name
-    assert np.isfinite(len(out))
+        assert function(spark, table.limit(0), folder).columns == table.columns, name
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    table = docs(spark, PLAIN[:1]).limit(0)
+    out = corpus_pipeline.run(spark, pipeline_folder(spark, tmp_path, table, []))
+    assert out.columns == [*table.columns, "copy"] and out.collect() == []
+
+
+def test_pipeline_of_null_ids_and_repeated_rows(spark, tmp_path):
+    """Each plain text stays once, whatever repeats it and whether it has an id; the benchmark's goes."""
+    import corpus_pipeline
+
+    rows = [(None, t) for t in PLAIN[:6] for _ in range(3)] + [(100 + i, t) for i, t in enumerate(PLAIN[6:20]) for _ in range(2)] + [(7, PLAIN[20]), (8, PLAIN[20]), (9, PLAIN[20] + " end")]
+    table = spark.createDataFrame([(d, t, None, None, None, "mine") for d, t in rows], f"{SCHEMA}, copy string")
+    docs_, folder = spark.read.parquet, pipeline_folder(spark, tmp_path, table, range(3))
+    current = docs_(f"{folder}/documents.parquet")
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        current = function(spark, current, folder)
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in current.collect())
+    want = [(0, t) for i, t in enumerate(PLAIN[:6]) if i != 3] + [(100 + i, t) for i, t in enumerate(PLAIN[6:20])] + [(7, PLAIN[20])]
+    assert kept == sorted(want)
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == [*table.columns, "_copy"]
+    texts = [r["text"] for r in out.collect()]
+    assert {*texts} <= {t for _, t in want} and len(texts) >= len(want)  # one source: 150 % of its words
+
+
+def test_pipeline_leaves_one_copy_of_the_corpus(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    from lapforge.llm.common import shared_dir, staged_so_far
+
+    folder = pipeline_folder(spark, tmp_path, docs(spark, PLAIN), range(20))
+    before = staged_so_far()
+    corpus_pipeline.run(spark, folder)
+    left = [d for d in staged_so_far() - before]
+    names = [n for d in left for n in os.listdir(f"{shared_dir(spark).removeprefix('file://')}/{d}")]
+    assert names.count("decontamination") == 1 and not {"quality_rules", "line_dedup", "near_dedup", "measured", "lines", "signed", "sets"} & {*names}
