@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapforge.llm import decontaminate, line_dedup, mixing, near_dedup, quality
-from lapforge.llm.common import drop_stage, stage
+from lapforge.llm.common import drop_since, drop_stage, stage, staged_so_far
 from lapforge.llm.oracles import PIPELINE as ORACLE_SQL
 
 
@@ -54,7 +54,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES[:-1]:
+        mark = staged_so_far()
         docs = stage(function(spark, docs, sf_dir), name)
+        drop_since(spark, mark)  # the stage's own intermediate tables
         if before is not None:
             drop_stage(before)  # no later stage reads it: one copy of the corpus at a time
         before = docs
