@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.order_statistics import quantiles
+from ..functions.order_statistics import quantiles, with_rows_below
 from ..functions.scalars import finite, psi_severity
 
 FLOOR = 1e-4
 
 
-def _values(df: DataFrame, features: Sequence[str], side: str) -> DataFrame:
-    """(feature, v, and n: finite values), counted before any shuffle."""
+def _counted(frame: DataFrame, is_reference: Column, features: Sequence[str]) -> DataFrame:
+    """(feature, v, and r, c: finite values of the reference and of the rest), counted before any shuffle."""
     pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features]
-    long = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.feature", finite(F.col("x.v")).alias("v")).where("v is not null")
-    return long.select("feature", "v", *[F.lit(int(s == side)).alias(s) for s in ("r", "c")])
+    long = frame.select(is_reference.alias("ref"), F.explode(F.array(*pairs)).alias("x")).where("ref is not null")
+    long = long.select("ref", "x.feature", finite(F.col("x.v")).alias("v")).where("v is not null")
+    return long.groupBy("feature", "v").agg(F.count_if("ref").alias("r"), F.count_if(~F.col("ref")).alias("c"))
 
 
 def drift_report(reference: DataFrame, current: DataFrame, features: Sequence[str], n_bins: int = 10) -> DataFrame:
@@ -25,15 +26,23 @@ def drift_report(reference: DataFrame, current: DataFrame, features: Sequence[st
     ones are open; empty bins count FLOOR. One class of values only: 0. A feature that a side
     lacks, or has no finite value of, is unavailable."""
     both = [c for c in features if c in reference.columns and c in current.columns]
-    spark = reference.sparkSession
-    names = spark.createDataFrame([(c,) for c in features], "feature string")
+    side = lambda df, ref: df.select(F.lit(ref).alias("__ref"), *[F.col(c).cast("double").alias(c) for c in both])
+    return _report(side(reference, True).union(side(current, False)), F.col("__ref"), features, both, n_bins)
+
+
+def drift_within(frame: DataFrame, is_reference: Column, features: Sequence[str], n_bins: int = 10) -> DataFrame:
+    """drift_report of the rows of one frame for which is_reference is true against those for which it is
+    false (null: neither); the frame is read once."""
+    return _report(frame, is_reference, features, [c for c in features if c in frame.columns], n_bins)
+
+
+def _report(frame: DataFrame, is_reference: Column, features: Sequence[str], both: list[str], n_bins: int) -> DataFrame:
+    names = frame.sparkSession.createDataFrame([(c,) for c in features], "feature string")
     if not both:
         return names.select("feature", F.lit(None).cast("double").alias("psi"), F.lit("unavailable (column missing)").alias("severity"))
-    # one shuffle of counted values; edges and shares both come from it
-    values = _values(reference, both, "r").union(_values(current, both, "c"))
-    values = values.groupBy("feature", "v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    # the filter names both counts, so that all uses of values need the same columns and share its shuffle
-    edges = quantiles(values.where("r > 0 and c >= 0"), "v", [i / n_bins for i in range(n_bins + 1)], ["feature"], n="r")
+    # staged once: edges and shares both come from it
+    values = with_rows_below(_counted(frame, is_reference, both), "v", ["feature"], "r")
+    edges = quantiles(values, "v", [i / n_bins for i in range(n_bins + 1)], ["feature"], "r")
     edges = edges.select("feature", F.array_distinct("quantiles").alias("e"))
     # inner edges part the bins; a value on an edge belongs to the upper bin
     edges = edges.select("feature", F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))).alias("inner"), F.size("e").alias("n_edges"))

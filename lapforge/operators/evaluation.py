@@ -52,37 +52,43 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     )
 
 
-def _auc(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact ROC-AUC (Mann-Whitney with average ranks) for each group. Ranks come from running
-    totals over cells of p, so no task holds all scores of a group."""
-    ties = scored.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"))
-    ties = ties.where("pos >= 0")  # always: it makes both uses of ties need the same columns, so that they share its shuffle
-    ranked = with_rows_below(ties, "p", keys).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
-    sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("np"), F.sum("n").alias("nn"))
+def _tied(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p, n, pos, neg, ranked, below): a row for each distinct p of a group, staged by ranges of p.
+    Rows without p count in n alone; ranked are those with one, below the group's of lesser p."""
+    ties = scored.groupBy(*keys, "p").agg(
+        F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg")
+    )
+    return with_rows_below(ties.withColumn("ranked", F.when(F.col("p").isNotNull(), F.col("n")).otherwise(F.lit(0))), "p", keys, "ranked")
+
+
+def _auc_of() -> tuple[list[Column], Column]:
+    """(sums over a group's ties, ROC-AUC from them): Mann-Whitney with average ranks, exact."""
+    has = F.col("p").isNotNull()
+    rank = F.col("below") + (F.col("ranked") + 1) / 2
+    sums = [F.sum(F.when(has, rank * F.col("pos"))).alias("r"), F.sum(F.when(has, F.col("pos"))).alias("np"), F.sum("ranked").alias("nn")]
     neg = F.col("nn") - F.col("np")
     auc = (F.col("r") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * neg)
-    return sums.select(*keys, F.when((F.col("np") > 0) & (neg > 0), auc).alias("roc_auc"))
+    return sums, F.when((F.col("np") > 0) & (neg > 0), auc)
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
-    return _auc(scored.withColumn("__g", F.lit(0)), ["__g"]).select("roc_auc")
+    sums, auc = _auc_of()
+    return _tied(scored, []).agg(*sums).where("nn is not null").select(auc.alias("roc_auc"))
 
 
 def group_metrics(scored: DataFrame, group: str, threshold: float = 0.5, min_size: int = MIN_GROUP) -> DataFrame:
     """(group, n, roc_auc, precision, recall, f1), by group with null last; null where a group has
-    under min_size rows or one class only. The null group is a group."""
+    under min_size rows or one class only. The null group is a group. All comes from one table of ties."""
     hit = F.col("p") >= threshold
-    counts = scored.groupBy(group).agg(
-        F.count("*").alias("n"),
-        F.count_if(hit & (F.col("y") == 1)).alias("tp"),
-        F.count_if(hit & (F.col("y") != 1)).alias("fp"),
-        F.count_if(~hit & (F.col("y") == 1)).alias("fn"),
+    ties = _tied(scored, [group])
+    sums, auc = _auc_of()
+    total = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
+    groups = ties.groupBy(group).agg(
+        F.sum("n").alias("n"), total("pos", hit).alias("tp"), total("neg", hit).alias("fp"), total("pos", ~hit).alias("fn"), *sums
     )
-    auc = _auc(scored, [group]).withColumnRenamed(group, "__g")
-    joined = counts.join(auc, F.col(group).eqNullSafe(F.col("__g")))
-    fit = (F.col("n") >= min_size) & F.col("roc_auc").isNotNull()
-    named = {"roc_auc": F.col("roc_auc"), **_scores(F.col("tp"), F.col("fp"), F.col("fn"))}
-    return joined.select(group, "n", *[F.when(fit, v).alias(k) for k, v in named.items()]).orderBy(F.col(group).asc_nulls_last())
+    fit = (F.col("n") >= min_size) & auc.isNotNull()
+    named = {"roc_auc": auc, **_scores(F.col("tp"), F.col("fp"), F.col("fn"))}
+    return groups.select(group, "n", *[F.when(fit, v).alias(k) for k, v in named.items()]).orderBy(F.col(group).asc_nulls_last())
 
 
 def brier(scored: DataFrame) -> DataFrame:
@@ -103,18 +109,19 @@ def nearest_threshold(sweep: DataFrame, threshold: float) -> DataFrame:
 def reliability(scored: DataFrame, n_bins: int = 10, strategy: str = "quantile") -> DataFrame:
     """(bin, mean_predicted, observed_rate, n) for each bin that has rows. Quantile bins have
     equal counts (equal edges merge), uniform ones equal width; both are closed on the right."""
+    if strategy not in ("quantile", "uniform"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    counts = scored.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.count("y").alias("known")).where("p is not null")
     if strategy == "quantile":
-        counts = scored.groupBy(F.lit(0).alias("g"), "p").agg(F.count("*").alias("n")).where("p is not null")
-        limits = quantiles(counts, "p", [i / n_bins for i in range(n_bins + 1)], ["g"]).select(F.array_distinct("quantiles").alias("e"))
+        counts = with_rows_below(counts, "p")
+        limits = quantiles(counts, "p", [i / n_bins for i in range(n_bins + 1)]).select(F.array_distinct("quantiles").alias("e"))
         bin_ = F.greatest(F.lit(1), F.size(F.filter("e", lambda e: e < F.col("p"))))
-    elif strategy == "uniform":
-        limits = scored.agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    else:
+        limits = counts.agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
         place = F.ceil(F.try_divide((F.col("p") - F.col("lo")) * n_bins, F.col("hi") - F.col("lo")))
         bin_ = F.greatest(F.lit(1), F.least(F.lit(n_bins), F.coalesce(place, F.lit(1))))
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
     return (
-        scored.join(F.broadcast(limits))  # one row
+        counts.join(F.broadcast(limits))  # one row
         .groupBy(bin_.cast("long").alias("bin"))
-        .agg(F.avg("p").alias("mean_predicted"), F.avg("y").alias("observed_rate"), F.count("*").alias("n"))
+        .agg((F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("mean_predicted"), (F.sum("pos") / F.sum("known")).alias("observed_rate"), F.sum("n").alias("n"))
     )
