@@ -49,6 +49,19 @@ def normalize_compound(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.upper(F.trim(raw))), F.lit(UNKNOWN_COMPOUND))
 
 
+def known_compound(raw: Column) -> Column:
+    """Whether the vocabulary has this spelling; null and blank have none to know."""
+    name = F.upper(F.trim(raw))
+    return name.isNull() | (name == "") | name.isin(*COMPOUND_ALIASES)
+
+
+def to_boolean(c: Column, kind: T.DataType) -> Column:
+    """True, false, or null for what is neither; numbers other than 0 are true."""
+    if isinstance(kind, T.StringType):
+        return F.coalesce(c.try_cast("boolean"), nan_to_null(c.try_cast("double")) != 0)
+    return c.cast("boolean")
+
+
 def to_integer(c: Column) -> Column:
     """Numbers in any form as long; null if not numeric. A number with a fraction (or too large)
     fails the job, as a lap 3.7 that became lap 3 would repeat another."""

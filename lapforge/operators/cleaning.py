@@ -4,27 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import nan_to_null, normalize_compound, to_integer, to_seconds
-from ..functions.windows import TRACE, present_keys
-from ..schema import DURATION_COLUMNS, INTEGER_COLUMNS, RAW_TO_CANONICAL
+from ..functions.scalars import known_compound, nan_to_null, normalize_compound, to_boolean, to_integer, to_seconds
+from ..functions.windows import ORDER, TRACE, present_keys
+from ..schema import DURATION_COLUMNS, INCIDENTS, INTEGER_COLUMNS, RAW_TO_CANONICAL, WEATHER_COLUMNS
 
 MAD_SIGMA = 1.4826
 
 
-def normalize_laps(raw: DataFrame, session_key: str | None = None, unit: str = "auto", outliers: bool = True) -> DataFrame:
+def unreadable_counts(kinds: dict[str, T.DataType], unit: str = "auto") -> dict[str, Column]:
+    """For each text column of the contract that has to be read, how many of its cells hold something that
+    isn't a duration, a number, or a known compound."""
+    said = lambda c: F.trim(F.col(c)).isNotNull() & ~F.lower(F.trim(F.col(c))).isin("", "nan", "nat", "none", "null")
+    texts = [c for c, kind in kinds.items() if isinstance(kind, T.StringType)]
+    counts = {c: said(c) & to_seconds(F.col(c), kinds[c], unit).isNull() for c in DURATION_COLUMNS if c in texts}
+    counts |= {c: said(c) & F.col(c).try_cast("double").isNull() for c in (*INTEGER_COLUMNS, *WEATHER_COLUMNS) if c in texts}
+    if "tyre_compound" in texts:
+        counts["tyre_compound"] = ~known_compound(F.col("tyre_compound"))
+    return {c: F.count_if(odd) for c, odd in counts.items()}
+
+
+def normalize_laps(
+    raw: DataFrame, session_key: str | None = None, unit: str = "auto", outliers: bool = True, observation: Observation | None = None
+) -> DataFrame:
     """Raw laps in the canonical contract. Columns that are absent stay absent; nothing missing
-    is made up. ValueError if there is no session key."""
+    is made up. ValueError if there is no session key. observation: gets the counts of unreadable_counts
+    from whatever job runs over the laps first."""
     df = raw.withColumnsRenamed(RAW_TO_CANONICAL)
     if "session_key" not in df.columns:
         if session_key is None:
             raise ValueError("session_key is needed: the frame has no such column")
         df = df.withColumn("session_key", F.lit(session_key))
     kinds = {f.name: f.dataType for f in df.schema}
+    if observation is not None:
+        counts = unreadable_counts(kinds, unit)
+        df = df.observe(observation, F.count(F.lit(1)).alias("rows"), *[n.alias(c) for c, n in counts.items()])
     new: dict[str, Column] = {c: to_seconds(F.col(c), kinds[c], unit) for c in DURATION_COLUMNS if c in kinds}
     new |= {c: to_integer(F.col(c)) for c in INTEGER_COLUMNS if c in kinds}
     if "tyre_compound" in kinds:
@@ -34,16 +52,22 @@ def normalize_laps(raw: DataFrame, session_key: str | None = None, unit: str = "
     if "team_name" in kinds:
         new["team_name"] = F.trim(F.col("team_name").cast("string"))
     if "rainfall" in kinds:
-        new["rainfall"] = F.coalesce(F.col("rainfall").cast("boolean"), F.lit(False))
-    for c in ("air_temp", "track_temp", "wind_speed", "humidity"):
-        if c in kinds and isinstance(kinds[c], (T.DoubleType, T.FloatType)):
-            new[c] = nan_to_null(F.col(c))
+        new["rainfall"] = F.coalesce(to_boolean(F.col("rainfall"), kinds["rainfall"]), F.lit(False))
+    for c in WEATHER_COLUMNS:
+        if c in kinds and isinstance(kinds[c], (T.DoubleType, T.FloatType, T.StringType)):
+            new[c] = nan_to_null(F.col(c).try_cast("double"))
+    for c, digit in INCIDENTS.items():
+        told = [to_boolean(F.col(c), kinds[c])] if c in kinds else []
+        if "track_status" in kinds:
+            told.append(F.contains(F.col("track_status").cast("string"), F.lit(digit)))
+        if told:
+            new[c] = F.coalesce(*told, F.lit(False))
     df = df.withColumns(new)
     pit = [F.col(c).isNotNull() for c in ("pit_in_time", "pit_out_time") if c in kinds]
     if pit:
         is_pit = pit[0] | pit[-1]
     else:
-        is_pit = F.coalesce(F.col("is_pit_lap").cast("boolean"), F.lit(False)) if "is_pit_lap" in kinds else F.lit(False)
+        is_pit = F.coalesce(to_boolean(F.col("is_pit_lap"), kinds["is_pit_lap"]), F.lit(False)) if "is_pit_lap" in kinds else F.lit(False)
     df = df.withColumn("is_pit_lap", is_pit)
     if outliers and "lap_time_seconds" in kinds:
         df = flag_outliers(df, "lap_time_seconds", name="lap_time_outlier")
@@ -106,14 +130,14 @@ def impute_gaps(
     sample_interval_seconds: float | None = None,
     max_gap_seconds: float = 1.0,
     keys: Sequence[str] = TRACE,
-    order: Sequence[str] = ("lap_number",),
+    order: Sequence[str] = ORDER,
 ) -> DataFrame:
     """Short gaps carry the last value on; long ones, those at a trace's start and those of
     unknown length are sensor failures. A gap is filled whole or not at all. Adds
     <c>_imputed and <c>_sensor_failure; columns that df lacks are skipped."""
     if max_gap_seconds < 0:
         raise ValueError("max_gap_seconds must not be negative")
-    by = present_keys(df, keys)
+    by, order = present_keys(df, keys), present_keys(df, order)
     df = _with_interval(df, by, order, time_col, sample_interval_seconds)
     upto = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     for c in [c for c in columns if c in df.columns]:
@@ -137,11 +161,11 @@ def gap_events(
     sample_interval_seconds: float | None = None,
     max_gap_seconds: float = 1.0,
     keys: Sequence[str] = TRACE,
-    order: Sequence[str] = ("lap_number",),
+    order: Sequence[str] = ORDER,
 ) -> DataFrame:
     """One row for each gap of impute_gaps: keys, column, first_lap, n_samples,
     duration_seconds, action, reason."""
-    by = present_keys(df, keys)
+    by, order = present_keys(df, keys), present_keys(df, order)
     df = _with_interval(df, by, order, time_col, sample_interval_seconds)
     parts = []
     for c in [c for c in columns if c in df.columns]:

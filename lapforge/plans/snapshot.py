@@ -1,67 +1,48 @@
-"""Publishing validated laps: versioned folders behind an atomic pointer.
+"""Publishing validated laps as numbered versions.
 
-A snapshot is <root>/versions/<id>/laps.parquet with its report and meta beside it; the file
-<root>/CURRENT names the live version and is replaced in one step, so a reader always finds a
-whole snapshot. Frames that fail validation leave only a report under <root>/rejected/.
-Files are written through Hadoop's file system, so root may be on any store Spark can reach.
+A snapshot is a commit (see sources.commits): <root>/data/<stamp>/laps.parquet with its report and meta
+beside it, and an entry of the log that makes it version n. The last entry is the live one, so a reader
+always finds a whole snapshot, and of two publishers at once each makes a version of its own. Frames that
+fail validation leave only a report under <root>/rejected/. Files are written through Hadoop's file
+system, so root may be on any store Spark can reach.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.validation import ValidationConfig, ValidationReport, validate_laps
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside, then rename over: readers see the old text or the new one."""
-    fs, target = _fs(spark, path)
-    _, beside = _fs(spark, f"{path}.new")
-    out = fs.create(beside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    jvm = spark.sparkContext._jvm
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(beside, target, overwrite)
-
-
-def read_text(spark: SparkSession, path: str) -> str | None:
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return None
-    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+from ..sources.commits import CommitLog, put_text, read_text
 
 
 def publish(laps: DataFrame, root: str, meta: dict | None = None, config: ValidationConfig | None = None) -> ValidationReport:
     """Validate and, if that passes, make laps the live snapshot."""
     spark = laps.sparkSession
     report = validate_laps(laps, config)
-    stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+    now = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+    stamp = f"{now}-{uuid.uuid4().hex[:8]}"
     if not report.passed:
-        write_text(spark, f"{root}/rejected/{stamp}/validation_report.json", report.to_json())
+        put_text(spark, f"{root}/rejected/{stamp}/validation_report.json", report.to_json())
         return report
-    folder = f"{root}/versions/{stamp}"
+    folder = f"{root}/data/{stamp}"
     laps.write.parquet(f"{folder}/laps.parquet")
-    write_text(spark, f"{folder}/validation_report.json", report.to_json())
-    write_text(spark, f"{folder}/meta.json", json.dumps((meta or {}) | {"published_at": stamp}, sort_keys=True))
-    write_text(spark, f"{root}/CURRENT", stamp)
+    put_text(spark, f"{folder}/validation_report.json", report.to_json())
+    put_text(spark, f"{folder}/meta.json", json.dumps((meta or {}) | {"published_at": now}, sort_keys=True))
+    CommitLog(spark, root).commit(stamp, {"published_at": now})
     return report
 
 
-def load_snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, dict]:
-    """(laps, meta) of the live snapshot; FileNotFoundError if nothing was published."""
-    version = read_text(spark, f"{root}/CURRENT")
-    if version is None:
-        raise FileNotFoundError(f"no snapshot under {root}")
-    folder = f"{root}/versions/{version.strip()}"
-    return spark.read.parquet(f"{folder}/laps.parquet"), json.loads(read_text(spark, f"{folder}/meta.json") or "{}")
+def load_snapshot(spark: SparkSession, root: str, number: int | None = None) -> tuple[DataFrame, dict]:
+    """(laps, meta) of the live snapshot, or of a version by number; meta has the version. FileNotFoundError
+    if there is none."""
+    log = CommitLog(spark, root)
+    entry = log.entry(number)
+    if entry is None:
+        raise FileNotFoundError(f"no snapshot under {root}" if number is None else f"no version {number} under {root}")
+    folder = log.folder(entry["number"])
+    meta = json.loads(read_text(spark, f"{folder}/meta.json") or "{}")
+    return spark.read.parquet(f"{folder}/laps.parquet"), meta | {"version": entry["number"]}

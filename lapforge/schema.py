@@ -66,6 +66,9 @@ DURATION_COLUMNS = (
     "gap_to_car_in_front",
 )
 INTEGER_COLUMNS = ("driver_number", "lap_number", "tyre_life", "stint_number", "position")
+WEATHER_COLUMNS = ("air_temp", "track_temp", "wind_speed", "humidity")
+# The digit of a track status that stands for each incident.
+INCIDENTS = {"is_yellow_flag": "2", "is_safety_car_lap": "4", "is_red_flag": "5"}
 
 RACES_SCHEMA = T.StructType(
     [
@@ -82,6 +85,7 @@ RACES_SCHEMA = T.StructType(
 
 LAPS_SCHEMA = T.StructType(
     [
+        T.StructField("race_id", T.LongType()),
         T.StructField("session_key", T.StringType()),
         T.StructField("driver_number", T.LongType()),
         T.StructField("driver_code", T.StringType()),
@@ -100,6 +104,7 @@ LAPS_SCHEMA = T.StructType(
         T.StructField("tyre_life", T.LongType()),
         T.StructField("stint_number", T.LongType()),
         T.StructField("position", T.LongType()),
+        T.StructField("position_text", T.StringType()),
         T.StructField("gap_to_leader", T.DoubleType()),
         T.StructField("gap_to_car_in_front", T.DoubleType()),
         T.StructField("air_temp", T.DoubleType()),
@@ -108,6 +113,9 @@ LAPS_SCHEMA = T.StructType(
         T.StructField("humidity", T.DoubleType()),
         T.StructField("rainfall", T.BooleanType()),
         T.StructField("track_status", T.StringType()),
+        T.StructField("is_safety_car_lap", T.BooleanType()),
+        T.StructField("is_yellow_flag", T.BooleanType()),
+        T.StructField("is_red_flag", T.BooleanType()),
         T.StructField("circuit_name", T.StringType()),
         T.StructField("lap_time_outlier", T.BooleanType()),
     ]

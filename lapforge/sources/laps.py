@@ -1,19 +1,20 @@
-"""Sources and sinks of laps: derived laps, star load, race metadata, idempotent append."""
+"""Sources and sinks of laps: derived laps, sessions, star load, stored laps and traces."""
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Iterable, Sequence
-from itertools import product
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import normalize_compound
+from ..functions.windows import ORDER, TRACE
 from ..schema import LAPS_SCHEMA, RACES_SCHEMA
+from ..staging import stage
+from . import sessions
 
 log = logging.getLogger(__name__)
 
@@ -53,11 +54,6 @@ def laps_from_events(spark: SparkSession, sf_dir: str, with_nulls: bool = False)
     return laps
 
 
-def session_key(year: int, number: int) -> str:
-    """The key of a session: year and round."""
-    return f"{year}-{number}"
-
-
 def race_metadata(laps: DataFrame) -> DataFrame:
     """One row a session: drivers, laps, and the least name and date of those columns that laps has."""
     told = {c: F.min(c).alias(c) for c in ("race_name", "circuit_name", "session_date") if c in laps.columns}
@@ -72,50 +68,48 @@ def attach_races(laps: DataFrame, races: DataFrame, columns: Sequence[str] = ("y
     return laps.drop(*columns).join(races.select(on, *columns), on, "left")
 
 
-def load_star(laps: DataFrame, races: DataFrame, years: Sequence[int] | None = None, on: str = "race_id") -> DataFrame:
-    """laps joined with their race (small dimension: Spark broadcasts it by its size). An empty
-    result raises ValueError."""
+def load_star(laps: DataFrame, races: DataFrame, years: Sequence[int] | None = None, on: str | None = None) -> DataFrame:
+    """laps joined with their race (small dimension: Spark broadcasts it by its size). Other columns that both
+    have are the race's. on: session_key if both have it, else race_id; laps stored by session are then
+    pruned to the sessions of the years asked for, as the plan runs. An empty result raises ValueError."""
+    if on is None:
+        on = "session_key" if "session_key" in laps.columns and "session_key" in races.columns else "race_id"
     if years is not None:
         races = races.where(F.col("year").isin(list(years)))
-    joined = laps.join(races, on)
+    joined = laps.drop(*[c for c in races.columns if c != on]).join(races, on)
     if joined.isEmpty():
         raise ValueError("no laps for the chosen years")
     return joined
 
 
-READERS = ("parquet", "json", "csv")
+def _sessions(spark: SparkSession, root: str, years: Iterable[int], rounds: Iterable[int]) -> tuple[DataFrame, DataFrame]:
+    sessions.register(spark)
+    listed = lambda numbers: ",".join(str(x) for x in numbers)
+    read = spark.read.format(sessions.FORMAT).option("years", listed(years)).option("rounds", listed(rounds)).load(root)
+    table = stage(read, "sessions")  # the files are read once
+    failures = table.where("failure is not null").select("session_key", "year", "round", "kind", "failure")
+    return table.where("failure is null").drop("kind", "failure"), failures
 
 
 def fetch_session(spark: SparkSession, root: str, year: int, number: int) -> tuple[DataFrame, dict] | tuple[None, None]:
-    """(laps, meta) of one session from <root>/<year>-<round>.parquet, .json or .csv, on any store
-    Spark reads; (None, None) if none of them can be read. meta: session_key, year, round."""
-    key = session_key(year, number)
-    for kind in READERS:
-        try:
-            reader = spark.read.option("header", True).option("inferSchema", True) if kind == "csv" else spark.read
-            frame = reader.format(kind).load(f"{root}/{key}.{kind}")
-        except AnalysisException:
-            continue
-        return frame.withColumn("session_key", F.lit(key)), {"session_key": key, "year": year, "round": number}
-    return None, None
-
-
-def fetch_seasons(spark: SparkSession, root: str, years: Iterable[int], rounds: Iterable[int]) -> DataFrame:
-    """All sessions of years x rounds as one frame with year, columns as found (absent ones are null).
-    Sessions that can't be read are logged and skipped, empty ones dropped."""
-    frames = []
-    for year, number in product(years, list(rounds)):
-        frame, meta = fetch_session(spark, root, year, number)
-        if frame is None:
-            log.warning("no session %s under %s", session_key(year, number), root)
-        elif not frame.isEmpty():
-            frames.append(frame.withColumn("year", F.lit(meta["year"])))
-    if not frames:
+    """(laps, meta) of one session under root (see sources.sessions); (None, None) if it can't be read.
+    meta: session_key, year, round."""
+    laps, failures = _sessions(spark, root, [year], [number])
+    if failure := failures.first():
+        log.warning("session %s: %s", failure["session_key"], failure["failure"])
+        return None, None
+    return laps, {"session_key": sessions.session_key(year, number), "year": year, "round": number}
+
+
+def fetch_seasons(spark: SparkSession, root: str, years: Iterable[int], rounds: Iterable[int]) -> tuple[DataFrame, DataFrame]:
+    """(laps, failures) of all sessions of years x rounds, from one scan that reads each session in a task of its
+    own. laps: the sessions' cells as text with session_key, year, round and row_id; absent columns are
+    null. failures: (session_key, year, round, kind: missing or unreadable, failure). ValueError if no session
+    could be read."""
+    laps, failures = _sessions(spark, root, years, rounds)
+    if laps.isEmpty():
         raise ValueError("no session could be read")
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame, allowMissingColumns=True)
-    return out
+    return laps, failures
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
@@ -123,22 +117,6 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema if f.name in df.columns])
 
 
-def new_races(candidates: DataFrame, races: DataFrame) -> DataFrame:
-    """Candidates not yet in the race table, by (year, race_name)."""
-    return candidates.join(races.select("year", "race_name"), ["year", "race_name"], "left_anti")
-
-
-def append_races(candidates: DataFrame, path: str) -> None:
-    """Adds the races that the table under path doesn't have; makes it by the contract if it is absent."""
-    spark = candidates.sparkSession
-    rows = conform(candidates, RACES_SCHEMA).dropDuplicates(["year", "race_name"])
-    try:
-        rows = new_races(rows, spark.read.schema(RACES_SCHEMA).parquet(path))
-    except AnalysisException:
-        pass  # no table yet
-    rows.select(*[f.name for f in RACES_SCHEMA if f.name in rows.columns]).write.mode("append").parquet(path)
-
-
 def write_laps(laps: DataFrame, path: str) -> None:
     """Laps by the contract (whose columns alone are stored), partitioned by session and sorted by trace
     in each file; a session that is written again replaces itself."""
@@ -147,6 +125,25 @@ def write_laps(laps: DataFrame, path: str) -> None:
     rows.sortWithinPartitions(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_key").parquet(path)
 
 
+def read_laps(spark: SparkSession, path: str) -> DataFrame:
+    """What write_laps stored; columns of the contract that no session has are null."""
+    return spark.read.schema(LAPS_SCHEMA).parquet(path)
+
+
+def save_traces(laps: DataFrame, table: str, buckets: int = 200) -> None:
+    """Laps as a catalog table whose buckets hold whole traces, sorted by lap, one file a bucket: windows over
+    traces (and over stints, which lie in a trace) need no exchange, nor, read by trace_table, a sort."""
+    keys = [c for c in TRACE if c in laps.columns]
+    order = [*keys, *[c for c in ORDER if c in laps.columns]]
+    laps.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*order).format("parquet").saveAsTable(table)
+
+
+def trace_table(spark: SparkSession, table: str) -> DataFrame:
+    """A table of save_traces. Lets Spark rely on the order in a bucket's one file, for this session."""
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    return spark.table(table)
+
+
 def create_tables(spark: SparkSession, laps: str = "laps", races: str = "races") -> None:
     """Both tables of the contract in the session's catalog, if they are absent."""
     for name, schema, by in ((laps, LAPS_SCHEMA, " PARTITIONED BY (session_key)"), (races, RACES_SCHEMA, "")):
