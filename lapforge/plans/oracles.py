@@ -281,4 +281,43 @@ select threshold::double as threshold, tp, fp, fn from sweep order by abs(thresh
     "scaler_fit": f"with {_CURRENT}, long as (unpivot (select "
     + ", ".join(f"coalesce({c}, 0)::double as {c}" for c in ("gap_to_leader", "tyre_age", "pit_delta", "degradation_rate", "stint_age_squared", "race_progress", "pace_delta", "gap_closing_rate", "relative_pace_delta"))
     + " from current where year = 2018) on columns(*) into name feature value v) select feature, round(avg(v), 4) as mean, round(stddev_pop(v), 4) as deviation from long group by 1",
+    "combined_metrics": f"""with {_CURRENT}
+select {_KEYS}, round(coalesce(pace_delta, 0) - coalesce(relative_pace_delta, 0), 6) as pace_balance,
+  round((coalesce(pace_delta, 0) - coalesce(relative_pace_delta, 0)) / (tyre_age + 1), 6) as balance_by_age from current""",
+    "race_merge": f"""with {_LAPS}, sessions as (
+  select 'U' || driver_number as session_key, (2018 + driver_number % 7)::int as year, 'R' || (driver_number % 40) as race_name,
+    driver_number % 2 = 0 as early, max(lap_number)::bigint as num_laps from laps group by driver_number
+), named as (
+  select year, race_name, bool_or(early) as early, arg_min(session_key, (not early, session_key)) as session_key,
+    arg_min(num_laps, (not early, session_key)) as num_laps from sessions group by year, race_name
+)
+select row_number() over (order by not early, year, race_name)::bigint as race_id, session_key, year, race_name,
+  1::bigint as num_drivers, num_laps from named""",
+    "stored_star": f"""with {_LAPS}
+select rank() over (order by session_key)::bigint as race_id, session_key, 'R' || session_key as race_name, 2018::int as year,
+  count(*)::bigint as n_laps, round(sum(lap_time_seconds), 3) as total from laps where session_key < 'S3' group by session_key""",
+    "normalize_counts": f"""with {_LAPS}
+select 'rows' as "column", count(*)::bigint as n from laps
+union all select 'lap_time_seconds', count(*) filter (event_id % 5 = 0) from laps
+union all select 'lap_number', count(*) filter (event_id % 7 = 0) from laps
+union all select 'air_temp', count(*) filter (event_id % 9 = 0) from laps
+union all select 'tyre_compound', count(*) filter (event_type = 'error') from laps""",
+    "stratified_folds": f"""with {_CURRENT}, sizes as (select y, count(*) as k from current group by y), folds as (select unnest(range(0, 5)) as fold)
+select y, fold, ((k + 4 - fold) // 5)::bigint as n from sizes, folds""",
+    "policy_sweep": f"""with {_sweep("list_transform(range(0, 18), lambda i: 0.1 + 0.05 * i)")}
+select threshold::double as threshold, case when threshold < 0.5 then 'coverage-first' when threshold < 0.7 then 'balanced' else 'intervention-first' end as style,
+  tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1,
+  round((tp + fp) / (select count(*) from scored), 6) as flagged_share from sweep""",
+    "race_state": f"""with {_CURRENT}
+select session_key, driver_number, max(lap_number) as lap_number, arg_max(p, lap_number) as p,
+  case when arg_max(p, lap_number) < 0.7::double * 0.6::double then 'Unlikely near-term' when arg_max(p, lap_number) < 0.6 then 'Monitor' else 'Investigate pit window' end as action
+from scored group by 1, 2""",
+    "model_review": f"""with {_CURRENT}, counts as (
+  select count(*) as laps, avg(y) as base_rate, avg((p - y) * (p - y)) as brier, count(*) filter (p >= 0.55 and y = 1) as tp,
+    count(*) filter (p >= 0.55 and y <> 1) as fp, count(*) filter (p < 0.55 and y = 1) as fn from scored
+), rates as (select laps, base_rate, brier, {_SCORES} from counts
+), one as (select *, {_F1} as f1 from rates),
+long as (unpivot (select laps::double as laps, base_rate::double as base_rate, brier::double as brier, tp::double as tp, fp::double as fp, fn::double as fn,
+  precision::double as precision, recall::double as recall, f1::double as f1 from one) on columns(*) into name measure value v)
+select measure, round(v, 6) as value from long""",
 }

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import action_label, to_seconds
-from ..operators import cleaning, drift, evaluation, metrics, target, validation
+from ..operators import asof, cleaning, drift, evaluation, metrics, target, validation
 from ..sources import laps as sources
+from ..sources import races
 from ..sources.laps import laps_from_events, race_metadata
-from . import training
+from ..staging import drop_stage, shared_dir, stage
+from . import ingest, training
 
 KEYS = ["session_key", "driver_number", "lap_number"]
 
@@ -58,11 +61,23 @@ def metrics_without_stint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions live on the days of the events (a range join with the registry)."""
+    """Versions live on the days of the events: an as-of join with the registry."""
     registry = metrics.REGISTRY.table(spark).select("key", "version", "since", "until")
     days = _table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n_events"))
-    live = (F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
-    return days.join(F.broadcast(registry), live).groupBy("key", "version").agg(F.count("*").alias("n_days"), F.sum("n_events").alias("n_events"))
+    days = days.withColumn("key", F.explode(F.array(*map(F.lit, metrics.REGISTRY.keys()))))
+    live = asof.as_of_join(days, registry, "day", ["key"]).where("version is not null")
+    return live.groupBy("key", "version").agg(F.count("*").alias("n_days"), F.sum("n_events").alias("n_events"))
+
+
+def combined_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's metrics over registered ones, and over each other."""
+    registry = metrics.MetricRegistry(metrics.REGISTRY.rows)
+    own = {"unit": "seconds", "owner": "analyst", "definition": "pace against own and against the field", "until": None, "since": date(2024, 1, 1), "version": "v1"}
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    registry.register(metrics.MetricVersion("pace_balance", title="Balance", uses=("pace_delta", "relative_pace_delta"), column=lambda m: zero(m["pace_delta"]) - zero(m["relative_pace_delta"]), **own))
+    registry.register(metrics.MetricVersion("balance_by_age", title="Balance by age", uses=("pace_balance@v1", "tyre_age"), column=lambda m: m["pace_balance@v1"] / (m["tyre_age"] + 1), **own))
+    out = metrics.with_all_metrics(_laps(spark, sf_dir), registry=registry)
+    return out.select(*KEYS, r6("pace_balance").alias("pace_balance"), r6("balance_by_age").alias("balance_by_age"))
 
 
 def derive_stint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,14 +285,13 @@ def _reliability(strategy: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    laps = _with_current(spark, sf_dir)
-    out = drift.drift_report(laps.where("year = 2018"), laps.where("year = 2024"), ["lap_time_seconds", "tyre_age", "race_progress", "no_such_column"])
+    since = F.when(F.col("year") == 2018, True).when(F.col("year") == 2024, False)
+    out = drift.drift_within(_with_current(spark, sf_dir), since, ["lap_time_seconds", "tyre_age", "race_progress", "no_such_column"])
     return out.select("feature", F.round("psi", 5).alias("psi"), "severity")
 
 
 def psi_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").select("o_totalprice", (F.month("o_orderdate") <= 6).alias("first_half"))
-    out = drift.drift_report(orders.where("first_half"), orders.where("not first_half"), ["o_totalprice"])
+    out = drift.drift_within(_table(spark, sf_dir, "orders"), F.month("o_orderdate") <= 6, ["o_totalprice"])
     return out.select("feature", F.round("psi", 5).alias("psi"), "severity")
 
 
@@ -308,11 +322,71 @@ def base_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def race_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laps with the columns of their race, of the years asked for, from the loader of training."""
     laps = _laps(spark, sf_dir)
-    races = race_metadata(laps).withColumn("year", F.when(F.col("session_key") < "S3", 2018).otherwise(2024))
-    loaded = sources.load_star(laps.drop("circuit_name", "year"), races, [2018], on="session_key")
+    told = race_metadata(laps).withColumn("year", F.when(F.col("session_key") < "S3", 2018).otherwise(2024))
+    loaded = sources.load_star(laps.drop("circuit_name", "year"), told, [2018], on="session_key")
     return loaded.groupBy("session_key", "year", "circuit_name").agg(F.count("*").alias("n_laps"), F.max("num_drivers").alias("num_drivers"))
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lapforge-{uuid.uuid4().hex}"
+
+
+def race_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The race table after two ingests: a session for each user, of which several may run one race. The second
+    ingest brings all sessions, those of the first keep their ids."""
+    user = F.col("driver_number")
+    race = {"session_key": F.concat(F.lit("U"), user.cast("string")), "year": (2018 + user % 7).cast("int"), "race_name": F.concat(F.lit("R"), (user % 40).cast("string"))}
+    candidates = races.race_candidates(_laps(spark, sf_dir).drop("circuit_name").withColumns(race))
+    path = _folder(spark)
+    races.append_races(candidates.where(F.substring("session_key", 2, 20).cast("long") % 2 == 0), path)
+    table = races.append_races(candidates, path)
+    return table.select("race_id", "session_key", "year", "race_name", "num_drivers", "num_laps")
+
+
+def stored_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laps written by session with their race_id, read back with the races of one year."""
+    laps = _laps(spark, sf_dir).drop("circuit_name")
+    laps = laps.withColumns({"year": F.when(F.col("session_key") < "S3", 2018).otherwise(2024), "race_name": F.concat(F.lit("R"), F.col("session_key"))})
+    root = _folder(spark)
+    candidates = races.race_candidates(laps)
+    table = races.append_races(candidates, ingest.races_path(root))
+    sources.write_laps(races.with_race_ids(laps, candidates, table), ingest.laps_path(root))
+    star = ingest.stored_star(spark, root, [2018])
+    return star.groupBy("race_id", "session_key", "race_name", "year").agg(F.count("*").alias("n_laps"), F.round(F.sum("lap_time_seconds"), 3).alias("total"))
+
+
+def normalize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What normalizing couldn't read, counted by the job that writes the laps."""
+    i = F.col("event_id")
+    time = F.when(i % 5 == 0, "not-a-time").when(i % 5 == 1, " ").when(i % 5 == 2, F.lit(None)).when(i % 5 == 3, "1:32.5").otherwise(F.col("lap_time_seconds").cast("string"))
+    raw = _laps(spark, sf_dir, nulls=False).select(
+        "session_key", F.col("driver_number").alias("DriverNumber"), F.when(i % 7 == 0, "x").otherwise(F.col("lap_number").cast("string")).alias("LapNumber"),
+        time.alias("LapTime"), F.when(i % 9 == 0, "hot").otherwise("28.5").alias("AirTemp"), F.col("tyre_compound_raw").alias("Compound"),
+    )
+    counted = Observation("unreadable")
+    drop_stage(stage(cleaning.normalize_laps(raw, observation=counted), "normalized"))
+    return spark.createDataFrame([(c, n) for c, n in counted.get.items()], "column string, n long")
+
+
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the folds of each label."""
+    folded = training.with_folds(_scored(spark, sf_dir).select(*KEYS, "y"), 5)
+    return folded.groupBy("y", F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"))
+
+
+def policy_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = training.policy_sweep(_scored(spark, sf_dir))
+    return out.select("threshold", "style", "tp", "fp", "fn", *[r6(c).alias(c) for c in ("precision", "recall", "f1", "flagged_share")])
+
+
+def race_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.race_state(_scored(spark, sf_dir), 0.6)
+
+
+def model_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.review(_scored(spark, sf_dir), 0.55).select("measure", r6("value").alias("value"))
+
+
 def nearest_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluation.nearest_threshold(evaluation.threshold_sweep(_scored(spark, sf_dir), training.GRID), 0.3333)
     return out.select("threshold", "tp", "fp", "fn")
@@ -328,6 +402,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lap_gaps, monotonic_gap, stint_reset, dup_laps, dup_positions, bounds, sigma_count, validation_report,
         circuit_loss_fit, circuit_loss_apply, pit_targets, star_load, threshold_sweep, best_threshold, group_metrics,
         roc_auc, brier, brier_by_group, drift_report, psi_orders, action_labels, scaler_fit, train_logistic,
-        base_rates, race_star, nearest_threshold,
+        base_rates, race_star, nearest_threshold, combined_metrics, race_merge, stored_star, normalize_counts,
+        stratified_folds, policy_sweep, race_state, model_review,
     )
 } | {"reliability_quantile": _reliability("quantile"), "reliability_uniform": _reliability("uniform")}

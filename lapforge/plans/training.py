@@ -13,9 +13,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.order_statistics import with_rows_below
+from ..functions.scalars import action_label
 from ..operators import evaluation
 from ..operators.metrics import with_all_metrics
 from ..operators.target import with_target
+from ..sources.commits import put_text, read_text
+from ..staging import drop_since, stage, staged_so_far
 
 FEATURES = (
     "gap_to_leader", "tyre_age", "pit_delta", "degradation_rate", "stint_age_squared",
@@ -28,7 +32,8 @@ GRID = tuple(round(0.1 + 0.01 * i, 2) for i in range(80))
 def training_frame(laps: DataFrame, label: str = "pit_next_5_laps") -> DataFrame:
     """Metrics and label on whole traces; filters come after, or windows would be cut."""
     frame = with_target(with_all_metrics(laps))
-    return frame.select(*laps.columns, *[F.col(c).cast("double").alias(c) for c in FEATURES], F.col(label).cast("double").alias("y")).fillna(0.0, list(FEATURES))
+    others = [c for c in laps.columns if c not in FEATURES]  # a feed's own gap gives way to the metric
+    return frame.select(*others, *[F.col(c).cast("double").alias(c) for c in FEATURES], F.col(label).cast("double").alias("y")).fillna(0.0, list(FEATURES))
 
 
 def temporal_split(frame: DataFrame, train_years: Sequence[int] = TRAIN_YEARS, test_years: Sequence[int] = TEST_YEARS) -> tuple[DataFrame, DataFrame]:
@@ -68,14 +73,31 @@ def candidate_models(trees: int = 100, rounds: int = 200) -> dict[str, Pipeline]
     return {k: Pipeline(stages=[assemble, m]) for k, m in models.items()}
 
 
-def fit_on_years(laps: DataFrame, pipeline: Pipeline) -> tuple[PipelineModel, dict[str, tuple[float, float]], DataFrame, DataFrame]:
-    """(model, scaler, scaled train, scaled test). The frame with all its windows is computed once and
-    persisted: scaler, class weight and fit read it, and so do the parts that are returned."""
-    frame = training_frame(laps).select("session_key", "driver_number", "lap_number", "year", *FEATURES, "y").persist()
-    train, test = temporal_split(frame)
+def split_on_years(
+    laps: DataFrame, train_years: Sequence[int] = TRAIN_YEARS, test_years: Sequence[int] = TEST_YEARS
+) -> tuple[dict[str, tuple[float, float]], DataFrame, DataFrame]:
+    """(scaler, scaled train with class weights, scaled test). The frame with all its windows is computed once
+    and staged: scaler, class weights and every later fit read it, and nothing is left cached."""
+    frame = training_frame(laps).select("session_key", "driver_number", "lap_number", "year", *FEATURES, "y")
+    train, test = temporal_split(stage(frame, "training"), train_years, test_years)
     scaler = fit_scaler(train)
-    train, test = with_class_weight(scale(train, scaler)), scale(test, scaler)
-    return pipeline.fit(train), scaler, train, test
+    return scaler, with_class_weight(scale(train, scaler)), scale(test, scaler)
+
+
+def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+    """The fitted pipeline without its training summaries. A summary holds the session, which goes to the tasks
+    with the model, and can't once anything was observed in it."""
+    model = pipeline.fit(train)
+    for part in model.stages:
+        if getattr(part, "hasSummary", False):
+            part._java_obj.setSummary(train.sparkSession.sparkContext._jvm.scala.Option.empty())
+    return model
+
+
+def fit_on_years(laps: DataFrame, pipeline: Pipeline) -> tuple[PipelineModel, dict[str, tuple[float, float]], DataFrame, DataFrame]:
+    """(model, scaler, scaled train, scaled test)."""
+    scaler, train, test = split_on_years(laps)
+    return fit(pipeline, train), scaler, train, test
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -83,12 +105,15 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def with_folds(df: DataFrame, k: int = 5, group: str | None = None) -> DataFrame:
-    """Folds by hash, within each label (so both labels are spread over all), or whole groups."""
+    """Exact stratified folds: the rows of a label are shuffled by a hash and dealt in turn, so that its folds
+    differ by a row at most. Places in the shuffle come from running totals over sorted ranges; no task sees all
+    rows of a label. Or whole groups by hash."""
     if group is not None:
         return df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))
-    # dealt by a hash of the row alone: fold sizes of a label differ by about a root of them
-    keys = [c for c in ("session_key", "driver_number", "lap_number") if c in df.columns]
-    return df.withColumn("fold", F.pmod(F.xxhash64("y", *keys), F.lit(k)).cast("int"))
+    keys = [c for c in ("session_key", "driver_number", "lap_number") if c in df.columns] or df.columns
+    dealt = df.withColumns({"__h": F.xxhash64(F.lit(42), *keys), "__t": F.xxhash64(*df.columns), "__one": F.lit(1)})
+    dealt = with_rows_below(dealt, ["__h", "__t"], ["y"], n="__one", name="__at")
+    return dealt.withColumn("fold", (F.col("__at") % k).cast("int")).drop("__h", "__t", "__one", "__at")
 
 
 def cross_validate(models: dict[str, Pipeline], train: DataFrame, k: int = 5, group: str | None = None) -> dict[str, float]:
@@ -98,8 +123,8 @@ def cross_validate(models: dict[str, Pipeline], train: DataFrame, k: int = 5, gr
     for name, pipeline in models.items():
         aucs = []
         for f in range(k):
-            model = pipeline.fit(folded.where(F.col("fold") != f))
-            value = evaluation.roc_auc(score(model, folded.where(F.col("fold") == f))).first()
+            model = fit(pipeline, folded.where(F.col("fold") != f))
+            value = evaluation.roc_auc(score(model, folded.where(F.col("fold") == f)).select("y", "p")).first()
             if value is not None and value[0] is not None:
                 aucs.append(value[0])
         out[name] = sum(aucs) / len(aucs) if aucs else float("nan")
@@ -149,19 +174,45 @@ def gate(scored: DataFrame, metrics: dict, features: Sequence[str] = FEATURES) -
     return GateDecision(True, "ok")
 
 
-def save_artifacts(model: PipelineModel, scaler: dict, metrics: dict, test: DataFrame, path: str) -> None:
-    from .snapshot import write_text
+def train(
+    laps: DataFrame,
+    path: str,
+    train_years: Sequence[int] = TRAIN_YEARS,
+    test_years: Sequence[int] = TEST_YEARS,
+    chosen: str = "gradient_boosting",
+    models: dict[str, Pipeline] | None = None,
+    folds: int = 5,
+) -> dict:
+    """Split, scale, cross-validate all models, fit the chosen one, tune its threshold, gate, save under path; the
+    metrics that were saved. ValueError if a part has no rows or the gate refuses."""
+    mark = staged_so_far()
+    models = models or candidate_models()
+    scaler, train_part, test = split_on_years(laps, train_years, test_years)
+    size = train_part.count()
+    if not size or test.isEmpty():
+        raise ValueError("no laps to train on" if not size else "no laps to test on")
+    scores = cross_validate(models, train_part, folds)
+    model = fit(models[chosen], train_part)
+    scored = stage(score(model, test).select(*test.columns, "p"), "scored")
+    threshold, _ = tune_threshold(scored)
+    told = held_out_metrics(scored, threshold, size) | {"model": chosen, "features": list(FEATURES), "cv_scores": scores}
+    decision = gate(scored, told)
+    if not decision.accepted:
+        raise ValueError(f"artifact refused: {decision.reason}")
+    save_artifacts(model, scaler, told, test, path)
+    drop_since(laps.sparkSession, mark, keep_last=False)
+    return told
+
 
+def save_artifacts(model: PipelineModel, scaler: dict, metrics: dict, test: DataFrame, path: str) -> None:
     model.write().overwrite().save(f"{path}/model")
     test.write.mode("overwrite").parquet(f"{path}/test.parquet")
-    write_text(test.sparkSession, f"{path}/metrics.json", json.dumps(metrics))
-    write_text(test.sparkSession, f"{path}/scaler.json", json.dumps(scaler))
+    put_text(test.sparkSession, f"{path}/metrics.json", json.dumps(metrics))
+    put_text(test.sparkSession, f"{path}/scaler.json", json.dumps(scaler))
 
 
 def load_artifacts(spark: SparkSession, path: str) -> tuple[PipelineModel, dict, dict, DataFrame]:
     """(model, scaler, metrics, test); refuses what the gate refuses."""
-    from .snapshot import read_text
-
     model = PipelineModel.load(f"{path}/model")
     metrics = json.loads(read_text(spark, f"{path}/metrics.json") or "{}")
     scaler = json.loads(read_text(spark, f"{path}/scaler.json") or "{}")
@@ -188,11 +239,28 @@ def feature_importances(model: PipelineModel) -> list[tuple[str, float]]:
 
 
 def policy_sweep(scored: DataFrame) -> DataFrame:
-    """Quality at each threshold from 0.1 in steps of 0.05, with the share of laps flagged."""
+    """Quality at each threshold from 0.1 in steps of 0.05, with the share of laps flagged and the style of
+    decision that the threshold stands for."""
     steps = [round(0.1 + 0.05 * i, 2) for i in range(18)]
-    sweep = evaluation.threshold_sweep(scored, steps)
-    n = scored.count()
-    return sweep.withColumn("flagged_share", (F.col("tp") + F.col("fp")) / F.lit(max(n, 1)))
+    sweep = evaluation.threshold_sweep(scored, steps).join(F.broadcast(scored.agg(F.count("*").alias("__n"))))  # one row
+    style = F.when(F.col("threshold") < 0.5, "coverage-first").when(F.col("threshold") < 0.7, "balanced").otherwise("intervention-first")
+    flagged = F.coalesce(F.try_divide(F.col("tp") + F.col("fp"), F.col("__n")), F.lit(0.0))
+    return sweep.withColumns({"flagged_share": flagged, "style": style}).drop("__n")
+
+
+def race_state(scored: DataFrame, threshold: float) -> DataFrame:
+    """Of each trace its last lap: session_key, driver_number, lap_number, p and the action to take."""
+    last = scored.groupBy("session_key", "driver_number").agg(F.max(F.struct("lap_number", "p")).alias("x"))
+    return last.select("session_key", "driver_number", "x.lap_number", "x.p", action_label(F.col("x.p"), threshold).alias("action"))
+
+
+def review(scored: DataFrame, threshold: float) -> DataFrame:
+    """What a model review shows, as (measure, value): base rate, Brier score, and counts and scores at the
+    threshold."""
+    one = evaluation.threshold_sweep(scored, [threshold]).join(F.broadcast(evaluation.brier(scored)))  # one row each
+    one = one.join(F.broadcast(scored.agg(F.avg("y").alias("base_rate"), F.count("*").alias("laps"))))
+    shown = ("laps", "base_rate", "brier", "tp", "fp", "fn", "precision", "recall", "f1")
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in shown])).alias("x")).select("x.*")
 
 
 #: What release notes tell of an artifact's metrics; other keys are passed over.
