@@ -273,7 +273,9 @@ def test_publish_and_load(spark, tmp_path):
     snapshot.publish(df, root, {"n": 1})
     snapshot.publish(df.where("session_key = 'S0'"), root, {"n": 2})
     laps, meta = snapshot.load_snapshot(spark, root)
-    assert laps.count() == 40 and meta["n"] == 2
+    assert laps.count() == 40 and meta["n"] == 2 and meta["version"] == 2
+    first, meta = snapshot.load_snapshot(spark, root, 1)
+    assert first.count() == 80 and meta["n"] == 1
 
 
 def test_stale_view_is_found(tmp_path):
@@ -285,36 +287,6 @@ def test_stale_view_is_found(tmp_path):
         cli.main(["view", file, "--as-of", "not-a-day"])
 
 
-def test_sessions_of_several_seasons(spark, tmp_path):
-    root, df = str(tmp_path), clean_laps(spark)
-    df.where("session_key = 'S0'").write.parquet(f"{root}/2023-1.parquet")
-    df.where("session_key = 'S1'").drop("position").write.json(f"{root}/2024-1.json")
-    df.limit(0).write.parquet(f"{root}/2024-2.parquet")
-    df.where("session_key = 'S0' and driver_number = 1").write.option("header", True).csv(f"{root}/2024-3.csv")
-    assert sources.fetch_session(spark, root, 2020, 1) == (None, None)
-    laps = sources.fetch_seasons(spark, root, [2023, 2024], range(1, 5))
-    assert {(r["session_key"], r["year"]): r["count"] for r in laps.groupBy("session_key", "year").count().collect()} == {("2023-1", 2023): 40, ("2024-1", 2024): 40, ("2024-3", 2024): 20}
-    assert laps.where("position is null").count() == 40
-    with pytest.raises(ValueError):
-        sources.fetch_seasons(spark, root, [2020], [1])
-
-
-def test_star_and_race_table(spark, tmp_path):
-    laps = clean_laps(spark).withColumn("race_id", F.when(F.col("session_key") == "S0", 1).otherwise(2).cast("long"))
-    races = spark.createDataFrame([(1, "S0", 2023, "A", "x"), (3, "S9", 2024, "B", "y")], "race_id long, session_key string, year int, race_name string, circuit_name string")
-    assert sources.load_star(laps, races.drop("session_key"), [2023]).count() == 40
-    with pytest.raises(ValueError):
-        sources.load_star(laps, races.drop("session_key"), [2024])
-    joined = sources.attach_races(laps, races)
-    assert joined.count() == 80 and joined.where("year is null").count() == 40
-    path = str(tmp_path / "races")
-    sources.append_races(races.union(races), path)
-    sources.append_races(races.union(spark.createDataFrame([(4, "S4", 2023, "B", "z")], races.schema)), path)
-    assert spark.read.parquet(path).count() == 3
-    meta = sources.race_metadata(clean_laps(spark).withColumn("race_name", F.lit("R"))).orderBy("session_key").first()
-    assert (meta["num_drivers"], meta["num_laps"], meta["race_name"]) == (2, 20, "R")
-
-
 def test_tables_of_the_contract(spark):
     sources.create_tables(spark, "lapforge_t_laps", "lapforge_t_races")
     try:
@@ -364,12 +336,45 @@ def test_order_statistics_are_exact(spark):
     rows = [(g, float(v)) for g, x in groups.items() for v in x]
     counts = spark.createDataFrame(rows, "g string, v double").groupBy("g", "v").agg(F.count("*").alias("n"))
     cuts = [0, 0.1, 0.25, 0.5, 0.9, 0.999, 1]
-    got = {x["g"]: x["quantiles"] for x in order_statistics.quantiles(counts, "v", cuts, ["g"]).collect()}
+    below = order_statistics.with_rows_below(counts, "v", ["g"])
+    got = {x["g"]: x["quantiles"] for x in order_statistics.quantiles(below, "v", cuts, ["g"]).collect()}
     assert got.keys() == groups.keys()
     for g, x in groups.items():
         assert got[g] == pytest.approx(list(np.quantile(x, cuts)), rel=1e-12), g
-    for x in order_statistics.with_rows_below(counts, "v", ["g"]).collect():
+    rows = below.collect()
+    assert len(rows) == counts.count()
+    for x in rows:
         assert x["below"] == (groups[x["g"]] < x["v"]).sum()
+    none = order_statistics.with_rows_below(counts.limit(0), "v", ["g"])
+    assert none.count() == 0 and order_statistics.quantiles(none, "v", cuts, ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("values", ["narrow", "wide", "constant", "near one", "many keys"])
+def test_ranges_are_even_whatever_the_values(spark, values):
+    """No task holds over twice the mean of the rows."""
+    i = F.col("id")
+    v = {
+        "narrow": 1.7e9 + i / 1000, "wide": F.exp(F.pmod(F.xxhash64("id"), F.lit(600)) - 300) * i, "constant": F.lit(5.0),
+        "near one": 1 - i / 1e12, "many keys": i % 3,
+    }[values]
+    g = F.lit(0) if values != "many keys" else i
+    counts = spark.range(60_000).select(g.alias("g"), v.cast("double").alias("v")).groupBy("g", "v").agg(F.count("*").alias("n"))
+    conf = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        table = order_statistics.ranged(counts, ["v"], ["g"])
+        sizes = [r["count"] for r in table.groupBy("__range").count().collect()]
+        below = order_statistics.with_rows_below(counts, "v", ["g"])
+        total = below.agg(F.max(F.col("below") + F.col("n")), F.count("*")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", conf)
+    assert total[1] == sum(sizes) == counts.count()
+    if values == "constant":
+        assert sizes == [1] and total[0] == 60_000
+        return
+    assert len(sizes) >= 11 and max(sizes) <= 2 * sum(sizes) / 12
+    if values != "many keys":
+        assert total[0] == 60_000
 
 
 def test_auc_matches_pairs_and_no_task_holds_all_scores(spark):
