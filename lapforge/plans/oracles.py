@@ -320,4 +320,7 @@ from scored group by 1, 2""",
 long as (unpivot (select laps::double as laps, base_rate::double as base_rate, brier::double as brier, tp::double as tp, fp::double as fp, fn::double as fn,
   precision::double as precision, recall::double as recall, f1::double as f1 from one) on columns(*) into name measure value v)
 select measure, round(v, 6) as value from long""",
+    "stream_traces": f"""with {_LAPS}
+select {_KEYS}, false as late, {", ".join(f"round(({_METRICS[m]})::double, 6) as {m}" for m in ("tyre_age_v1", "tyre_age_v2", "stint_age_squared_v1", "pit_delta_v2", "degradation_rate_v1", "pace_delta_v1"))}
+from base""",
 }

@@ -16,6 +16,7 @@ from ..sources import laps as sources
 from ..sources import races
 from ..sources.laps import laps_from_events, race_metadata
 from ..staging import drop_stage, shared_dir, stage
+from ..streaming import traces
 from . import ingest, training
 
 KEYS = ["session_key", "driver_number", "lap_number"]
@@ -368,6 +369,20 @@ def normalize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, n) for c, n in counted.get.items()], "column string, n long")
 
 
+def stream_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own-trace metrics from a stream that brings the laps in three micro-batches, with state between them."""
+    root = _folder(spark)
+    laps = _laps(spark, sf_dir).select(*KEYS, F.col("event_id").alias("row_id"), *traces.INPUT[2:])
+    cuts = [0, 20, 45, 2**31]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        laps.where((F.col("lap_number") > lo) & (F.col("lap_number") <= hi)).write.mode("append").parquet(f"{root}/laps")
+        stream = traces.trace_metrics(spark.readStream.schema(laps.schema).parquet(f"{root}/laps"))
+        sink = stream.writeStream.format("parquet").option("path", f"{root}/metrics").option("checkpointLocation", f"{root}/state")
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{root}/metrics")
+    return out.select(*KEYS, "late", *[r6(f"`{m}`").alias(m.replace("@", "_")) for m in traces.METRICS])
+
+
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of the folds of each label."""
     folded = training.with_folds(_scored(spark, sf_dir).select(*KEYS, "y"), 5)
@@ -403,6 +418,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         circuit_loss_fit, circuit_loss_apply, pit_targets, star_load, threshold_sweep, best_threshold, group_metrics,
         roc_auc, brier, brier_by_group, drift_report, psi_orders, action_labels, scaler_fit, train_logistic,
         base_rates, race_star, nearest_threshold, combined_metrics, race_merge, stored_star, normalize_counts,
-        stratified_folds, policy_sweep, race_state, model_review,
+        stratified_folds, policy_sweep, race_state, model_review, stream_traces,
     )
 } | {"reliability_quantile": _reliability("quantile"), "reliability_uniform": _reliability("uniform")}

@@ -15,12 +15,10 @@ system that pyarrow knows.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from itertools import product
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -38,8 +36,6 @@ _ARROW = pa.schema(
     + [(c, pa.string()) for c in TEXT_COLUMNS]
 )
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the library installed
-
 
 def session_key(year: int, number: int) -> str:
     """The key of a session: year and round."""

@@ -1,7 +1,12 @@
+import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from lapforge.operators import metrics
+from lapforge.sources.laps import laps_from_events
+from lapforge.streaming import field, traces
 from lapforge.streaming.ingest import ingest, lap_counts
 
 
@@ -26,3 +31,78 @@ def test_lap_counts(spark, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table(name).agg(F.sum("n_laps")).first()[0] == 12
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def run_stream(spark, tmp_path, laps, parts, metrics, name, **options):
+    """The rows that a stream gives whose micro-batches are these parts of laps, in this order."""
+    source = f"{tmp_path}/{name}"
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(source)
+        for f in os.listdir(source):  # files are taken by time
+            if f.endswith(".parquet") and os.stat(f"{source}/{f}").st_mtime > 1_750_000_000:
+                os.utime(f"{source}/{f}", (1_700_000_000 + 10 * k,) * 2)
+    stream = spark.readStream.schema(laps.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    table = f"{name}_{time.monotonic_ns()}"
+    query = metrics(stream, **options).writeStream.outputMode("append").format("memory").queryName(table).trigger(availableNow=True).start()
+    assert query.awaitTermination(90) and query.exception() is None
+    return spark.table(table)
+
+
+def rounded(rows, names):
+    return {(r["row_id"], *(None if r[n] is None else round(r[n], 6) for n in names)) for r in rows}
+
+
+@pytest.fixture
+def laps(spark, tmp_path):
+    rows = laps_from_events(spark, SF, with_nulls=True).withColumn("row_id", F.col("event_id")).where("driver_number < 7")
+    rows.write.parquet(f"{tmp_path}/all")
+    return spark.read.parquet(f"{tmp_path}/all")
+
+
+@pytest.mark.parametrize("cuts", [[100], [1, 2, 3, 30, 100], [17, 100]])
+def test_stream_of_traces_equals_the_batch(spark, tmp_path, laps, cuts):
+    parts = [laps.where((F.col("lap_number") > lo) & (F.col("lap_number") <= hi)) for lo, hi in zip([0, *cuts], cuts, strict=False)]
+    got = run_stream(spark, tmp_path, laps, parts, traces.trace_metrics, "cuts").collect()
+    want = laps
+    for name in traces.METRICS:
+        want = metrics.with_metric(want, *name.split("@"))
+    assert rounded(got, traces.METRICS) == rounded(want.collect(), traces.METRICS) and not any(r["late"] for r in got)
+
+
+def test_stream_of_traces_derives_stints_and_tells_late_laps(spark, tmp_path, laps):
+    bare = laps.drop("stint_number")
+    bare = bare.where("not (driver_number = 2 and lap_number = 3)")
+    parts = [bare.where("lap_number <= 5"), bare.where("lap_number > 5"), laps.drop("stint_number").where("driver_number = 2 and lap_number = 3"), bare.limit(0)]
+    got = run_stream(spark, tmp_path, bare, parts, traces.trace_metrics, "late").collect()
+    want = metrics.with_metric(metrics.with_metric(bare, "tyre_age"), "tyre_age", "v1").collect()
+    names = ("tyre_age@v1", "tyre_age@v2")
+    assert rounded([r for r in got if not r["late"]], names) == rounded(want, names)
+    late = [r for r in got if r["late"]]
+    assert [(r["driver_number"], r["lap_number"]) for r in late] == [(2, 3)] and all(late[0][m] is None for m in traces.METRICS)
+
+
+def test_stream_of_the_field_equals_the_batch(spark, tmp_path, laps):
+    """Event times by lap; a lap far ahead in another session closes all others."""
+    field_laps = laps.withColumn("ts", (F.lit(1_700_000_000) + F.col("lap_number") * 100 + F.col("driver_number")).cast("timestamp"))
+    last = field_laps.limit(1).withColumns({"session_key": F.lit("end"), "ts": F.lit("2030-01-01").cast("timestamp")})
+    parts = [field_laps.where("lap_number <= 10"), field_laps.where("lap_number between 11 and 40"), field_laps.where("lap_number > 40"), last, last.withColumn("lap_number", F.lit(999).cast("long"))]
+    options = {"lateness": "10 seconds", "spread_seconds": 60.0}
+    got = run_stream(spark, tmp_path, field_laps, parts, field.field_metrics, "field", **options).where("session_key <> 'end'").collect()
+    want = field_laps
+    for name in field.METRICS:
+        want = metrics.with_metric(want, *name.split("@"))
+    assert rounded(got, field.METRICS) == rounded(want.collect(), field.METRICS) and not any(r["late"] for r in got)
+
+
+def test_stream_of_the_field_counts_late_laps(spark, tmp_path, laps):
+    field_laps = laps.withColumn("ts", (F.lit(1_700_000_000) + F.col("lap_number") * 100).cast("timestamp"))
+    held = field_laps.where("driver_number = 3 and lap_number = 4").withColumn("ts", (F.lit(1_700_000_000) + 10_000).cast("timestamp"))
+    others = field_laps.where("not (driver_number = 3 and lap_number = 4)")
+    end = field_laps.limit(1).withColumns({"session_key": F.lit("end"), "ts": F.lit("2030-01-01").cast("timestamp")})
+    parts = [others.where("lap_number <= 30"), others.where("lap_number > 30").limit(3), held, others.where("lap_number > 90"), end]
+    got = run_stream(spark, tmp_path, field_laps, parts, field.field_metrics, "fieldlate", lateness="10 seconds", spread_seconds=60.0).collect()
+    assert [(r["driver_number"], r["lap_number"]) for r in got if r["late"]] == [(3, 4)]
+    assert all(r[m] is None for r in got if r["late"] for m in field.METRICS)
