@@ -1,5 +1,6 @@
 """Training-data operators: quality rules, mixing, chat formatting, language id,
-token counts, toxicity, decontamination, line dedup, URL filters, near dedup."""
+token counts, toxicity, decontamination, line dedup, URL filters, near dedup by MinHash and by
+SimHash, whitening, clustering."""
 
 import sys
 

@@ -24,7 +24,8 @@ Recall: a pair at similarity 0.75 collides Binomial(64, 0.75) times; fewer than
 chance of about 1e-5, and less for more similar pairs.
 
 Cost: linear but for the exact join, where the members of a cell (a rare shingle, two size bands)
-outside its most frequent component meet all others of the cell. A class is posted there only
+outside its most frequent component meet all others of the cell, k outside of m in k * m pairs at most
+(no bound holds for k: texts of many components may share a rare shingle). A class is posted there only
 if the shingles that it shares with other components could make up a link at all, and a pair
 is made only if the parity bits allow the similarity.
 

@@ -15,7 +15,9 @@ Defined results: null, empty and blank texts have measures 0 and fail the base r
 than 20 words). Null strata are a stratum. A stratum without enough labels certifies nothing
 and keeps what passes the base rules. A document with several label rows has the lowest
 quality. Ties and repeated rows are judged alike. Labels are counted whole; only counts by
-stratum, one row each, travel.
+stratum, one row each, travel. Very long texts are measured whole, a few MB at a time. An empty
+table gives an empty table. Columns of docs come through whatever their names, also those that this
+module uses (__q, row, stratum).
 """
 
 from __future__ import annotations

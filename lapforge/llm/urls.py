@@ -17,7 +17,7 @@ each distinct host, and the hosts' rules with the URLs.
 
 Defined results: a null URL, or one without ://, has an empty host and path, fits no rule and
 has features 0. Null labels don't train. Without labels of both kinds every URL without a
-rule is allowed. Repeated rows are judged alike. Columns of urls named host, path, rule, verdict
+rule is allowed. Repeated rows are judged alike; an empty table gives an empty table. Columns of urls named host, path, rule, verdict
 or by_model give way to those of the result; others come through untouched.
 """
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lapforge.llm import queries, token_counts, toxicity
+from lapforge.llm import queries, token_counts, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -103,3 +103,14 @@ def test_url_rules_on_all_pages(spark, duck):
         row = got[page_id]
         assert (row["host"], row["path"], row["rule"]) == (host, path, best[1] if best else None)
         assert row["verdict"] == best[2] if best else row["verdict"] in ("allow", "block")
+
+
+def test_url_labels_do_not_show_in_urls(spark):
+    """The figure of the README: on held-out URLs of these tables the trees are near chance."""
+    sf = "/root/testdata/sf0.1"
+    assert 0.4 < urls.held_out_auc(queries.labelled_urls(spark, sf), key="page_id") < 0.6
+
+
+def test_url_trees_rank_held_out_urls_where_labels_show(spark):
+    rows = [(i, f"http://{'pills' if i % 4 == 0 else 'news'}{i % 13}.example.net/a/{i}", int(i % 4 == 0 or i % 29 == 0)) for i in range(1500)]
+    assert urls.held_out_auc(spark.createDataFrame(rows, "page_id long, url string, bad int"), key="page_id") > 0.9
