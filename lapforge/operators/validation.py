@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.windows import FIELD, TRACE, ordered
+from ..staging import drop_since, settled, staged_so_far
 from .cleaning import MAD_SIGMA, with_mad
 
 PASS, WARNING, ERROR = "PASS", "WARNING", "ERROR"
@@ -241,8 +242,9 @@ def _by_session(df: DataFrame, c: ValidationConfig) -> list[DataFrame]:
 
 def check_results(df: DataFrame, config: ValidationConfig | None = None) -> DataFrame:
     """All checks whose columns df has, one row a result: category, name, severity, n_affected,
-    message, session_key, details (JSON)."""
+    message, session_key, details (JSON). A frame that has to be computed is staged first."""
     c = config or ValidationConfig()
+    df = settled(df, "laps")
     have = set(df.columns)
     missing = [x for x in c.required_columns if x not in have]
     row = (COMPLETENESS, "required_columns", ERROR if missing else PASS, len(missing), f"missing: {', '.join(missing)}" if missing else "all there", None, json.dumps({"missing": missing}))
@@ -260,6 +262,7 @@ def check_results(df: DataFrame, config: ValidationConfig | None = None) -> Data
 def validate_laps(df: DataFrame, config: ValidationConfig | None = None) -> ValidationReport:
     """The report of check_results: completeness, consistency, reasonableness, in this order. Its rows
     come to the driver: some for each column, and one or two for each session that fails."""
-    order = [COMPLETENESS, CONSISTENCY, REASONABLENESS]
+    order, mark = [COMPLETENESS, CONSISTENCY, REASONABLENESS], staged_so_far()
     rows = sorted(check_results(df, config).collect(), key=lambda r: order.index(r["category"]))
+    drop_since(df.sparkSession, mark, keep_last=False)
     return ValidationReport([CheckResult(**(r.asDict() | {"details": json.loads(r["details"] or "{}")})) for r in rows])

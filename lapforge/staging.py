@@ -39,6 +39,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_CHEAP = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Range", "OneRowRelation", "Union", "SubqueryAlias", "RelationV2"}
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df if its plan only reads, filters and projects stored rows; else df staged, for callers that use it
+    several times."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+\-]*(\w+)", line))}
+    return df if nodes <= _CHEAP else stage(df, name)
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -19,7 +19,7 @@ from lapforge.operators import asof, cleaning, metrics
 from lapforge.plans import ingest, snapshot, training
 from lapforge.sources import commits, races, sessions
 from lapforge.sources import laps as sources
-from lapforge.staging import staged_so_far
+from lapforge.staging import settled, staged_so_far
 
 
 def raw_session(drivers=2, laps=20, pits=(10,), **more):
@@ -365,3 +365,13 @@ def test_imputation_follows_row_order_of_repeated_laps(spark):
     df = spark.createDataFrame(rows, "session_key string, driver_number long, lap_number long, row_id long, v double")
     out = cleaning.impute_gaps(df, ["v"], sample_interval_seconds=1.0, max_gap_seconds=5.0)
     assert [r["v"] for r in out.orderBy("row_id").collect()] == [10.0, 20.0, 20.0, 20.0]
+
+
+def test_only_computed_frames_are_settled(spark, tmp_path):
+    clean_laps(spark).write.parquet(f"{tmp_path}/laps")
+    stored = spark.read.parquet(f"{tmp_path}/laps")
+    for plain in (stored, stored.where("lap_number > 3").select("lap_number"), clean_laps(spark)):
+        assert settled(plain, "x") is plain
+    for made in (metrics.with_metric(stored, "tyre_age"), stored.groupBy("session_key").count(), stored.join(stored.select("driver_number"), "driver_number"), stored.distinct()):
+        out = settled(made, "x")
+        assert out is not made and out.inputFiles() and out.columns == made.columns
