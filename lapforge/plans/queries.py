@@ -372,13 +372,14 @@ def normalize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own-trace metrics from a stream that brings the laps in three micro-batches, with state between them."""
     root = _folder(spark)
-    laps = _laps(spark, sf_dir).select(*KEYS, F.col("event_id").alias("row_id"), *traces.INPUT[2:])
+    laps = stage(_laps(spark, sf_dir).select(*KEYS, F.col("event_id").alias("row_id"), *traces.INPUT[2:]), "laps")
     cuts = [0, 20, 45, 2**31]
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         laps.where((F.col("lap_number") > lo) & (F.col("lap_number") <= hi)).write.mode("append").parquet(f"{root}/laps")
         stream = traces.trace_metrics(spark.readStream.schema(laps.schema).parquet(f"{root}/laps"))
         sink = stream.writeStream.format("parquet").option("path", f"{root}/metrics").option("checkpointLocation", f"{root}/state")
         sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    drop_stage(laps)
     out = spark.read.parquet(f"{root}/metrics")
     return out.select(*KEYS, "late", *[r6(f"`{m}`").alias(m.replace("@", "_")) for m in traces.METRICS])
 

@@ -1,6 +1,7 @@
 import os
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,82 @@ def test_stream_of_traces_derives_stints_and_tells_late_laps(spark, tmp_path, la
     assert [(r["driver_number"], r["lap_number"]) for r in late] == [(2, 3)] and all(late[0][m] is None for m in traces.METRICS)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_neighbouring_traces_share_a_key_and_stay_apart(spark, tmp_path, kind):
+    """200 drivers from -100 on lie in 5 blocks of 64 numbers, and a far one and the unnamed one in one each; a text is
+    its own key. Infinite and missing times, stints that return and laps below 0 touch their own trace alone."""
+    i, driver, lap = F.col("id"), F.col("id") % 202, (F.col("id") / 202).cast("long")
+    rows = spark.range(202 * 12).select(
+        F.lit("S").alias("session_key"), F.when(driver == 200, 2**60 + 1).when(driver < 200, driver - 100).cast(kind).alias("driver_number"),
+        (lap - 3).alias("lap_number"), i.alias("row_id"), F.when(i % 7 > 0, F.when((driver == 5) & (lap == 6), float("inf")).otherwise(80 + i % 13 / 4)).alias("lap_time_seconds"),
+        F.when(driver % 2 == 0, lap % 3).alias("stint_number"), (i % 5 == 0).alias("is_pit_lap"),
+        F.when(i % 5 == 0, lap * 90.0).alias("pit_in_time"), F.when((i + 1) % 3 == 0, lap * 95.0).alias("pit_out_time"),
+    )
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    parts = [rows.where("lap_number < 2"), rows.where("lap_number between 2 and 4"), rows.where("lap_number > 4")]
+    got = run_stream(spark, tmp_path, rows, parts, traces.trace_metrics, f"blocks_{kind}")
+    want = rows
+    for name in traces.METRICS:
+        want = metrics.with_metric(want, *name.split("@"))
+    fit = "driver_number is null or driver_number <> -95"
+    assert rounded(got.where(fit).collect(), traces.METRICS) == rounded(want.where(fit).collect(), traces.METRICS)
+    assert got.where("driver_number = -95 and not late").count() == 12 and got.where("late").count() == 0
+    assert {(r[0], r[1]) for r in got.select("driver_number", "row_id").collect()} == {(r[0], r[1]) for r in rows.select("driver_number", "row_id").collect()}
+
+
+def test_a_stream_keeps_one_state_for_neighbouring_traces(spark, tmp_path):
+    """A call a trace was what a stream of many traces spent its time on."""
+    many = spark.range(1_000).select(F.lit("S").alias("session_key"), F.col("id").alias("driver_number"), F.lit(1).cast("long").alias("lap_number"), F.lit(80.0).alias("lap_time_seconds"))
+    many.write.parquet(f"{tmp_path}/many")
+    stream = traces.trace_metrics(spark.readStream.schema(many.schema).parquet(f"{tmp_path}/many"))
+    query = stream.writeStream.format("memory").queryName(f"many_{time.monotonic_ns()}").trigger(availableNow=True).start()
+    assert query.awaitTermination(90) and query.exception() is None
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert max(held) == 16  # of 64 numbers each
+
+
+class State:
+    """A state as Spark hands it to a step."""
+
+    def __init__(self):
+        self.value, self.now, self.hasTimedOut, self.due = None, 0, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def setTimeoutDuration(self, ms):
+        self.due = self.now + ms
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value, self.due = None, None
+
+
+def test_an_idle_trace_goes_without_its_neighbours():
+    step, state = traces._step(100), State()
+
+    def bring(now, drivers, lap, timed_out=False):
+        state.now, state.hasTimedOut = now, timed_out
+        frame = pd.DataFrame({"driver_number": drivers, "lap_number": lap, "row_id": 0, "lap_time_seconds": 80.0, "stint_number": float("nan"), "is_pit_lap": False, "pit_in_time": float("nan"), "pit_out_time": float("nan")})
+        out = list(step(("S", 0), iter([] if timed_out else [frame]), state))
+        return {r["driver_number"]: r["tyre_age@v2"] for f in out for _, r in f.iterrows()}
+
+    assert bring(1_000, [1, 2, 3], 1) == {1: 0, 2: 0, 3: 0} and state.due == 1_100
+    assert bring(1_060, [2, 3], 2) == {2: 1, 3: 1} and state.due == 1_100
+    assert bring(1_101, [], 0, timed_out=True) == {} and state.value[0] == [2, 3] and state.due == 1_160
+    assert bring(1_150, [3, 1], 3) == {3: 2, 1: 0} and state.value[0] == [2, 3, 1] and state.due == 1_160
+    assert bring(1_170, [1], 4) == {1: 1} and state.value[0] == [3, 1]  # 2 went as its neighbours came
+    assert bring(1_175, [1], 3) == {1: pytest.approx(float("nan"), nan_ok=True)} and state.value[0] == [3, 1]  # late, but there
+    bring(9_999, [], 0, timed_out=True)
+    assert not state.exists
+
+
 def test_stream_of_the_field_equals_the_batch(spark, tmp_path, laps):
     """Event times by lap; a lap far ahead in another session closes all others."""
     field_laps = laps.withColumn("ts", (F.lit(1_700_000_000) + F.col("lap_number") * 100 + F.col("driver_number")).cast("timestamp"))
