@@ -81,7 +81,9 @@ def _measure(texts: pa.Array) -> pa.Array:
 
 
 def _measures_udf():
-    return F.arrow_udf(_measure, ", ".join(f"{c} long" for c in _MEASURES))
+    # marked so that a filter on the measures isn't pushed below them, where they would be made a second time,
+    # in a second Python worker of the same task
+    return F.arrow_udf(_measure, ", ".join(f"{c} long" for c in _MEASURES)).asNondeterministic()
 
 
 def _dup_lines(text: Column) -> Column:
